@@ -1,8 +1,10 @@
 """Importing this module registers every query."""
 
 from featmart.plans import (  # noqa: F401
+    aggregate_queries,
     cleaning_queries,
     column_queries,
+    credit_queries,
     key_queries,
     profile_queries,
     source_queries,
