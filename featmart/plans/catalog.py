@@ -7,6 +7,8 @@ from featmart.plans import (  # noqa: F401
     credit_queries,
     key_queries,
     profile_queries,
+    score_queries,
+    sequence_queries,
     source_queries,
 )
 from featmart.plans.registry import PLANS, SQL  # noqa: F401
