@@ -14,14 +14,13 @@ from featmart.operators.ordering import ordered_prefix
 BETAS = (1, 2, 4, 8, 16)
 
 
-def confusion_counts(label: str, predicted: Column, where: Column | None = None) -> list[Column]:
-    keep = F.lit(True) if where is None else where
+def confusion_counts(label: str, predicted: Column) -> list[Column]:
     hit = F.col(label) == 1
     return [
-        F.count_if(keep & hit & predicted).alias("tp"),
-        F.count_if(keep & ~hit & predicted).alias("fp"),
-        F.count_if(keep & hit & ~predicted).alias("fn"),
-        F.count_if(keep & ~hit & ~predicted).alias("tn"),
+        F.count_if(hit & predicted).alias("tp"),
+        F.count_if(~hit & predicted).alias("fp"),
+        F.count_if(hit & ~predicted).alias("fn"),
+        F.count_if(~hit & ~predicted).alias("tn"),
     ]
 
 
@@ -46,13 +45,24 @@ def binary_metrics(df: DataFrame, label: str, predicted: Column, decimals: int =
 
 
 def metrics_by_subset(df: DataFrame, label: str, predicted: Column, subsets: Mapping[str, Column]) -> DataFrame:
-    """The metric suite of several overlapping subsets, in one pass over the rows."""
-    counted = df.agg(
-        *[F.struct(*confusion_counts(label, predicted, cond)).alias(name) for name, cond in subsets.items()]
-    )
-    return counted.unpivot([], list(subsets), "subset", "s").select("subset", "s.*").select(
-        "subset", "tp", "fp", "fn", "tn", *metric_columns()
+    """The metric suite of several overlapping subsets, in one pass over the rows.
+
+    Rows are first counted per combination of label, prediction and membership, so the
+    subsets are then summed from a handful of rows.
+    """
+    cells = df.groupBy(
+        (F.col(label) == 1).alias("_hit"), predicted.alias("_guess"), *[cond.alias(n) for n, cond in subsets.items()]
+    ).agg(F.count("*").alias("_n"))
+    members = cells.unpivot(["_hit", "_guess", "_n"], list(subsets), "subset", "_in").filter("_in")
+
+    def count(hit: bool, guess: bool, name: str) -> Column:
+        match = (F.col("_hit") == hit) & (F.col("_guess") == guess)
+        return F.coalesce(F.sum(F.when(match, F.col("_n"))), F.lit(0).cast("long")).alias(name)
+
+    counted = members.groupBy("subset").agg(
+        count(True, True, "tp"), count(False, True, "fp"), count(True, False, "fn"), count(False, False, "tn")
     )
+    return counted.select("subset", "tp", "fp", "fn", "tn", *metric_columns())
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -6,9 +6,11 @@ from featmart.plans import (  # noqa: F401
     column_queries,
     credit_queries,
     key_queries,
+    model_queries,
     profile_queries,
     score_queries,
     sequence_queries,
     source_queries,
+    stream_queries,
 )
 from featmart.plans.registry import PLANS, SQL  # noqa: F401
