@@ -11,11 +11,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from featmart.functions.scalars import ratio
 from featmart.session import scratch_path
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def table_stream(spark: SparkSession, folder: str, name: str, ts: str | None = None, files_per_trigger: int = 100) -> DataFrame:
     """A table's files as a stream; `ts` is made a zoned timestamp so that it can carry a watermark."""
@@ -33,6 +35,8 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process all input that is there, into a Parquet table in the shared folder."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
+    # Processors with state variables need this store; the others run on it as well.
+    spark.conf.set(STATE_STORE, ROCKSDB)
     running = (
         stream.writeStream.outputMode("append")
         .option("checkpointLocation", f"{path}/checkpoint")
@@ -86,34 +90,45 @@ def last_status_per_day(stream: DataFrame, key: str, ts: str, status: Column, or
     )
 
 
-RUN_STATE = "value string, length long, start timestamp"
-
+class OpenRun(StatefulProcessor):
+    """State of one key: its open run (value, length, start). Emits a run when it ends."""
 
-def closed_runs(days: DataFrame, key: str) -> DataFrame:
-    """Runs of equal status along the days of each key, emitted when another status follows.
+    def __init__(self, key: str):
+        self.columns = [key, "start", "value", "length"]
 
-    Days arrive in watermark order; those of one trigger are sorted. The state of a key is
-    its open run.
-    """
-    columns = [key, "start", "value", "length"]
-    schema = f"{key} long, start timestamp, value string, length long"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "value string, length long, start timestamp")
 
-    def advance(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values("day")
-        value, length, start = state.get if state.exists else (None, 0, None)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        days = pd.concat(list(rows)).sort_values("day")
+        value, length, start = self.run.get() if self.run.exists() else (None, 0, None)
         out = []
-        for day, status in zip(rows["day"], rows["status"]):
+        for day, status in zip(days["day"], days["status"]):
             if length and status == value:
                 length += 1
                 continue
             if length:
-                out.append((group[0], start, value, length))
+                out.append((key[0], start, value, length))
             value, length, start = status, 1, day
-        state.update((value, length, start))
-        yield pd.DataFrame(out, columns=columns)
+        self.run.update((value, length, start))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
 
-    return days.groupBy(key).applyInPandasWithState(
-        advance, schema, RUN_STATE, "append", GroupStateTimeout.NoTimeout
+
+def closed_runs(days: DataFrame, key: str) -> DataFrame:
+    """Runs of equal status along the days of each key, emitted when another status follows.
+
+    Days arrive in watermark order, at most one row per key and day; those of one trigger
+    are sorted before they are folded into the open run.
+    """
+    return days.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=OpenRun(key),
+        outputStructType=f"{key} long, start timestamp, value string, length long",
+        outputMode="Append",
+        timeMode="None",
     )
 
 
@@ -121,6 +136,3 @@ def enrich(stream: DataFrame, client: DataFrame, on: str, label: str = "target",
     """Stream rows with the label of their client from a static table."""
     return stream.join(client, on, "left").withColumn(label, F.coalesce(F.col(label), F.lit(unknown)))
 
-
-def relative_error(actual: str, predicted: str) -> Column:
-    return F.abs(ratio(F.col(predicted) - F.col(actual), actual))
