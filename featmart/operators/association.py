@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featmart.operators.columns import equal_width_bins
 from featmart.operators.ordering import ordered_prefix
+from featmart.session import with_row
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str], decimals: int = 9) -> DataFrame:
@@ -53,7 +54,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight) with weight = rows / (1 + rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_total") / (1 + F.col("n"))).alias("weight"))
+    return counts.transform(with_row, total).select(label, "n", (F.col("_total") / (1 + F.col("n"))).alias("weight"))
 
 
 def sample_weights(df: DataFrame, label: str) -> DataFrame:
@@ -123,6 +124,6 @@ def density_by_class(df: DataFrame, column: str, label: str, bins: int, decimals
     totals = counts.groupBy(label).agg(F.sum("n").alias("_total"))
     return (
         counts.join(totals, label)
-        .crossJoin(F.broadcast(span))
+        .transform(with_row, span)
         .select(label, "bin", "n", F.round(F.col("n") / (F.col("_total") * F.col("_width")), decimals).alias("density"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmart.operators.ordering import ordered_prefix
+from featmart.session import with_row
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -339,7 +340,7 @@ def equal_width_bins(df: DataFrame, column: str, bins: int, name: str = "bin", d
         position = F.round(position, decimals)
     code = F.greatest(F.ceil(position), F.lit(1).cast("long"))
     return (
-        df.crossJoin(F.broadcast(span))
+        df.transform(with_row, span)
         .withColumn(name, F.when(F.col(column).isNotNull(), F.coalesce(code, F.lit(1).cast("long"))))
         .drop("_low", "_high")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmart.functions.scalars import ratio
-from featmart.operators.ordering import occurrence_index
+from featmart.operators.ordering import heavy_keys, occurrence_index
 
 
 def status_number(status: str | Column) -> Column:
@@ -72,15 +72,16 @@ def installment_versions(df: DataFrame) -> DataFrame:
     Days count back, so the first payment is the largest day. The due day and amount are
     those of the earliest entry in sorted order, ties broken by value.
     """
-    order = F.struct(*FRAGMENT_ORDER)
-    return df.groupBy(*INSTALMENT, "version").agg(
-        F.min_by("due_day", order).alias("due_day"),
-        F.min_by("due", order).alias("due"),
+    grouped = df.groupBy(*INSTALMENT, "version").agg(
+        F.min(F.struct(*FRAGMENT_ORDER)).alias("first"),
         F.count("paid_day").alias("payments"),
         F.max("paid_day").alias("paid_start"),
         F.min("paid_day").alias("paid_end"),
         F.round(F.coalesce(F.sum("paid"), F.lit(0.0)), 4).alias("paid"),
     )
+    return grouped.select(
+        *INSTALMENT, "version", "first.due_day", "first.due", "payments", "paid_start", "paid_end", "paid"
+    )
 
 
 def by_installment(versions: DataFrame) -> DataFrame:
@@ -120,7 +121,8 @@ def keep_last_version(df: DataFrame) -> DataFrame:
 def last_version(df: DataFrame, limit: int = 5_000_000) -> DataFrame:
     """Fragments of the last version with their ordinal in payment order."""
     order = [F.col("paid_day").desc(), F.col("due_day"), F.col("due"), F.col("paid")]
-    return occurrence_index(keep_last_version(df), INSTALMENT, order, "fragment", limit)
+    heavy = heavy_keys(df, INSTALMENT, limit)
+    return occurrence_index(keep_last_version(df), INSTALMENT, order, "fragment", heavy=heavy)
 
 
 def days_past_due(due_day: str = "due_day", paid_day: str = "paid_day") -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featmart.session import with_row
+
 
 def attach_client(
     df: DataFrame, loan_map: DataFrame, on: str = "loan_id", key: str = "client_id", keep_orphans: bool = False
@@ -121,7 +123,7 @@ def children_distribution(child: DataFrame, parent_key: str) -> DataFrame:
     counts = per_parent.groupBy("n_children").agg(F.count("*").alias("n_parents"))
     total = counts.agg(F.sum("n_parents").alias("_total"))
     return (
-        counts.crossJoin(F.broadcast(total))
+        counts.transform(with_row, total)
         .withColumn("freq", F.col("n_parents") / F.col("_total"))
         .drop("_total")
     )
@@ -165,8 +167,8 @@ def uniqueness_report(df: DataFrame, child: str, parent: str) -> DataFrame:
             F.count_if(F.col("n") > 1).alias(f"{name}s_with_many"),
         )
 
-    lines = split(child, "children").crossJoin(split(parent, "parent")).crossJoin(
-        pairs.agg(F.count("*").alias("pairs"))
+    lines = split(child, "children").transform(with_row, split(parent, "parent")).transform(
+        with_row, pairs.agg(F.count("*").alias("pairs"))
     )
     return lines.toDF(
         "children", "children_with_one", "children_with_many", "parents", "parents_with_one",

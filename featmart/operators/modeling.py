@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from featmart.operators.cleaning import impute_median
 from featmart.operators.sampling import assign_folds
-from featmart.session import cut_lineage, shared_folder
+from featmart.session import cut_lineage, shared_folder, with_row
 
 
 def scale_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def scale_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for c in columns
     }
-    return df.crossJoin(F.broadcast(bounds)).withColumns(scaled).select(*df.columns)
+    return df.transform(with_row, bounds).withColumns(scaled).select(*df.columns)
 
 
 def prepare_training(df: DataFrame, label: str, ids: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.operators.ordering import HASH_MODULUS, ordered_prefix, spread
-from featmart.session import cut_lineage
+from featmart.session import cut_lineage, with_row
 
 SAMPLE_ROWS = 50_000
 BLOCK_CELLS = 4_000_000
@@ -209,7 +209,7 @@ def near_miss(df: DataFrame, label: str = "label", k: int = 3, box_rows: int = 2
     means = near.groupBy("id").agg(F.avg(F.sqrt("d2")).alias("mean_distance"))
     wanted = minority.agg(F.count("*").alias("_wanted"))
     placed = ordered_prefix(means, [F.col("mean_distance"), F.col("id")], {"_place": F.lit(1)})
-    return placed.crossJoin(F.broadcast(wanted)).filter(F.col("_place") <= F.col("_wanted")).select("id", "mean_distance")
+    return placed.transform(with_row, wanted).filter(F.col("_place") <= F.col("_wanted")).select("id", "mean_distance")
 
 
 def smote(df: DataFrame, label: str = "label", k: int = 5, seed: int = 0, box_rows: int = 2000) -> DataFrame:

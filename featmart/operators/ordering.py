@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featmart.session import cut_lineage
+from featmart.session import cut_lineage, with_row
 
 HASH_MODULUS = 2147483647
 HASH_MULTIPLIER = 1103515245
@@ -92,15 +92,17 @@ def occurrence_index(
     order: Sequence[Column],
     name: str = "occurrence",
     limit: int = 5_000_000,
+    heavy: Sequence[int] | None = None,
 ) -> DataFrame:
     """0-based occurrence number of each key along `order`.
 
     Keys small enough for one task use a plain window; keys above `limit` rows are
-    numbered through `ordered_prefix`, which spreads each of them over many tasks.
+    numbered through `ordered_prefix`, which spreads each of them over many tasks. Pass
+    `heavy` if the heavy keys are already known.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     number = (F.row_number().over(window) - 1).cast("long").alias(name)
-    heavy = heavy_keys(df, keys, limit)
+    heavy = heavy_keys(df, keys, limit) if heavy is None else heavy
     if not heavy:
         return df.select("*", number)
     is_heavy = F.xxhash64(*keys).isin(heavy)
@@ -177,7 +179,7 @@ def first_n_by_hash(
     elif by:
         offsets = offsets.join(n.withColumnRenamed("n", "_want"), by)
     else:
-        offsets = offsets.crossJoin(n.select(F.col("n").alias("_want")))
+        offsets = with_row(offsets, n.select(F.col("n").alias("_want")))
     placed = hashed.join(offsets, [*by, "_bucket"])
     end = F.col("_before") + F.col("_n")
     whole = placed.filter(end <= F.col("_want")).select(*df.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from featmart.operators.columns import edge_bins, equal_width_bins, numeric_columns, string_columns
 from featmart.operators.ordering import exact_quantiles, order_statistics, ordered_prefix
+from featmart.session import with_row
 
 # Fixed value: the third quartile of the standard normal distribution.
 NORMAL_Q75 = 0.6744897501960817
@@ -28,7 +29,7 @@ def value_counts(df: DataFrame, column: str, tail: float | bool | None = None) -
     )
     if tail is None:
         total = counts.agg(F.sum("n").alias("_total"))
-        return counts.crossJoin(F.broadcast(total)).select(
+        return counts.transform(with_row, total).select(
             F.col("value").cast("string").alias("value"), "n", (F.col("n") / F.col("_total")).alias("proportion")
         )
     placed = _marked_tail(counts, tail)
@@ -49,19 +50,19 @@ def _marked_tail(counts: DataFrame, tail: float | bool) -> DataFrame:
     order = [F.col("n").desc(), F.col("value").asc()]
     placed = ordered_prefix(counts, order, {"upto": F.col("n"), "place": F.lit(1)})
     whole = placed.agg(F.sum("n").alias("total"))
-    placed = placed.crossJoin(F.broadcast(whole))
+    placed = placed.transform(with_row, whole)
     after = F.col("total") - F.col("upto")
     if tail is True:
         outweighs = (F.col("n") > after) & (after > 0)
         first = placed.agg(F.coalesce(F.min(F.when(outweighs, F.col("place"))), F.lit(1)).alias("first"))
-        start = placed.crossJoin(F.broadcast(first)).agg(
+        start = placed.transform(with_row, first).agg(
             F.min(F.when((F.col("place") >= F.col("first")) & ~outweighs, F.col("place"))).alias("start")
         )
-        placed = placed.crossJoin(F.broadcast(start)).withColumn("in_tail", F.col("place") >= F.col("start"))
+        placed = placed.transform(with_row, start).withColumn("in_tail", F.col("place") >= F.col("start"))
     else:
         placed = placed.withColumn("in_tail", (after + F.col("n")) / F.col("total") < float(tail))
     size = placed.agg(F.count_if("in_tail").alias("_size"))
-    return placed.crossJoin(F.broadcast(size)).select(
+    return placed.transform(with_row, size).select(
         "value", "n", "total", (F.col("in_tail") & (F.col("_size") > 1)).alias("in_tail")
     )
 
@@ -73,7 +74,7 @@ def reduce_long_tail(df: DataFrame, column: str, tail: float | bool = 0.01) -> D
     )
     rare = _marked_tail(counts, tail).filter("in_tail").select("value")
     label = rare.agg(F.concat_ws(":", F.min("value"), F.max("value")).alias("_label"))
-    rare = rare.crossJoin(F.broadcast(label)).withColumnRenamed("value", column)
+    rare = rare.transform(with_row, label).withColumnRenamed("value", column)
     return df.join(rare, column, "left").withColumn(
         column, F.coalesce(F.col("_label"), F.col(column).cast("string"))
     ).drop("_label")
@@ -230,13 +231,13 @@ def category_report(df: DataFrame, columns: Sequence[str], max_modalities: int =
         top = counts.orderBy(F.desc("n"), "value").limit(max_modalities)
         shown = top.agg(F.sum("n").alias("_shown"))
         rest = (
-            total.crossJoin(shown)
+            total.transform(with_row, shown)
             .filter(F.col("_kinds") > max_modalities)
             .select(F.lit(c).alias("column_name"), F.lit("...").alias("value"), (F.col("_total") - F.col("_shown")).alias("n"))
         )
         reports.append(
             top.unionByName(rest)
-            .crossJoin(F.broadcast(total))
+            .transform(with_row, total)
             .select("column_name", "value", "n", (F.col("n") / F.col("_total")).alias("freq"))
         )
     return reduce(DataFrame.unionByName, reports)
@@ -292,7 +293,7 @@ def weighted_freqs(df: DataFrame, column: str, weights: Sequence[str]) -> DataFr
         F.count("*").alias("count"), *[F.sum(w).alias(w) for w in weights]
     )
     totals = grouped.agg(*[F.sum(c).alias(f"_t_{c}") for c in ("count", *weights)])
-    return grouped.crossJoin(F.broadcast(totals)).select(
+    return grouped.transform(with_row, totals).select(
         column, *[F.try_divide(F.col(c), F.col(f"_t_{c}")).alias(f"{c}_share") for c in ("count", *weights)]
     )
 
@@ -363,7 +364,7 @@ def label_of_missing(df: DataFrame, column: str, label: str) -> DataFrame:
         F.count_if(F.col(column).isNull()).alias("missing_rows"), F.count("*").alias("all_rows")
     )
     totals = counts.agg(F.sum("missing_rows").alias("_m"), F.sum("all_rows").alias("_a"))
-    return counts.crossJoin(F.broadcast(totals)).select(
+    return counts.transform(with_row, totals).select(
         label, "missing_rows", "all_rows",
         F.try_divide("missing_rows", "_m").alias("missing_share"),
         F.try_divide("all_rows", "_a").alias("all_share"),

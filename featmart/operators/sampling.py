@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.operators.ordering import first_n_by_hash, hash_rank
+from featmart.session import with_row
 
 
 def sample_exact(df: DataFrame, key: str, size: int | float, seed: int = 0) -> DataFrame:
@@ -35,7 +36,7 @@ def under_sample(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFram
     """Every class cut to the size of the smallest, by hash order."""
     sizes = class_sizes(df, label)
     least = sizes.agg(F.min("size").alias("n"))
-    return first_n_by_hash(df, key, sizes.select(label).crossJoin(F.broadcast(least)), by=[label], seed=seed)
+    return first_n_by_hash(df, key, sizes.select(label).transform(with_row, least), by=[label], seed=seed)
 
 
 def over_sample(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
@@ -46,7 +47,7 @@ def over_sample(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame
     """
     sizes = class_sizes(df, label)
     most = sizes.agg(F.max("size").alias("_most"))
-    plan = sizes.crossJoin(F.broadcast(most)).select(
+    plan = sizes.transform(with_row, most).select(
         label,
         F.floor(F.col("_most") / F.col("size")).alias("_times"),
         (F.col("_most") % F.col("size")).alias("_extra"),

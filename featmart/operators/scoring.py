@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featmart.functions.scalars import ratio
 from featmart.operators.ordering import ordered_prefix
+from featmart.session import with_row
 
 # The weights of recall against precision in the F suite.
 BETAS = (1, 2, 4, 8, 16)
@@ -84,7 +85,7 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = score_counts(df, label, score)
     placed = ordered_prefix(counts, [F.col(score).desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
     totals = counts.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return placed.crossJoin(F.broadcast(totals)).select(
+    return placed.transform(with_row, totals).select(
         F.col(score).alias("threshold"), "tp", "fp", ratio("tp", "_p").alias("tpr"), ratio("fp", "_n").alias("fpr")
     )
 
@@ -106,7 +107,7 @@ def business_gain(sweep: DataFrame, tp: float, fn: float, tn: float, fp: float)
     gain = F.col("tp") * tp + F.col("fn") * fn + F.col("tn") * tn + F.col("fp") * fp
     gains = sweep.select("threshold", gain.cast("double").alias("gain"))
     best = gains.agg(F.max_by("threshold", "gain").alias("_best"))
-    return gains.crossJoin(F.broadcast(best)).select("threshold", "gain", (F.col("threshold") == F.col("_best")).alias("best"))
+    return gains.transform(with_row, best).select("threshold", "gain", (F.col("threshold") == F.col("_best")).alias("best"))
 
 
 def confusion_matrix(df: DataFrame, label: str, predicted: str, classes: Sequence) -> DataFrame:
@@ -142,7 +143,9 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cells.groupBy(a).agg(F.sum("n").alias("n"))
     cols = cells.groupBy(b).agg(F.sum("n").alias("n"))
     whole = cells.agg(F.sum("n").alias("n"))
-    sums = pairs(cells, "both").crossJoin(pairs(rows, "left")).crossJoin(pairs(cols, "right")).crossJoin(pairs(whole, "total"))
+    sums = pairs(cells, "both")
+    for table, name in ((rows, "left"), (cols, "right"), (whole, "total")):
+        sums = with_row(sums, pairs(table, name))
     expected = F.col("left") * F.col("right") / F.col("total")
     return sums.select(
         ratio(F.col("both") - expected, (F.col("left") + F.col("right")) / 2 - expected).alias("adjusted_rand")

@@ -8,7 +8,7 @@ from featmart.operators import modeling, neighbors, sampling, scoring
 from featmart.plans import roles
 from featmart.plans.registry import query
 from featmart.plans.score_queries import FEATURES
-from featmart.session import cut_lineage, scratch_path
+from featmart.session import cut_lineage, scratch_path, with_row
 from featmart.sources.tables import scan
 
 VECTORS = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings),
@@ -113,7 +113,7 @@ def resampled_fit(spark, sf):
     rows = training(spark, sf)
     model = balanced_model(spark, sf, rows)
     scores = modeling.predict(model, rows.filter("target > -1")).select("client_id", "target", "score")
-    return scoring.binary_metrics(scores, "target", F.col("score") >= 0.5).crossJoin(scoring.auc(scores, "target", "score"))
+    return with_row(scoring.binary_metrics(scores, "target", F.col("score") >= 0.5), scoring.auc(scores, "target", "score"))
 
 
 @query("batch_scores")

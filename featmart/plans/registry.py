@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from featmart.plans import roles
+from featmart.session import tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +43,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     def register(plan: Plan) -> Plan:
         if name in PLANS:
             raise ValueError(f"query {name!r} is registered twice")
-        PLANS[name] = plan
+
+        @wraps(plan)
+        def tuned(spark: SparkSession, folder: str) -> DataFrame:
+            tune(spark)
+            return plan(spark, folder)
+
+        PLANS[name] = tuned
         if sql is not None:
             SQL[name] = with_roles(sql)
         return plan

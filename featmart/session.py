@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "featmart", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +23,7 @@ def build_session(app: str = "featmart", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Wide feature rows (one column per statistic) stay in generated code.
         "spark.sql.codegen.maxFields": "400",
@@ -49,6 +51,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the plans count on, for sessions that were built elsewhere.
+
+    A skewed join is split even where that costs a later shuffle: without it a hot loan
+    would keep its rows in one task from the join on.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.codegen.maxFields", "400")
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table, such as a global aggregate, to every row.
+
+    The only use of a product in the library: `row` has one row by construction, so it is
+    broadcast and multiplies nothing.
+    """
+    return df.crossJoin(F.broadcast(row))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages re-read it when an executor is lost."""
     shared_folder(df.sparkSession)
