@@ -130,10 +130,19 @@ def days_past_due(due_day: str = "due_day", paid_day: str = "paid_day") -> Colum
     return F.col(due_day) - F.col(paid_day)
 
 
-def repaid_by(df: DataFrame, keys: Sequence[str], late: Column, name: str) -> DataFrame:
-    """Amount repaid for each lateness."""
-    return df.withColumn(name, late).groupBy(*keys, name).agg(
-        F.round(F.coalesce(F.sum("paid"), F.lit(0.0)), 4).alias("repaid")
+def repaid_last_version(df: DataFrame, late: Column, name: str) -> DataFrame:
+    """Amount repaid for each lateness of the last version of every instalment.
+
+    Payments are summed per version and lateness first. What remains of an instalment is
+    at most one row per version and day, so the last version is picked by a window over
+    few rows, without reading the payments twice.
+    """
+    sums = df.withColumn(name, late).groupBy(*INSTALMENT, "version", name).agg(F.sum("paid").alias("_paid"))
+    last = F.max("version").over(Window.partitionBy(*INSTALMENT))
+    return (
+        sums.withColumn("_last", last)
+        .filter(F.col("version") == F.col("_last"))
+        .select(*INSTALMENT, "version", name, F.round(F.coalesce("_paid", F.lit(0.0)), 4).alias("repaid"))
     )
 
 

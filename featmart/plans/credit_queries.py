@@ -147,8 +147,7 @@ REPAID = f"""{LAST}, repaid_dpd AS (
 
 
 def repaid_dpd(spark, sf):
-    rows = credit.keep_last_version(roles.installment(spark, sf))
-    return credit.repaid_by(rows, ["client_id", "loan_id", "number", "version"], credit.days_past_due(), "dpd")
+    return credit.repaid_last_version(roles.installment(spark, sf), credit.days_past_due(), "dpd")
 
 
 @query("repaid_by_dpd", f"WITH {REPAID} SELECT * FROM repaid_dpd")
@@ -186,8 +185,8 @@ MPD = f"""{LAST}, repaid_mpd AS (
 
 
 def repaid_mpd(spark, sf):
-    rows = credit.keep_last_version(roles.installment(spark, sf))
-    return credit.repaid_by(rows, ["client_id", "loan_id"], month_of_days(credit.days_past_due()), "mpd")
+    repaid = credit.repaid_last_version(roles.installment(spark, sf), month_of_days(credit.days_past_due()), "mpd")
+    return repaid.groupBy("client_id", "loan_id", "mpd").agg(F.round(F.sum("repaid"), 4).alias("repaid"))
 
 
 @query("expected_mpd_loan", f"WITH {MPD}, {LOAN_AMOUNT} {expected_sql(['client_id', 'loan_id'], 'loan_amount', 'mpd', 'repaid_mpd')}")
