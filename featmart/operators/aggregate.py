@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmart.functions.scalars import STATUS_ORDER
@@ -125,17 +125,19 @@ def client_pivot_agg(
     client_key: str = "client_id",
     loan_key: str = "loan_id",
     status: str | None = None,
+    statuses: Sequence[str] | None = None,
     include_uniques: bool = True,
     columns: Sequence[str] = (),
 ) -> DataFrame:
     """Group several loans of a client by a pivot (month or instalment number), counting rows.
 
-    `status` is reduced to the most telling one of the group. With `include_uniques=False`
+    `status` is reduced to the most telling one of the group; `statuses` lists its values,
+    otherwise they are looked up. With `include_uniques=False`
     the rows of clients that have one loan only pass through ungrouped, as n_prev = 1.
     """
     grouped_aggs = [F.count("*").alias("n_prev"), *aggs]
     if status:
-        grouped_aggs.append(combined_status(status).alias(status))
+        grouped_aggs.append(combined_status(status, statuses or categories_of(df, status)).alias(status))
     if include_uniques:
         return df.groupBy(client_key, pivot).agg(*grouped_aggs)
     loans = df.groupBy(client_key).agg((F.min(loan_key) == F.max(loan_key)).alias("_single"))
@@ -147,22 +149,20 @@ def client_pivot_agg(
     return grouped.unionByName(single)
 
 
-def combined_status(status: str, order: Sequence[str] = STATUS_ORDER) -> Column:
-    """Most telling status of a group; without one, the distinct other statuses joined."""
-    text = F.concat_ws("", F.array_sort(F.collect_set(F.when(~_mentions_any(status, order), F.col(status)))))
+def combined_status(status: str, known: Sequence[str], order: Sequence[str] = STATUS_ORDER) -> Column:
+    """Most telling status of a group; without one, its other statuses joined in order.
+
+    One boolean per known status is all the aggregate keeps, so it hashes and combines
+    map-side whatever the size of the group.
+    """
+    others = [s for s in sorted(known) if not any(name in s for name in order)]
+    text = F.concat_ws("", *[F.when(F.bool_or(F.col(status) == s), F.lit(s)) for s in others])
     out = F.when(text != "", text)
     for name in reversed(order):
         out = F.when(F.bool_or(F.col(status).contains(name)), F.lit(name)).otherwise(out)
     return out
 
 
-def _mentions_any(status: str, order: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for name in order:
-        hit = hit | F.col(status).contains(name)
-    return hit
-
-
 def region_table(
     client: DataFrame, region: str, label: str, rating: str, ratings: Sequence, flags: Mapping[str, Column]
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featmart.operators.columns import equal_width_bins
 from featmart.operators.ordering import ordered_prefix
+from featmart.operators.profiling import value_frequencies
 from featmart.session import with_row
 
 
@@ -23,24 +24,25 @@ def correlation_table(df: DataFrame, columns: Sequence[str], decimals: int = 9)
     )
 
 
-def average_ranks(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
-    """(value, average rank): ranks of the distinct values, ties sharing their mean.
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, rank): ranks of the distinct values, ties sharing their mean.
 
-    Equal values are merged before the sort, so a value held by a third of the rows is
-    one row of it.
+    Equal values are merged first, so a value held by a third of the rows is one row of
+    the single sort that orders all columns.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    placed = ordered_prefix(counts, [F.col(column)], {"_upto": F.col("_n")})
-    return placed.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    counts = value_frequencies(df, columns, "double")
+    placed = ordered_prefix(counts, [F.col("value")], {"_upto": F.col("n")}, by=["column_name"])
+    return placed.select("column_name", "value", (F.col("_upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman_table(df: DataFrame, columns: Sequence[str], decimals: int = 9) -> DataFrame:
     """Rank correlation of each pair: Pearson over average ranks of the complete rows."""
-    complete = df.select(*columns).dropna()
+    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    ranks = average_ranks(complete, columns)
     ranked = complete
     for c in columns:
-        ranks = average_ranks(complete, c, f"_r_{c}")
-        ranked = ranked.join(ranks, c)
+        own = ranks.filter(F.col("column_name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
+        ranked = ranked.join(own, c)
     return correlation_table(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns, decimals)
 
 

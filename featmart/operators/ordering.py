@@ -12,6 +12,7 @@ Three tools, picked by what bounds the data:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -143,7 +144,7 @@ def hash_rank(
     key: str,
     by: Sequence[str] = (),
     seed: int = 0,
-    buckets: int = 4096,
+    buckets: int = 65_536,
     name: str = "rank",
 ) -> DataFrame:
     """1-based rank of each row along (hash of `key`, `key`), within `by`.
@@ -165,7 +166,7 @@ def first_n_by_hash(
     n: DataFrame | int,
     by: Sequence[str] = (),
     seed: int = 0,
-    buckets: int = 4096,
+    buckets: int = 65_536,
 ) -> DataFrame:
     """Exactly the first `n` rows of each `by` class along the hash order.
 
@@ -251,76 +252,76 @@ def _counts(wide: DataFrame) -> list[int]:
 
 
 def _select_ranks(
-    wide: DataFrame, counts: list[int], ranks: list[list[int]], buckets: int
+    wide: DataFrame, counts: list[int], ranks: list[list[int]], buckets: int, slice_rows: int = 5_000_000
 ) -> list[dict[int, float]]:
     """Selection by counting: approximate edges, counts per bucket, then only the buckets
-    that hold a wanted rank, with equal values merged before they are shuffled."""
+    that hold a wanted rank, with equal values merged before they are shuffled.
+
+    Every edge also closes a bucket right behind itself, so a value shared by many rows
+    sits alone in its bucket and is answered from the counts. A bucket of more than
+    `slice_rows` different rows is selected from in the same way again.
+    """
     cols = wide.columns
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edge_row = wide.agg(*[F.percentile_approx(c, steps, 10 * buckets).alias(c) for c in cols]).first()
-    splits = [[float("-inf"), *sorted(set(edge_row[c] or [0.0])), float("inf")] for c in cols]
+    splits = []
+    for c in cols:
+        edges = {e for v in edge_row[c] or [0.0] for e in (v, math.nextafter(v, math.inf))}
+        splits.append([-math.inf, *sorted(e for e in edges if math.isfinite(e)), math.inf])
     placed = Bucketizer(
         inputCols=cols,
         outputCols=[f"b{i}" for i in range(len(cols))],
         splitsArray=splits,
         handleInvalid="keep",
     ).transform(wide)
-    long = (
-        placed.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("id"),
-                            F.col(f"b{i}").cast("int").alias("bucket"),
-                            F.col(c).alias("value"),
-                        )
-                        for i, c in enumerate(cols)
-                    ]
-                )
-            ).alias("s")
-        )
-        .select("s.*")
-        .filter(F.col("value").isNotNull())
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("id"), F.col(f"b{i}").cast("int").alias("bucket"), F.col(c).alias("value"))
+            for i, c in enumerate(cols)
+        ]
     )
-    per_bucket = long.groupBy("id", "bucket").count().collect()
+    long = placed.select(F.explode(cells).alias("s")).select("s.*").filter(F.col("value").isNotNull())
+    per_bucket = long.groupBy("id", "bucket").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).collect()
 
-    wanted: dict[tuple[int, int], int] = {}
+    found: list[dict[int, float]] = [{} for _ in cols]
+    sliced: dict[tuple[int, int], tuple[int, list[int]]] = {}
     for i, targets in enumerate(ranks):
         before = 0
-        for bucket, size in sorted((r["bucket"], r["count"]) for r in per_bucket if r["id"] == i):
-            if any(before <= t < before + size for t in targets):
-                wanted[(i, bucket)] = before
-            before += size
-    in_slice = F.lit(False)
+        for row in sorted((r for r in per_bucket if r["id"] == i), key=lambda r: r["bucket"]):
+            inside = [t for t in targets if before <= t < before + row["n"]]
+            if inside and row["low"] == row["high"]:
+                found[i] |= {t: row["low"] for t in inside}
+            elif inside and row["n"] > slice_rows:
+                part = wide.select(cols[i]).filter(F.col(cols[i]).between(row["low"], row["high"]))
+                deeper = _select_ranks(part, [row["n"]], [[t - before for t in inside]], buckets, slice_rows)[0]
+                found[i] |= {t: deeper[t - before] for t in inside}
+            elif inside:
+                sliced[(i, row["bucket"])] = (before, inside)
+            before += row["n"]
+    if not sliced:
+        return found
+
+    in_slice, is_answer = F.lit(False), F.lit(False)
     base = F.lit(None).cast("long")
-    for (i, bucket), before in wanted.items():
+    for (i, bucket), (before, inside) in sliced.items():
         hit = (F.col("id") == i) & (F.col("bucket") == bucket)
         in_slice = in_slice | hit
         base = F.when(hit, F.lit(before).cast("long")).otherwise(base)
-    inside = Window.partitionBy("id", "bucket").orderBy("value").rowsBetween(
+        for t in inside:
+            is_answer = is_answer | (hit & (F.col("upto") > t) & (F.col("upto") - F.col("n") <= t))
+    within = Window.partitionBy("id", "bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     merged = (
         long.filter(in_slice)
         .groupBy("id", "bucket", "value")
-        .count()
-        .withColumn("upto", F.sum("count").over(inside) + base)
+        .agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(within) + base)
     )
-    is_answer = F.lit(False)
-    for i, targets in enumerate(ranks):
-        for t in targets:
-            is_answer = is_answer | (
-                (F.col("id") == i) & (F.col("upto") > t) & (F.col("upto") - F.col("count") <= t)
-            )
-    answers = merged.filter(is_answer).select("id", "value", "upto", "count").collect()
-    return [
-        {
-            t: next(
-                r["value"] for r in answers
-                if r["id"] == i and r["upto"] - r["count"] <= t < r["upto"]
-            )
-            for t in targets
-        }
-        for i, targets in enumerate(ranks)
-    ]
+    for r in merged.filter(is_answer).collect():
+        for t in sliced[(r["id"], r["bucket"])][1]:
+            if r["upto"] - r["n"] <= t < r["upto"]:
+                found[r["id"]][t] = r["value"]
+    return found

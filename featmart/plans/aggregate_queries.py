@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featmart.functions.scalars import STATUS_ORDER, mapped, status_by_priority
-from featmart.operators import aggregate, columns
+from featmart.functions.scalars import mapped, status_by_priority
+from featmart.operators import aggregate
 from featmart.plans import mart, roles
 from featmart.plans.registry import query
 from featmart.sources.tables import scan
@@ -154,6 +154,7 @@ def card_rows(spark, sf):
     return account.join(names, "loan_id")
 
 
+CONTRACTS = tuple(mart.STATUS_NAMES.values())
 CARD_ROWS = """card AS (SELECT a.client_id, a.loan_id, a.month, a.balance, a.payment,
   CASE l.status WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Active' ELSE 'Refused' END AS contract
   FROM account a JOIN loan l ON a.loan_id = l.loan_id)"""
@@ -164,7 +165,9 @@ CONTRACT = "CASE WHEN bool_or(contract = 'Active') THEN 'Active' WHEN bool_or(co
 WITH {CARD_ROWS} SELECT client_id, month, count(*) AS n_prev, round(sum(balance), 4) AS balance,
   round(sum(payment), 4) AS payment, {CONTRACT} AS contract FROM card GROUP BY 1, 2""")
 def client_month_agg(spark, sf):
-    return aggregate.client_pivot_agg(card_rows(spark, sf), "month", pivot_sums("balance", "payment"), status="contract")
+    return aggregate.client_pivot_agg(
+        card_rows(spark, sf), "month", pivot_sums("balance", "payment"), status="contract", statuses=CONTRACTS
+    )
 
 
 @query("client_month_agg_multi", f"""
@@ -175,7 +178,7 @@ UNION ALL
 SELECT c.client_id, month, 1, balance, payment, contract FROM card c JOIN s ON c.client_id = s.client_id WHERE single""")
 def client_month_agg_multi(spark, sf):
     return aggregate.client_pivot_agg(
-        card_rows(spark, sf), "month", pivot_sums("balance", "payment"), status="contract", include_uniques=False,
+        card_rows(spark, sf), "month", pivot_sums("balance", "payment"), status="contract", statuses=CONTRACTS, include_uniques=False,
         columns=["balance", "payment"],
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from featmart.functions import scalars
 from featmart.operators import columns as cols
+from featmart.operators import profiling
 from featmart.plans import roles
 from featmart.plans.registry import query
 from featmart.sources.tables import scan
@@ -351,6 +352,4 @@ SELECT c.c_custkey, (SELECT count(*) FROM (
   WHERE q.e < c.c_acctbal OR (q.e = c.c_acctbal AND q.e = (SELECT min(c_acctbal) FROM customer))) AS bin
 FROM customer c""")
 def quantile_bins(spark, sf):
-    from featmart.operators.profiling import quantile_bins as bins
-
-    return bins(scan(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 10).drop("c_acctbal")
+    return profiling.quantile_bins(scan(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 10).drop("c_acctbal")

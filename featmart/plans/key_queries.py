@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featmart.operators import cleaning, columns, compare, keys
+from featmart.operators import cleaning, compare, keys
 from featmart.plans import roles
 from featmart.plans.registry import query
 from featmart.sources.tables import scan

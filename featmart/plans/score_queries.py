@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featmart.operators import association, cleaning, drift, sampling, scoring
-from featmart.operators.columns import numeric_columns
+from featmart.operators import association, drift, modeling, sampling, scoring
 from featmart.operators.ordering import spread_sql
-from featmart.plans import mart, roles
+from featmart.plans import roles
 from featmart.plans.registry import query
 from featmart.sources.tables import scan
 
@@ -319,8 +318,6 @@ m AS (SELECT quantile_cont(amount, 0.5) AS amount FROM x), i AS (SELECT x.* REPL
 s AS (SELECT {", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in FEATURES)} FROM i)
 SELECT target, {", ".join(f"round(({c} - lo_{c}) / (hi_{c} - lo_{c}), 9) AS {c}" for c in FEATURES)} FROM i, s""")
 def train_preproc(spark, sf):
-    from featmart.operators.modeling import prepare_training
-
     rows = profile(spark, sf).withColumn("amount", F.when(F.col("amount") > 100000, F.col("amount")))
-    scaled = prepare_training(rows, "target", ["client_id"], FEATURES)
+    scaled = modeling.prepare_training(rows, "target", ["client_id"], FEATURES)
     return scaled.select("target", *[F.round(c, 9).alias(c) for c in FEATURES])

@@ -25,6 +25,7 @@ def build_session(app: str = "featmart", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Wide feature rows (one column per statistic) stay in generated code.
         "spark.sql.codegen.maxFields": "400",
     }
@@ -61,6 +62,9 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.codegen.maxFields", "400")
+    # Where the rows are sorted on the key already, aggregate along the sort: run arrays are
+    # then built one key at a time.
+    spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:

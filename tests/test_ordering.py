@@ -58,6 +58,15 @@ def test_exact_quantiles_by_selection(spark):
     assert selected["none"] == [None] * len(probs)
 
 
+def test_selection_goes_deeper_into_large_buckets(spark):
+    rng = np.random.default_rng(0)
+    values = np.concatenate([np.full(1000, 2.5), rng.lognormal(3, 2, 2000)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    ranks = [0, 10, 700, 1500, 1501, 2500, 2999]
+    got = ordering._select_ranks(df, [3000], [ranks], buckets=4, slice_rows=50)[0]
+    assert got == {r: np.sort(values)[r] for r in ranks}
+
+
 def test_order_statistics(spark):
     df = hot_rows(spark)
     values = sorted(r["v"] for r in df.collect())
