@@ -302,7 +302,7 @@ def string_functions(spark, sf):
 
 
 @query("math_functions", """
-SELECT l_orderkey, l_linenumber, l_partkey, exp(l_discount) AS e, ln(l_extendedprice) AS l,
+SELECT l_orderkey, l_linenumber, l_partkey, round(exp(l_discount), 9) AS e, round(ln(l_extendedprice), 9) AS l,
        round(l_extendedprice / 7, 3) AS r, CAST(floor(-l_quantity / 4) AS BIGINT) AS fd,
        l_extendedprice % 1 AS frac, abs(-l_tax) AS a, -l_quantity AS neg, sign(l_discount - 0.05) AS s
 FROM lineitem""")
@@ -310,8 +310,8 @@ def math_functions(spark, sf):
     price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
     return scan(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        F.exp("l_discount").alias("e"),
-        F.ln(price).alias("l"),
+        F.round(F.exp("l_discount"), 9).alias("e"),
+        F.round(F.ln(price), 9).alias("l"),
         F.round(price / 7, 3).alias("r"),
         F.floor(-quantity / 4).alias("fd"),
         F.pmod(price, F.lit(1.0)).alias("frac"),

@@ -10,6 +10,11 @@ from featmart.plans.registry import query
 from featmart.plans.source_queries import COLUMNS
 from featmart.sources.tables import scan
 
+
+def rounded(df, *columns, decimals=6):
+    return df.withColumns({c: F.round(c, decimals) for c in columns})
+
+
 TAIL = """c AS (SELECT {col} AS value, count(*) AS n FROM {table} GROUP BY 1),
 o AS (SELECT value, n, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING) AS upto,
       row_number() OVER (ORDER BY n DESC, value) AS place FROM c),
@@ -82,19 +87,19 @@ def moments_sql(c: str, d: int = 4) -> str:
 
 
 @query("data_report_numeric", " UNION ALL ".join(
-    f"""(WITH q AS (SELECT {moments_sql(c, 3)}, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,
-         quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25) AS iqr,
+    f"""(WITH q AS (SELECT {moments_sql(c, 3)}, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median,
+         round(quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS iqr,
          count(DISTINCT {c}) AS n_unique, count(*) - count({c}) AS n_missing FROM lineitem),
     o AS (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) AS p FROM lineitem),
     v AS (SELECT {c} AS x, count(*) AS k FROM lineitem GROUP BY 1),
     m AS (SELECT CAST(min(x) AS DOUBLE) AS first_mode, count(*) AS n_modes FROM v WHERE k = (SELECT max(k) FROM v))
     SELECT '{c}' AS column_name, q.*, m.*,
       round((SELECT avg(x) FROM o, q WHERE p > floor(0.1 * n) AND p <= n - floor(0.1 * n)), 6) AS trim_mean,
-      (SELECT quantile_cont(abs({c} - median), 0.5) / 0.6744897501960817 FROM lineitem, q) AS mad,
+      (SELECT round(quantile_cont(abs({c} - median), 0.5) / 0.6744897501960817, 6) FROM lineitem, q) AS mad,
       '{'int' if c == 'l_linenumber' else 'double'}' AS type FROM q, m)""" for c in NUMBERS))
 def data_report_numeric(spark, sf):
     report = profiling.numeric_report(scan(spark, sf, "lineitem").select(*NUMBERS), list(NUMBERS))
-    return report.withColumn("trim_mean", F.round("trim_mean", 6))
+    return rounded(report, "trim_mean", "median", "iqr", "mad")
 
 
 @query("data_report_categorical", " UNION ALL ".join(
@@ -109,18 +114,15 @@ def data_report_categorical(spark, sf):
 
 @query("expl_analysis", " UNION ALL ".join(
     f"""(WITH v AS (SELECT {c} AS x, count(*) AS k FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1)
-    SELECT '{c}' AS column_name, {moments_sql(c)}, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,
+    SELECT '{c}' AS column_name, {moments_sql(c)}, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median,
     (SELECT count(*) FROM v WHERE k = (SELECT max(k) FROM v)) AS n_modes
     FROM customer JOIN orders ON c_custkey = o_custkey)""" for c in ("c_acctbal", "o_totalprice", "c_nationkey")))
 def expl_analysis(spark, sf):
     rows = scan(spark, sf, "customer").join(scan(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"))
     columns = ["c_acctbal", "o_totalprice", "c_nationkey"]
     modes = profiling.modes(rows, columns).groupBy("column_name").agg(F.count("*").alias("n_modes"))
-    return (
-        profiling.moments(rows, columns)
-        .join(profiling.quantile_table(rows, columns, {"median": 0.5}), "column_name")
-        .join(modes, "column_name")
-    )
+    medians = rounded(profiling.quantile_table(rows, columns, {"median": 0.5}), "median")
+    return profiling.moments(rows, columns).join(medians, "column_name").join(modes, "column_name")
 
 
 @query("all_modes", " UNION ALL ".join(
@@ -203,14 +205,14 @@ DESCRIBED = ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
 @query("describe_all", " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, '{k}' AS type, count({c}) AS n, count(DISTINCT {c}) AS n_unique,
     round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
-    quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50,
-    quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, NULL::VARCHAR AS top, NULL::BIGINT AS freq FROM orders"""
+    round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50,
+    round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75, NULL::VARCHAR AS top, NULL::BIGINT AS freq FROM orders"""
     for c, k in (("o_orderkey", "bigint"), ("o_totalprice", "double"))) + " UNION ALL " + " UNION ALL ".join(
     f"""SELECT '{c}', 'string', (SELECT count({c}) FROM orders), (SELECT count(DISTINCT {c}) FROM orders), NULL, NULL, NULL, NULL,
     NULL, NULL, NULL, top, n FROM (SELECT {c} AS top, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, top DESC LIMIT 1) t{c}"""
     for c in DESCRIBED[2:]))
 def describe_all(spark, sf):
-    return profiling.describe_all(scan(spark, sf, "orders").select(*DESCRIBED))
+    return rounded(profiling.describe_all(scan(spark, sf, "orders").select(*DESCRIBED)), "q25", "q50", "q75")
 
 
 @query("with_total_row", """
@@ -233,12 +235,14 @@ def distinct_values(spark, sf):
 
 
 @query("label_medians", " UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, round(corr({c}, target), 9) AS corr, quantile_cont({c}, 0.5) FILTER (target = 0) AS median_0,
-    quantile_cont({c}, 0.5) FILTER (target = 1) AS median_1 FROM (SELECT balance, CAST(region_key AS DOUBLE) AS region_key, target FROM client WHERE target > -1) l"""
+    f"""SELECT '{c}' AS column_name, round(corr({c}, target), 9) AS corr, round(quantile_cont({c}, 0.5) FILTER (target = 0), 6) AS median_0,
+    round(quantile_cont({c}, 0.5) FILTER (target = 1), 6) AS median_1 FROM (SELECT balance, CAST(region_key AS DOUBLE) AS region_key, target FROM client WHERE target > -1) l"""
     for c in ("balance", "region_key")))
 def label_medians(spark, sf):
     rows = roles.client(spark, sf).filter("target > -1")
-    return profiling.label_summary(rows, ["balance", "region_key"], "target").withColumn("corr", F.round("corr", 9))
+    return profiling.label_summary(rows, ["balance", "region_key"], "target").transform(
+        rounded, "median_0", "median_1"
+    ).withColumn("corr", F.round("corr", 9))
 
 
 @query("label_of_missing", """

@@ -58,6 +58,7 @@ def tune(spark: SparkSession) -> None:
     A skewed join is split even where that costs a later shuffle: without it a hot loan
     would keep its rows in one task from the join on.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
