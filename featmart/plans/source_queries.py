@@ -202,6 +202,14 @@ def client_slice_(spark, sf):
     return slices.client_slice(series, 7, via=roles.loan_map(spark, sf), on="loan_id")
 
 
+@query("client_slice_by_key", "SELECT client_id, loan_id, number, due FROM installment WHERE client_id = (SELECT min(client_id) FROM loan)")
+def client_slice_by_key(spark, sf):
+    rows = roles.installment(spark, sf).select("client_id", "loan_id", "number", "due")
+    path = sinks.save_by_key(rows, scratch_path(spark, "by-key"), "client_id", "loan_id")
+    first = roles.loan(spark, sf).agg(F.min("client_id")).first()[0]
+    return slices.client_slice(spark.read.parquet(path), first)
+
+
 @query("rows_as_json", """
 SELECT '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderpriority":"'
        || o_orderpriority || '"}' AS row_json FROM orders""")

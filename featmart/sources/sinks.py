@@ -33,6 +33,16 @@ def load_mart(spark: SparkSession, folder: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/mart/{version}")
 
 
+def save_by_key(df: DataFrame, path: str, key: str, then: str) -> str:
+    """Parquet ranged and sorted by (key, then), so that a filter on the key skips most row groups.
+
+    Ranges are cut on both columns: the rows of a hot key spread over several files.
+    """
+    ordered = df.repartitionByRange(key, then).sortWithinPartitions(key, then)
+    ordered.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return path
+
+
 def save_submission(df: DataFrame, path: str, key: str, score: str) -> str:
     """CSV of (key, score), written in parallel."""
     df.select(key, score).write.mode("overwrite").option("header", True).csv(path)

@@ -258,3 +258,15 @@ def test_smote_balances_and_stays_between(spark):
     made = neighbors.smote(df, k=3).collect()
     assert len(made) == 30
     assert all(0 <= r["x"][0] <= 9 and r["x"][1] == 1.0 for r in made)
+
+
+def test_key_order_spreads_a_hot_key(spark, tmp_path):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
+    # Small partitions would be coalesced into one file.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = sinks.save_by_key(df.repartition(8), str(tmp_path / "t"), "k", "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = spark.read.parquet(path)
+    assert back.count() == 20_000
+    hot = back.filter("k = 5").select(F.input_file_name().alias("f")).distinct().count()
+    assert hot > 1
