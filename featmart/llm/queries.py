@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import simhash
+from featmart.llm import line_quality, simhash
 from featmart.llm.tables import table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,13 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     classes = simhash.near_classes(table(spark, folder, "documents"))
     return classes.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = line_quality.train(docs, table(spark, folder, "labels"))
+    figures = line_quality.judge(docs, model, ["doc_id"])
+    return figures.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words"
+    )
