@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import line_quality, simhash
+from featmart.llm import line_quality, simhash, token_files
 from featmart.llm.tables import table
+from featmart.session import scratch_path
+
+#: Vocabulary of the token files.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +43,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return figures.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words"
     )
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    files = scratch_path(spark, "tokens")
+    token_files.write(table(spark, folder, "documents"), files, VOCABULARY)
+    return token_files.read(spark, files)
