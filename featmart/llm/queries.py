@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import line_quality, simhash, token_files
+from featmart.llm import decontaminate, line_quality, simhash, token_files
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -50,3 +50,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     files = scratch_path(spark, "tokens")
     token_files.write(table(spark, folder, "documents"), files, VOCABULARY)
     return token_files.read(spark, files)
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
