@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontaminate, line_quality, simhash, token_files
+from featmart.llm import decontaminate, line_quality, mixing, simhash, token_files
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
 #: Vocabulary of the token files.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+#: The mix: a third level above language and source, weights, and the share of all tokens.
+#: `documents` has no domain, so its sources are dealt to three by their name's hash.
+DOMAIN_SQL = "CASE WHEN md5(source) < '6' THEN 'web' WHEN md5(source) < 'b' THEN 'books' ELSE 'code' END"
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 17
+
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -55,3 +61,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
+
+
+@query("op5_source_mix", mixing.mixture_sql(DOMAIN_SQL, MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED))
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mixture(docs, F.expr(DOMAIN_SQL), MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
