@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontaminate, line_quality, mixing, simhash, token_files
+from featmart.llm import decontaminate, line_dedup, line_quality, mixing, simhash, token_files
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -67,3 +67,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.mixture(docs, F.expr(DOMAIN_SQL), MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+
+
+@query("op8_line_dedup", line_dedup.SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
