@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontaminate, line_dedup, line_quality, mixing, simhash, token_files
+from featmart.llm import decontaminate, line_dedup, line_quality, mixing, simhash, token_files, warc
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -72,3 +72,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_line_dedup", line_dedup.SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.remove_boilerplate(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op2_warc_histories")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    # `pages` has no time of capture: seconds since 1970 stand in, one per page id.
+    captured = F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(4_000_000_000)))
+    merged = warc.histories(table(spark, folder, "pages"), captured)
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "at")

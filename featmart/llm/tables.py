@@ -13,12 +13,15 @@ from featmart.sources.tables import scan
 
 #: Rows of an Arrow batch: with very long texts a batch is what a Python worker holds.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, after which it is closed whatever its rows.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A whole table of the given folder, under the settings that the operators count on."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_folder(spark)
     return scan(spark, folder, name)
 
