@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontaminate, line_dedup, line_quality, mixing, simhash, token_files, warc
+from featmart.llm import decontaminate, line_dedup, line_quality, mixing, quality_model, simhash, token_files, warc
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -80,3 +80,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     captured = F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(4_000_000_000)))
     merged = warc.histories(table(spark, folder, "pages"), captured)
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "at")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
