@@ -8,7 +8,9 @@ decode segments, or blocks of one, in parallel.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ PART_BYTES = 24 << 20
 #: Ids after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 21
 #: Different words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 SEGMENT = pa.schema([
     ("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
@@ -40,37 +42,73 @@ SEGMENT_DDL = (
 )
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1
+    bytes stand for themselves, the others for the letters from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+#: Lower-case letters whose words are one pre-token: a-z and the composed Latin letters
+#: of U+00DF to U+017F.
+LATIN = frozenset("abcdefghijklmnopqrstuvwxyz") | {c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c.islower()}
+PUNCTUATION = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordEncoder(dict):
     """Ids of a text, by way of its different words.
 
-    Only for tokenizers that drop ASCII white space and never join across it: the ids of a
-    text are then those of its words in turn, and a word is encoded once while remembered.
-    Words are lower-cased (A-Z) first where the tokenizer lower-cases anyway, unless the
-    text may hold a special token, which is matched before that.
+    Only for the vocabularies that lower-case, drop white space and close words: the ids
+    of a text are then those of its words in turn, and a word is encoded once while
+    remembered. The library does all merging; words of Latin letters go straight to its
+    model, as the steps before it leave them as they are. Words are lower-cased (A-Z)
+    first, unless the text may hold a special token, which is matched before that.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.older: dict[bytes, bytes] = {}
         # Ids go into 16 bits while in memory.
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
+        steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.by_letters = all(steps) and [t for t, _ in steps[1].pre_tokenize_str(steps[0].normalize_str("Éa bc"))] == [
+            "".join(BYTE_LETTERS[b] for b in w.encode()) for w in ("éa", "bc")
+        ]
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        # A closing comma or full stop after a letter or digit is a token of its own.
-        if len(word) > 1 and text[-1] in ".," and text[-2].isascii() and text[-2].isalnum():
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        ids = self.older.get(word) or self.encode(word.decode("utf-8", "replace"))
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        # Closing punctuation after a letter or digit is cut off by the tokenizer too.
+        head = text.rstrip(PUNCTUATION)
+        if head and head != text and "<|" not in text and (head[-1] in LATIN or head[-1] in "0123456789"):
+            return self[head.encode()] + self[text[len(head) :].encode()]
+        if self.by_letters and text.islower() and text.isalpha() and text.isascii():
+            return _packed([t.id for t in self.model.tokenize(text)])
+        if self.by_letters and LATIN.issuperset(text):
+            return _packed([t.id for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, text.encode())))])
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def ids(self, text: bytes, end_id: int) -> np.ndarray:
         words = text.split() if b"<|" in text else text.lower().split()
-        found = [self[w] for w in words]
+        found = list(map(self.__getitem__, words))
         found.append(end_id.to_bytes(2, "little"))
         return np.frombuffer(b"".join(found), dtype="<u2")
 
