@@ -30,21 +30,23 @@ class Crf:
     def decode(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Viterbi tags of sequences laid end to end; sequence i is first[i]:first[i + 1].
 
-        An item whose best tag leads by more than its two transitions can ever give back
-        has that tag on every best path. Such items cut the chains; only the runs between
-        them are searched, in batches of similar length. The result is that of a search
-        over the whole sequences.
+        An item whose best tag leads each other by more than that one's transitions to
+        both sides can ever make up for has its best tag on every best path. Such items
+        cut the chains; only the runs between them are searched, in batches of similar
+        length. The result is that of a search over the whole sequences.
         """
         count = len(scores)
         if not count:
             return np.zeros(0, dtype=np.int8)
         best = scores.argmax(axis=1)
-        lead = np.full(count, np.inf)
-        if scores.shape[1] > 1:
-            top = np.partition(scores, -2, axis=1)
-            lead = top[:, -1] - top[:, -2]
         tags = best.astype(np.int8)
-        open_ = lead <= 2 * (self.moves.max() - self.moves.min()) + 1e-4
+        # gain[b, y]: the most that tag y can win over tag b by its transitions.
+        into = self.moves.T[None, :, :] - self.moves.T[:, None, :]
+        onto = self.moves[None, :, :] - self.moves[:, None, :]
+        gain = into.max(axis=2) + onto.max(axis=2) + 1e-4
+        np.fill_diagonal(gain, -np.inf)
+        lead = np.take_along_axis(scores, best[:, None], axis=1) - scores
+        open_ = (lead <= gain[best]).any(axis=1)
         if not open_.any():
             return tags
         begins = np.zeros(count + 1, dtype=bool)

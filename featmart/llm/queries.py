@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontaminate, line_dedup, line_quality, mixing, quality_model, simhash, token_files, warc
+from featmart.llm import decontaminate, line_dedup, line_quality, mixing, private_data, quality_model, simhash, token_files, warc
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -85,3 +85,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_private_data")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return private_data.find(table(spark, folder, "documents"), ["doc_id"])
