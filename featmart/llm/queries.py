@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontaminate, line_dedup, line_quality, mixing, private_data, quality_model, simhash, token_files, warc
+from featmart.llm import decontaminate, line_dedup, line_quality, mixing, page_text, private_data, quality_model, simhash, token_files, warc
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -90,3 +90,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_private_data")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return private_data.find(table(spark, folder, "documents"), ["doc_id"])
+
+
+@query("op4_page_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return page_text.extract(pages, page_text.train(pages), ["page_id", "url"])
