@@ -20,7 +20,7 @@ from featmart.session import cut_lineage, scratch_path, with_row
 LEVELS = ("domain", "lang", "source")
 #: Leading hexadecimal digits of the order; a leaf is counted in 16^SLICE_DIGITS slices,
 #: and documents are ranked only in the slice where the prefix ends.
-SLICE_DIGITS = 4
+SLICE_DIGITS = 3
 #: What a null stands for in a level or in the order.
 UNKNOWN = "?"
 #: Words: [^\x20\x09-\x0D]+

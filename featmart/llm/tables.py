@@ -17,12 +17,17 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A whole table of the given folder, under the settings that the operators count on."""
+def prepare(spark: SparkSession) -> None:
+    """Settings that the operators count on, for a session built elsewhere."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_folder(spark)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A whole table of the given folder."""
+    prepare(spark)
     return scan(spark, folder, name)
 
 
