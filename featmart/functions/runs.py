@@ -57,16 +57,16 @@ def expand(runs: str | Column, field: str = "value") -> Column:
 
 
 def support_positions(support: str | Column) -> Column:
-    """Positions of a support: running sum of its jumps from -1."""
-    return bound(
-        expand(support, "jump"),
-        lambda gaps: F.transform(
-            gaps,
-            lambda _, i: F.aggregate(
-                F.slice(gaps, F.lit(1), i + 1), F.lit(-1).cast("long"), lambda acc, g: acc + g
-            ),
-        ),
-    )
+    """Positions of a support: each run of jumps is written out from where the one before
+    it ended."""
+
+    def place(acc: Column, r: Column) -> Column:
+        at, jump = acc["at"], r["jump"].cast("long")
+        stop = at + jump * r["len"].cast("long")
+        return F.struct(F.concat(acc["all"], F.sequence(at + jump, stop, jump)).alias("all"), stop.alias("at"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("all"), F.lit(-1).cast("long").alias("at"))
+    return F.aggregate(F.filter(as_column(support), lambda r: r["len"] > 0), start, place, lambda acc: acc["all"])
 
 
 def support_size(support: str | Column) -> Column:
@@ -85,9 +85,13 @@ def support_holes(support: str | Column) -> Column:
     return total(support, where=lambda r: r["jump"] > 1)
 
 
-def dense_row(support: str | Column, frame: str | Column, width: int | Column) -> Column:
-    """Dense array of `width` cells: frame values at the support positions, null elsewhere."""
-    w = F.lit(width) if isinstance(width, int) else width
+def dense_row(support: str | Column, frame: str | Column, width: int | Column | None = None) -> Column:
+    """Dense array of `width` cells: frame values at the support positions, null elsewhere.
+
+    Without a width the row reaches to its last position. `cut_cells` counts what a given
+    width leaves out.
+    """
+    w = F.lit(width) if isinstance(width, int) else support_max(support) + 1 if width is None else width
     places = F.when(w > 0, F.sequence(F.lit(0).cast("long"), w.cast("long") - 1)).otherwise(
         F.array().cast("array<bigint>")
     )
@@ -98,6 +102,12 @@ def dense_row(support: str | Column, frame: str | Column, width: int | Column) -
     )
 
 
+def cut_cells(support: str | Column, width: int | Column) -> Column:
+    """How many positions of a support lie beyond a row of `width` cells."""
+    w = F.lit(width) if isinstance(width, int) else width
+    return F.size(F.filter(support_positions(support), lambda at: at >= w))
+
+
 def is_closed(value: Column, closed: Sequence[str] = CLOSED) -> Column:
     return value.isNull() | value.isin(list(closed))
 

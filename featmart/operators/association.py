@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.operators.columns import equal_width_bins
-from featmart.operators.ordering import ordered_prefix
+from featmart.operators.ordering import null_safe_join, ordered_prefix
 from featmart.operators.profiling import value_frequencies
 from featmart.session import with_row
 
@@ -60,7 +60,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def sample_weights(df: DataFrame, label: str) -> DataFrame:
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    """Rows with the weight of their class; a null class is a class."""
+    return null_safe_join(df, class_weights(df, label).select(label, "weight"), [label])
 
 
 def weighted_mcc(df: DataFrame, label: str, columns: Sequence[str], decimals: int = 9) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
-from itertools import zip_longest
+from itertools import count, zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +38,12 @@ class ColumnGroups:
         self.names = expand_names(names or {})
 
     def flatten(self, group) -> list[str]:
-        """Column names of a group; a nested list interleaves its members."""
-        members = [group] if isinstance(group, str) else group
-        out: list[str] = []
-        for member in members:
-            if isinstance(member, list):
-                out += interleave([self.flatten(part) for part in member])
-            elif member in self.groups:
-                out += self.flatten(self.groups[member])
-            else:
-                out.append(member)
-        return out
+        """Column names of a group: group names stand for their members, and the members
+        of an inner list are taken in turns."""
+        if isinstance(group, str):
+            return self.flatten(list(self.groups[group])) if group in self.groups else [group]
+        parts = ([self.flatten(p) for p in m] if isinstance(m, list) else [self.flatten(m)] for m in group)
+        return [name for columns in parts for name in interleave(columns)]
 
     def select(self, df: DataFrame, group) -> DataFrame:
         return df.select(*self.flatten(group))
@@ -76,13 +71,17 @@ def expand_names(names: Mapping) -> dict[str, str]:
 
 
 def safe_names(columns: Sequence[str]) -> list[str]:
-    """Names of word characters only; repeated names get a running suffix."""
-    seen: dict[str, int] = {}
+    """Names of word characters only, different even without regard to case.
+
+    A name that is taken gets the first free suffix _2, _3, …; an empty one is `column`.
+    """
+    given: set[str] = set()
     out = []
     for name in columns:
-        clean = re.sub(r"\W+", "_", name).strip("_")
-        seen[clean] = seen.get(clean, 0) + 1
-        out.append(clean if seen[clean] == 1 else f"{clean}_{seen[clean]}")
+        clean = re.sub(r"\W+", "_", name).strip("_") or "column"
+        tries = (clean if i == 1 else f"{clean}_{i}" for i in count(1))
+        out.append(next(t for t in tries if t.lower() not in given))
+        given.add(out[-1].lower())
     return out
 
 
@@ -162,12 +161,10 @@ def name_words(df: DataFrame, column: str, words: int = 5, sep: str = "_") -> Da
     return df.withColumns({f"word_{i}": F.get(parts, F.lit(i)) for i in range(words)})
 
 
-def categories_of(df: DataFrame, column: str, limit: int = 5000) -> list:
-    """Sorted distinct values. They become columns, so more than `limit` is an error."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; reduce its long tail first")
-    return sorted(r[0] for r in rows)
+def categories_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct values. Each becomes a column, so a plan can only hold so many: pass
+    the wanted ones, or reduce the long tail first, where there are very many."""
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(
@@ -292,21 +289,24 @@ def drop_collinear(df: DataFrame, columns: Sequence[str], threshold: float = 0.8
 def drop_duplicate_columns(df: DataFrame, row_key: Sequence[str]) -> DataFrame:
     """Drop columns whose content equals that of an earlier column.
 
-    Columns are compared by two order-free 64-bit signatures of (row, value), so no
-    column is ever collected.
+    Columns are compared by the sums of two independent hashes of (row, value), and by
+    their known values; sums do not cancel where row keys repeat. No column is collected.
     """
     columns = [c for c in df.columns if c not in row_key]
     hashed = {c: F.xxhash64(*row_key, F.coalesce(F.col(c).cast("string"), F.lit("\0"))) for c in columns}
     row = df.agg(
         *[
-            F.struct(F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).alias(c)
+            F.struct(
+                F.sum(h.cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), h, c).cast("decimal(38,0)")).alias("y"),
+                F.count(c).alias("n"),
+            ).alias(c)
             for c, h in hashed.items()
         ]
     ).first()
     seen: set = set()
     bad = []
     for c in columns:
-        signature = (row[c]["x"], row[c]["y"])
+        signature = tuple(row[c])
         if signature in seen:
             bad.append(c)
         seen.add(signature)

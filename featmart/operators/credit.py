@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmart.functions.scalars import ratio
-from featmart.operators.ordering import heavy_keys, occurrence_index
+from featmart.operators.ordering import occurrence_index
 
 
 def status_number(status: str | Column) -> Column:
@@ -118,11 +118,10 @@ def keep_last_version(df: DataFrame) -> DataFrame:
     return df.join(last, [*INSTALMENT, "version"], "left_semi")
 
 
-def last_version(df: DataFrame, limit: int = 5_000_000) -> DataFrame:
+def last_version(df: DataFrame) -> DataFrame:
     """Fragments of the last version with their ordinal in payment order."""
     order = [F.col("paid_day").desc(), F.col("due_day"), F.col("due"), F.col("paid")]
-    heavy = heavy_keys(df, INSTALMENT, limit)
-    return occurrence_index(keep_last_version(df), INSTALMENT, order, "fragment", heavy=heavy)
+    return occurrence_index(keep_last_version(df), INSTALMENT, order, "fragment")
 
 
 def days_past_due(due_day: str = "due_day", paid_day: str = "paid_day") -> Column:

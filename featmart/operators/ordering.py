@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -75,55 +76,43 @@ def ordered_prefix(
     )
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = 5_000_000) -> list[int]:
-    """Hashes of keys that hold more than about `limit` rows, by one sketch pass.
+def occurrence_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "occurrence") -> DataFrame:
+    """0-based occurrence number of each key along `order`, null being a key of its own.
 
-    The sketch never misses a key above its error bound; a key listed needlessly only
-    takes the sorted path, so results do not depend on the estimate.
+    Rows are numbered through `ordered_prefix` whatever the sizes of the keys, so a key
+    may hold any share of them.
     """
-    row = df.agg(
-        F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), 1000, 65536)").alias("top")
-    ).first()
-    return [item["item"] for item in (row["top"] or []) if item["count"] > limit]
+    numbered = ordered_prefix(df, order, {name: F.lit(1)}, by=keys)
+    return numbered.withColumn(name, (F.col(name) - 1).cast("long"))
 
 
-def occurrence_index(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str = "occurrence",
-    limit: int = 5_000_000,
-    heavy: Sequence[int] | None = None,
-) -> DataFrame:
-    """0-based occurrence number of each key along `order`.
+def spread(key: str | Column, seed: int = 0) -> Column:
+    """Uniform arithmetic hash of an integer key in [0, 2^31-1), reproducible in plain SQL.
 
-    Keys small enough for one task use a plain window; keys above `limit` rows are
-    numbered through `ordered_prefix`, which spreads each of them over many tasks. Pass
-    `heavy` if the heavy keys are already known.
+    The seed enters before a square, so two seeds give unrelated orders. A null key has
+    the hash 0.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    number = (F.row_number().over(window) - 1).cast("long").alias(name)
-    heavy = heavy_keys(df, keys, limit) if heavy is None else heavy
-    if not heavy:
-        return df.select("*", number)
-    is_heavy = F.xxhash64(*keys).isin(heavy)
-    plain = df.filter(~is_heavy).select("*", number)
-    spread = ordered_prefix(df.filter(is_heavy), order, {name: F.lit(1)}, by=keys)
-    return plain.unionByName(spread.withColumn(name, F.col(name) - 1))
-
-
-def spread(key: str | Column, seed: int = 0) -> Column:
-    """Uniform arithmetic hash of an integer key in [0, 2^31-1), reproducible in plain SQL."""
     col = F.col(key) if isinstance(key, str) else key
     modulus = F.lit(HASH_MODULUS).cast("long")
-    return F.pmod((F.pmod(col.cast("long") + seed, modulus) + 1) * HASH_MULTIPLIER, modulus)
+    first = F.pmod((F.pmod(col.cast("long"), modulus) + 1) * HASH_MULTIPLIER + _shift(seed), modulus)
+    return F.coalesce(F.pmod(F.pmod(first * first, modulus) * HASH_MULTIPLIER + first, modulus), F.lit(0).cast("long"))
+
+
+def _shift(seed: int) -> int:
+    return (seed * 69621 + 12345) % HASH_MODULUS
 
 
 def spread_sql(key: str, seed: int = 0) -> str:
     """SQL text of `spread` for non-negative keys."""
-    return (
-        f"(((CAST({key} AS BIGINT) + {seed}) % {HASH_MODULUS} + 1) * {HASH_MULTIPLIER}) % {HASH_MODULUS}"
-    )
+    first = f"(((CAST({key} AS BIGINT) % {HASH_MODULUS} + 1) * {HASH_MULTIPLIER} + {_shift(seed)}) % {HASH_MODULUS})"
+    return f"coalesce((({first} * {first}) % {HASH_MODULUS} * {HASH_MULTIPLIER} + {first}) % {HASH_MODULUS}, 0)"
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the columns of `right` follow, without its keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _hash_buckets(df: DataFrame, key: str, by: Sequence[str], seed: int, buckets: int):
@@ -150,12 +139,13 @@ def hash_rank(
     """1-based rank of each row along (hash of `key`, `key`), within `by`.
 
     `key` must identify a row. A `by` class of any size is cut into `buckets` equal hash
-    ranges, so no window task sees more than about 1/buckets of it.
+    ranges, so no window task sees more than about 1/buckets of it. A null class is a
+    class, and null keys rank with the hash 0, before other keys of that hash.
     """
     by = list(by)
     hashed, offsets = _hash_buckets(df, key, by, seed, buckets)
     inside = Window.partitionBy(*by, "_bucket").orderBy("_h", key)
-    return hashed.join(offsets, [*by, "_bucket"]).select(
+    return null_safe_join(hashed, offsets, [*by, "_bucket"]).select(
         *df.columns, (F.row_number().over(inside) + F.col("_before")).alias(name)
     )
 
@@ -171,17 +161,18 @@ def first_n_by_hash(
     """Exactly the first `n` rows of each `by` class along the hash order.
 
     `n` is a number, or a table (by…, n). Buckets wholly below n are kept as they are;
-    only the bucket where n falls is ranked, so almost no row is shuffled.
+    only the bucket where n falls is ranked, so almost no row is shuffled. Nulls count as
+    in `hash_rank`.
     """
     by = list(by)
     hashed, offsets = _hash_buckets(df, key, by, seed, buckets)
     if isinstance(n, int):
         offsets = offsets.withColumn("_want", F.lit(n))
     elif by:
-        offsets = offsets.join(n.withColumnRenamed("n", "_want"), by)
+        offsets = null_safe_join(offsets, n.withColumnRenamed("n", "_want"), by)
     else:
         offsets = with_row(offsets, n.select(F.col("n").alias("_want")))
-    placed = hashed.join(offsets, [*by, "_bucket"])
+    placed = null_safe_join(hashed, offsets, [*by, "_bucket"])
     end = F.col("_before") + F.col("_n")
     whole = placed.filter(end <= F.col("_want")).select(*df.columns)
     inside = Window.partitionBy(*by, "_bucket").orderBy("_h", key)
@@ -195,29 +186,16 @@ def first_n_by_hash(
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Mapping[str, Column],
-    probs: Sequence[float],
-    small: int = 2_000_000,
-    buckets: int = 512,
+    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], buckets: int | None = None
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several numeric expressions.
 
-    Nulls are skipped. Up to `small` values per expression the built-in aggregate is
-    used, since its buffer is then bounded; beyond that the ranks are selected by
-    `order_statistics`. Only the answers reach the driver.
+    Nulls are skipped. The wanted ranks are selected by `order_statistics` at every size;
+    only the answers reach the driver.
     """
     names = list(columns)
-    wide = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    counts = _counts(wide)
-    if max(counts) <= small:
-        row = wide.agg(
-            *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in wide.columns]
-        ).first()
-        return {
-            n: list(row[c]) if row[c] is not None else [None] * len(probs)
-            for n, c in zip(names, wide.columns)
-        }
+    wide = _wide(df, columns)
+    counts = _counts(wide, len(names))
     places = [[divmod(p * (n - 1), 1) if n else None for p in probs] for n in counts]
     ranks = [
         sorted({r for low, _ in spots for r in (int(low), min(int(low) + 1, n - 1))}) if n else []
@@ -230,38 +208,55 @@ def exact_quantiles(
             out[name] = [None] * len(probs)
             continue
         out[name] = [
-            found[i][int(low)] + (found[i][min(int(low) + 1, counts[i] - 1)] - found[i][int(low)]) * part
+            float(found[i][int(low)] + (found[i][min(int(low) + 1, counts[i] - 1)] - found[i][int(low)]) * part)
             for low, part in places[i]
         ]
     return out
 
 
 def order_statistics(
-    df: DataFrame, columns: Mapping[str, Column], ranks: Mapping[str, Sequence[int]], buckets: int = 512
-) -> dict[str, dict[int, float]]:
-    """Values at the given 0-based ranks of each expression, exact, nulls skipped."""
+    df: DataFrame, columns: Mapping[str, Column], ranks: Mapping[str, Sequence[int]], buckets: int | None = None
+) -> dict[str, dict[int, float | int]]:
+    """Values at the given 0-based ranks of each expression, exact, nulls skipped.
+
+    Integers come back as integers, whatever their size.
+    """
     names = list(columns)
-    wide = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    found = _select_ranks(wide, _counts(wide), [list(ranks[n]) for n in names], buckets)
+    wide = _wide(df, columns)
+    found = _select_ranks(wide, _counts(wide, len(names)), [list(ranks[n]) for n in names], buckets)
     return dict(zip(names, found))
 
 
-def _counts(wide: DataFrame) -> list[int]:
-    row = wide.agg(*[F.count(c).alias(c) for c in wide.columns]).first()
-    return [row[c] for c in wide.columns]
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+#: Slices that values are counted in: one per so many rows, within these bounds.
+SLICE_ROWS, FEWEST_SLICES, MOST_SLICES = 1_000_000, 512, 20_000
 
 
-def _select_ranks(
-    wide: DataFrame, counts: list[int], ranks: list[list[int]], buckets: int, slice_rows: int = 5_000_000
-) -> list[dict[int, float]]:
+def _wide(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Each expression as a double c0, c1, …, and as an exact integer e0, e1, … where it is one."""
+    named = df.select(*[c.alias(f"v{i}") for i, c in enumerate(columns.values())])
+    kinds = dict(named.dtypes)
+    return named.select(
+        *[F.col(f"v{i}").cast("double").alias(f"c{i}") for i in range(len(kinds))],
+        *[(F.col(f"v{i}") if kinds[f"v{i}"] in INTEGERS else F.lit(None)).cast("bigint").alias(f"e{i}") for i in range(len(kinds))],
+    )
+
+
+def _counts(wide: DataFrame, columns: int) -> list[int]:
+    row = wide.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(columns)]).first()
+    return list(row)
+
+
+def _select_ranks(wide: DataFrame, counts: list[int], ranks: list[list[int]], buckets: int | None = None) -> list[dict]:
     """Selection by counting: approximate edges, counts per bucket, then only the buckets
     that hold a wanted rank, with equal values merged before they are shuffled.
 
     Every edge also closes a bucket right behind itself, so a value shared by many rows
-    sits alone in its bucket and is answered from the counts. A bucket of more than
-    `slice_rows` different rows is selected from in the same way again.
+    sits alone in its bucket and is answered from the counts.
     """
-    cols = wide.columns
+    cols = [f"c{i}" for i in range(len(counts))]
+    if buckets is None:
+        buckets = min(max(max(counts, default=0) // SLICE_ROWS, FEWEST_SLICES), MOST_SLICES)
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edge_row = wide.agg(*[F.percentile_approx(c, steps, 10 * buckets).alias(c) for c in cols]).first()
     splits = []
@@ -276,27 +271,27 @@ def _select_ranks(
     ).transform(wide)
     cells = F.array(
         *[
-            F.struct(F.lit(i).alias("id"), F.col(f"b{i}").cast("int").alias("bucket"), F.col(c).alias("value"))
+            F.struct(
+                F.lit(i).alias("id"), F.col(f"b{i}").cast("int").alias("bucket"), F.col(c).alias("value"), F.col(f"e{i}").alias("exact")
+            )
             for i, c in enumerate(cols)
         ]
     )
     long = placed.select(F.explode(cells).alias("s")).select("s.*").filter(F.col("value").isNotNull())
-    per_bucket = long.groupBy("id", "bucket").agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
-    ).collect()
+    low, high = F.min(F.struct("value", "exact")), F.max(F.struct("value", "exact"))
+    per_bucket = long.groupBy("id", "bucket").agg(F.count("*").alias("n"), low.alias("low"), high.alias("high")).collect()
+
+    def answer(cell):
+        return cell["value"] if cell["exact"] is None else cell["exact"]
 
-    found: list[dict[int, float]] = [{} for _ in cols]
+    found: list[dict] = [{} for _ in cols]
     sliced: dict[tuple[int, int], tuple[int, list[int]]] = {}
     for i, targets in enumerate(ranks):
         before = 0
         for row in sorted((r for r in per_bucket if r["id"] == i), key=lambda r: r["bucket"]):
             inside = [t for t in targets if before <= t < before + row["n"]]
             if inside and row["low"] == row["high"]:
-                found[i] |= {t: row["low"] for t in inside}
-            elif inside and row["n"] > slice_rows:
-                part = wide.select(cols[i]).filter(F.col(cols[i]).between(row["low"], row["high"]))
-                deeper = _select_ranks(part, [row["n"]], [[t - before for t in inside]], buckets, slice_rows)[0]
-                found[i] |= {t: deeper[t - before] for t in inside}
+                found[i] |= {t: answer(row["low"]) for t in inside}
             elif inside:
                 sliced[(i, row["bucket"])] = (before, inside)
             before += row["n"]
@@ -311,17 +306,17 @@ def _select_ranks(
         base = F.when(hit, F.lit(before).cast("long")).otherwise(base)
         for t in inside:
             is_answer = is_answer | (hit & (F.col("upto") > t) & (F.col("upto") - F.col("n") <= t))
-    within = Window.partitionBy("id", "bucket").orderBy("value").rowsBetween(
+    within = Window.partitionBy("id", "bucket").orderBy("value", "exact").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     merged = (
         long.filter(in_slice)
-        .groupBy("id", "bucket", "value")
+        .groupBy("id", "bucket", "value", "exact")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(within) + base)
     )
     for r in merged.filter(is_answer).collect():
         for t in sliced[(r["id"], r["bucket"])][1]:
             if r["upto"] - r["n"] <= t < r["upto"]:
-                found[r["id"]][t] = r["value"]
+                found[r["id"]][t] = answer(r)
     return found

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmart.operators.columns import edge_bins, equal_width_bins, numeric_columns, string_columns
-from featmart.operators.ordering import exact_quantiles, order_statistics, ordered_prefix
+from featmart.operators.ordering import INTEGERS, exact_quantiles, order_statistics, ordered_prefix
 from featmart.session import with_row
 
 # Fixed value: the third quartile of the standard normal distribution.
@@ -141,11 +141,24 @@ def moments(df: DataFrame, columns: Sequence[str], decimals: int = 4) -> DataFra
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str], kind: str = "string") -> DataFrame:
-    """(column_name, value, n) for every known value of every column, one shuffle."""
-    long = df.select(*[F.col(c).cast(kind).alias(c) for c in columns]).unpivot(
-        [], list(columns), "column_name", "value"
-    )
-    return long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    """(column_name, value, n) for every known value of every column, one shuffle.
+
+    Values are counted as they are and cast to `kind` afterwards, so that large integers
+    stay apart even where the result is a double.
+    """
+    kinds = dict(df.dtypes)
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        groups.setdefault("bigint" if kind == "double" and kinds[c] in INTEGERS else kind, []).append(c)
+    parts = [
+        df.select(*[F.col(c).cast(exact).alias(c) for c in named])
+        .unpivot([], named, "column_name", "value")
+        .filter(F.col("value").isNotNull())
+        .groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        .withColumn("value", F.col("value").cast(kind))
+        for exact, named in groups.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def modes(df: DataFrame, columns: Sequence[str], kind: str = "double") -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featmart.operators.ordering import first_n_by_hash, hash_rank
+from featmart.operators.ordering import first_n_by_hash, hash_rank, null_safe_join
 from featmart.session import with_row
 
 
@@ -20,12 +19,15 @@ def sample_exact(df: DataFrame, key: str, size: int | float, seed: int = 0) -> D
 
 
 def named_samples(df: DataFrame, key: str, label: str, specs: Mapping[str, int | float], seed: int = 0) -> DataFrame:
-    """The named samples of the labelled rows, stacked."""
+    """The named samples of the labelled rows, stacked; the rows are ranked once for all."""
     labelled = df.filter(F.col(label) > -1)
-    parts = [
-        sample_exact(labelled, key, size, seed).withColumn("sample", F.lit(name)) for name, size in specs.items()
+    size = labelled.agg(F.count("*").alias("_all"))
+    ranked = with_row(hash_rank(labelled, key, seed=seed, name="_rank"), size)
+    fits = [
+        F.when(F.col("_rank") <= (F.floor(F.col("_all") * n) if isinstance(n, float) else F.lit(n)), F.lit(name))
+        for name, n in specs.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return ranked.select(*df.columns, F.explode(F.array_compact(F.array(*fits))).alias("sample"))
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -52,9 +54,17 @@ def over_sample(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame
         F.floor(F.col("_most") / F.col("size")).alias("_times"),
         (F.col("_most") % F.col("size")).alias("_extra"),
     )
-    ranked = hash_rank(df, key, by=[label], seed=seed, name="_rank").join(plan, label)
+    ranked = null_safe_join(hash_rank(df, key, by=[label], seed=seed, name="_rank"), plan, [label])
     times = F.col("_times") + F.when(F.col("_rank") <= F.col("_extra"), 1).otherwise(0)
-    return ranked.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy"))
+    return repeated(ranked.select(*df.columns, times.alias("_times")), "_times").select(*df.columns, "copy")
+
+
+def repeated(df: DataFrame, times: str, name: str = "copy", block: int = 1000) -> DataFrame:
+    """Each row `times` times, numbered from 1; numbers are made a block at a time, so a row
+    repeated very often never becomes one long array."""
+    blocks = df.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times), F.lit(block).cast("long"))))
+    upto = F.least(F.col("_from") + (block - 1), F.col(times))
+    return blocks.withColumn(name, F.explode(F.sequence("_from", upto))).drop("_from")
 
 
 def assign_folds(df: DataFrame, key: str, folds: int, by: str | None = None, seed: int = 0, name: str = "fold") -> DataFrame:

@@ -7,6 +7,7 @@ share of the raw rows it had.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,8 +99,15 @@ def expand_runs(df: DataFrame, keys: Sequence[str], support: str, frame: str, or
     )
 
 
-def pivot_values(df: DataFrame, keys: Sequence[str], column: str, values: Sequence, aggs: Sequence[Column], prefix: str) -> DataFrame:
-    """Pivot over explicit values, so the plan and the schema do not depend on the data."""
+def pivot_values(
+    df: DataFrame, keys: Sequence[str], column: str, aggs: Sequence[Column], prefix: str, values: Sequence | None = None
+) -> DataFrame:
+    """Pivot over the values of `column`: all that occur, or the ones given.
+
+    The values become columns, so they come from a bounded range such as months.
+    """
+    if values is None:
+        values = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
     wide = df.groupBy(*keys).pivot(column, list(values)).agg(*aggs)
     return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns if c not in keys})
 
@@ -122,17 +130,29 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
 def ewm_mean(df: DataFrame, keys: Sequence[str], order: str, column: str, alpha: float, name: str = "ewm") -> DataFrame:
     """Exponentially weighted mean of each series up to every row, weights normalised.
 
-    Weights are taken relative to the first row, which is exact as long as
-    rows·ln(1/(1-alpha)) stays below about 700; monthly series stay far under it.
+    A series is cut into blocks after which a weight has fallen by e^300. Weights restart
+    with each block, so they never overflow, and a row's sums take in its own block and
+    the one before; what lies further back weighs nothing in double precision.
     """
+    decay = 1 - alpha
+    block = max(1, math.ceil(300 / -math.log(decay))) if 0 < decay < 1 else 1
     series = Window.partitionBy(*keys).orderBy(order)
-    so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    weight = F.pow(F.lit(1 - alpha), -(F.row_number().over(series) - 1))
-    weighted = df.withColumn("_w", weight)
-    known = F.when(F.col(column).isNotNull(), F.col("_w"))
-    return weighted.withColumn(
-        name, F.sum(F.col(column) * F.col("_w")).over(so_far) / F.sum(known).over(so_far)
-    ).drop("_w")
+    placed = df.withColumn("_n", F.row_number().over(series) - 1).withColumns(
+        {"_b": F.floor(F.col("_n") / block), "_j": F.col("_n") % block}
+    )
+    inside = Window.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    previous = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
+    power = lambda exponent: F.pow(F.lit(float(decay)), exponent)
+
+    def total(value: Column) -> Column:
+        own = F.coalesce(F.sum(value * power(-F.col("_j"))).over(inside) * power(F.col("_j")), F.lit(0.0))
+        # The block before is always full.
+        carried = F.sum(value * power(block - 1 - F.col("_j"))).over(previous) * power(F.col("_j") + 1)
+        return own + F.coalesce(carried, F.lit(0.0))
+
+    known = F.when(F.col(column).isNotNull(), F.lit(1.0))
+    sums = placed.withColumns({"_x": total(F.col(column).cast("double")), "_w": total(known)})
+    return sums.withColumn(name, F.when(F.col("_w") > 0, F.col("_x") / F.col("_w"))).drop("_n", "_b", "_j", "_x", "_w")
 
 
 def count_peaks(df: DataFrame, column: str, distance: int) -> DataFrame:

@@ -240,11 +240,13 @@ def two_versions(spark, sf):
 
 @query("frame_diff", f"""
 WITH {VERSIONS}
-SELECT a.client_id, a.days_employed IS NOT DISTINCT FROM b.days_employed AS days_employed_same,
+SELECT coalesce(a.client_id, b.client_id) AS client_id,
+       CASE WHEN b.client_id IS NULL THEN 'left' WHEN a.client_id IS NULL THEN 'right' ELSE 'both' END AS present,
+       a.client_id = b.client_id IS TRUE AND a.days_employed IS NOT DISTINCT FROM b.days_employed AS days_employed_same,
        b.days_employed - a.days_employed AS days_employed_diff,
-       a.segment IS NOT DISTINCT FROM b.segment AS segment_same, replace(b.segment, a.segment, '') AS segment_diff,
-       a.area IS NOT DISTINCT FROM b.area AS area_same, b.area - a.area AS area_diff
-FROM a JOIN b ON a.client_id = b.client_id""")
+       a.client_id = b.client_id IS TRUE AND a.segment IS NOT DISTINCT FROM b.segment AS segment_same, replace(b.segment, a.segment, '') AS segment_diff,
+       a.client_id = b.client_id IS TRUE AND a.area IS NOT DISTINCT FROM b.area AS area_same, b.area - a.area AS area_diff
+FROM a FULL JOIN b ON a.client_id = b.client_id""")
 def frame_diff(spark, sf):
     before, after = two_versions(spark, sf)
     return compare.frame_diff(before, after, ["client_id"])
@@ -252,10 +254,10 @@ def frame_diff(spark, sf):
 
 @query("frame_diff_counts", f"""
 WITH {VERSIONS}, j AS (SELECT a.days_employed IS NOT DISTINCT FROM b.days_employed AS d, a.segment IS NOT DISTINCT FROM b.segment AS s,
-  a.area IS NOT DISTINCT FROM b.area AS r FROM a JOIN b ON a.client_id = b.client_id)
-SELECT 'days_employed' AS column_name, count(*) FILTER (d) AS same, count(*) FILTER (NOT d) AS different FROM j UNION ALL
-SELECT 'segment', count(*) FILTER (s), count(*) FILTER (NOT s) FROM j UNION ALL
-SELECT 'area', count(*) FILTER (r), count(*) FILTER (NOT r) FROM j""")
+  a.area IS NOT DISTINCT FROM b.area AS r, a.client_id = b.client_id IS TRUE AS k FROM a FULL JOIN b ON a.client_id = b.client_id)
+SELECT 'days_employed' AS column_name, count(*) FILTER (k AND d) AS same, count(*) FILTER (NOT (k AND d)) AS different FROM j UNION ALL
+SELECT 'segment', count(*) FILTER (k AND s), count(*) FILTER (NOT (k AND s)) FROM j UNION ALL
+SELECT 'area', count(*) FILTER (k AND r), count(*) FILTER (NOT (k AND r)) FROM j""")
 def frame_diff_counts(spark, sf):
     before, after = two_versions(spark, sf)
     return compare.diff_counts(before, after, ["client_id"])

@@ -11,6 +11,7 @@ from featmart.plans import roles
 from featmart.plans.aggregate_queries import pivot_sums
 from featmart.plans.credit_queries import KNOWN, known
 from featmart.plans.registry import query
+from featmart.session import with_row
 from featmart.sources.tables import scan
 
 
@@ -183,17 +184,23 @@ def encoded(spark, sf):
     return supports(spark, sf).join(frame, "loan_id")
 
 
+def full_width(spark, sf):
+    """Encoded loans with the `width` that holds every one of their months."""
+    frames = encoded(spark, sf)
+    return with_row(frames, frames.agg((F.max(runs.support_max("support")) + 1).alias("width")))
+
+
 @query("rle_expand", GAPPED)
 def rle_expand(spark, sf):
     return sequence.expand_runs(encoded(spark, sf), ["loan_id"], "support", "frame", "month", "status")
 
 
 @query("rle_dense_rows", """
-WITH m AS (SELECT unnest(range(0, 25)) AS month), l AS (SELECT DISTINCT loan_id FROM monthly)
+WITH m AS (SELECT unnest(range(0, (SELECT max(month) + 1 FROM monthly))) AS month), l AS (SELECT DISTINCT loan_id FROM monthly)
 SELECT l.loan_id, string_agg(coalesce(nullif(s.status, 'X'), '-'), '' ORDER BY m.month) AS cells
 FROM l CROSS JOIN m LEFT JOIN monthly s ON s.loan_id = l.loan_id AND s.month = m.month GROUP BY 1""")
 def rle_dense_rows(spark, sf):
-    dense = encoded(spark, sf).withColumn("cells", runs.dense_row("support", "frame", 25))
+    dense = full_width(spark, sf).withColumn("cells", runs.dense_row("support", "frame", F.col("width")))
     return dense.select("loan_id", F.array_join("cells", "", "-").alias("cells"))
 
 
@@ -206,7 +213,7 @@ def rle_size_check(spark, sf):
 
 
 @query("rle_divide", f"""
-WITH m AS (SELECT unnest(range(0, 30)) AS month), l AS (SELECT DISTINCT loan_id FROM monthly),
+WITH m AS (SELECT unnest(range(0, (SELECT max(month) + 1 FROM monthly))) AS month), l AS (SELECT DISTINCT loan_id FROM monthly),
 {MARKED.format(source="SELECT l.loan_id, m.month, nullif(s.status, 'X') AS status FROM l CROSS JOIN m LEFT JOIN monthly s ON s.loan_id = l.loan_id AND s.month = m.month")},
 o AS (SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY start) AS up, row_number() OVER (PARTITION BY loan_id ORDER BY start DESC) AS down,
       coalesce(value, 'C') = 'C' AS shut FROM runs)
@@ -216,30 +223,28 @@ SELECT loan_id, coalesce(CAST(sum(len) FILTER (up = 1 AND shut) AS BIGINT), 0) A
        coalesce({TEXT} FILTER (NOT (up = 1 AND shut) AND NOT (down = 1 AND shut)), '') AS core
 FROM o GROUP BY loan_id""")
 def rle_divide(spark, sf):
-    dense = encoded(spark, sf).select("loan_id", runs.array_runs(runs.dense_row("support", "frame", 30)).alias("runs"))
+    dense = full_width(spark, sf).select("loan_id", runs.array_runs(runs.dense_row("support", "frame", F.col("width"))).alias("runs"))
     parts = dense.select("loan_id", runs.divide("runs").alias("d")).select("loan_id", "d.*")
     return parts.withColumn("core", runs.runs_text("core"))
 
 
-@query("pivot_months", "SELECT loan_id, " + ", ".join(
-    f"max(status) FILTER (month = {m}) AS m_{m}" for m in range(30)) + " FROM monthly GROUP BY 1")
+@query("pivot_months", """
+SELECT * FROM (PIVOT (SELECT loan_id, 'm_' || month AS _c, status FROM monthly) ON _c USING max(status) GROUP BY loan_id)""")
 def pivot_months(spark, sf):
-    return sequence.pivot_values(series(spark, sf), ["loan_id"], "month", range(30), [F.max("status")], "m_")
+    return sequence.pivot_values(series(spark, sf), ["loan_id"], "month", [F.max("status")], "m_")
 
 
-@query("pivot_months_multi", "SELECT client_id, " + ", ".join(
-    f"round(sum(balance) FILTER (month = {m}), 4) AS m_{m}_balance, round(sum(payment) FILTER (month = {m}), 4) AS m_{m}_payment"
-    for m in range(12)) + " FROM account GROUP BY 1")
+@query("pivot_months_multi", """
+SELECT * FROM (PIVOT (SELECT client_id, 'm_' || month AS _c, balance, payment FROM account)
+  ON _c USING round(sum(balance), 4) AS balance, round(sum(payment), 4) AS payment GROUP BY client_id)""")
 def pivot_months_multi(spark, sf):
-    return sequence.pivot_values(
-        roles.account(spark, sf), ["client_id"], "month", range(12), pivot_sums("balance", "payment"), "m_"
-    )
+    return sequence.pivot_values(roles.account(spark, sf), ["client_id"], "month", pivot_sums("balance", "payment"), "m_")
 
 
-@query("pivot_counts", "SELECT status, " + ", ".join(
-    f"nullif(count(*) FILTER (month = {m}), 0) AS m_{m}" for m in range(30)) + " FROM monthly GROUP BY 1")
+@query("pivot_counts", """
+SELECT * FROM (PIVOT (SELECT status, 'm_' || month AS _c, count(*) AS n FROM monthly GROUP BY 1, 2) ON _c USING max(n) GROUP BY status)""")
 def pivot_counts(spark, sf):
-    return sequence.pivot_values(series(spark, sf), ["status"], "month", range(30), [F.count(F.lit(1))], "m_")
+    return sequence.pivot_values(series(spark, sf), ["status"], "month", [F.count(F.lit(1))], "m_")
 
 
 @query("count_peaks", """

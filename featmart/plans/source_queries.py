@@ -17,8 +17,10 @@ from featmart.sources.tables import (
     target_map, union_labelled,
 )
 
-# The documented columns of the star tables.
+# The columns of the given tables.
 COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount "
@@ -27,6 +29,11 @@ COLUMNS = {
     "supplier": "s_suppkey s_name s_nationkey s_acctbal",
     "events": "event_id ts user_id event_type value props",
     "labels": "doc_id quality toxic",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
 }
 
 
@@ -52,11 +59,9 @@ def star(spark, sf):
     return {name: scan(spark, sf, name) for name in COLUMNS}
 
 
-@query("scan_table", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_discount > 0.05")
+@query("scan_table", "SELECT * FROM lineitem")
 def scan_table(spark, sf):
-    return scan(spark, sf, "lineitem").filter("l_discount > 0.05").select(
-        "l_orderkey", "l_linenumber", "l_extendedprice"
-    )
+    return scan(spark, sf, "lineitem")
 
 
 @query("union_labeled", "SELECT client_id, target, segment, region_key, balance FROM client")

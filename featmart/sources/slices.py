@@ -9,20 +9,16 @@ from pyspark.sql import functions as F
 
 from featmart.operators.ordering import HASH_MODULUS, ordered_prefix, spread
 
-TOP_ROWS = 100_000
-
 
 def row_range(
     df: DataFrame, order: Sequence[Column], start: int | None = None, stop: int | None = None
 ) -> DataFrame:
     """Rows `start:stop` along `order`, with slice rules: negatives count from the end.
 
-    A range near the top is a bounded top-k. Any other range numbers the rows through
-    one distributed sort, so a deep page never gathers the rows in front of it.
+    The rows are numbered through one distributed sort, so a deep page never gathers the
+    rows in front of it; the range comes out in order.
     """
     start = start or 0
-    if start >= 0 and stop is not None and start <= stop <= TOP_ROWS:
-        return df.orderBy(*order).offset(start).limit(stop - start)
     if start < 0 or (stop is not None and stop < 0):
         n = df.count()
         start = max(start + n, 0) if start < 0 else start
@@ -30,7 +26,7 @@ def row_range(
     placed = ordered_prefix(df, order, {"_pos": F.lit(1)}).filter(F.col("_pos") > start)
     if stop is not None:
         placed = placed.filter(F.col("_pos") <= stop)
-    return placed.drop("_pos")
+    return placed.orderBy("_pos").drop("_pos")
 
 
 def client_slice(

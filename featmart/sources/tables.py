@@ -113,18 +113,11 @@ def _mapped(col: Column, mapping: dict[str, str]) -> Column:
     return out
 
 
-def filter_by_values(df: DataFrame, wanted: dict[str, Sequence | DataFrame], inline: int = 200) -> DataFrame:
-    """Conjunctive membership filter.
-
-    Short lists become a pushed-down IN; long lists and tables become semi joins.
-    """
-    spark = df.sparkSession
+def filter_by_values(df: DataFrame, wanted: dict[str, Sequence | DataFrame]) -> DataFrame:
+    """Conjunctive membership filter: lists become a pushed-down IN, tables semi joins."""
     for col, values in wanted.items():
         if isinstance(values, DataFrame):
             df = df.join(values.select(F.col(values.columns[0]).alias(col)), col, "left_semi")
-        elif len(values) <= inline:
-            df = df.filter(F.col(col).isin(list(values)))
         else:
-            keys = spark.createDataFrame([(v,) for v in values], f"{col} {df.schema[col].dataType.simpleString()}")
-            df = df.join(keys, col, "left_semi")
+            df = df.filter(F.col(col).isin(list(values)))
     return df

@@ -56,10 +56,11 @@ def test_expand(spark):
 
 def test_dense_row(spark):
     schema = f"s {JUMP}, f {RUN}"
-    df = spark.createDataFrame([([(1, 3), (3, 1), (1, 3)], [("1", 1), ("2", 3), ("3", 2), ("4", 1)])], schema)
-    full = ["1", "2", "2", None, None, "2", "3", "3", "4"]
-    for width, want in ((9, full), (10, full + [None]), (8, full[:8]), (0, [])):
+    df = spark.createDataFrame([([(2, 2), (4, 1)], [("C", 2), ("0", 1)])], schema)
+    full = [None, "C", None, "C", None, None, None, "0"]
+    for width, want in ((None, full), (8, full), (11, full + [None] * 3), (4, full[:4]), (0, [])):
         assert df.select(runs.dense_row("s", "f", width)).first()[0] == want
+    assert [df.select(runs.cut_cells("s", w)).first()[0] for w in (8, 4, 1)] == [0, 1, 3]
     empty = spark.createDataFrame([(None, None)], schema)
     assert empty.select(runs.dense_row("s", "f", 3)).first()[0] in ([None] * 3, None)
 
@@ -86,8 +87,9 @@ def test_rle_round_trip(spark, sf):
 
 
 def test_median_imputation(spark):
-    df = spark.createDataFrame([(1.0, 1), (2.0, 0), (None, 1), (4.0, -1)], "f double, target int")
-    assert [r["f"] for r in cleaning.impute_median(df, ["f"], "target").collect()] == [1.0, 2.0, 1.5, 4.0]
+    # The median of the labelled values fills the gaps of all rows.
+    df = spark.createDataFrame([(7.5, 0), (None, -1), (3.0, 1), (100.0, -1), (9.0, 1)], "f double, target int")
+    assert [r["f"] for r in cleaning.impute_median(df, ["f"], "target").collect()] == [7.5, 7.5, 3.0, 100.0, 9.0]
 
 
 def test_infinity_counts_as_a_gap(spark):
@@ -209,7 +211,7 @@ def test_last_version_with_a_hot_instalment(spark):
         rows, "client_id long, loan_id long, number int, version long, due_day long, paid_day long, due double, paid double"
     )
     plain = credit.last_version(df)
-    spread = credit.last_version(df, limit=50)
+    spread = credit.last_version(df.repartition(5))
     assert plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
     assert plain.filter("loan_id = 1").agg(F.count("*"), F.max("fragment")).first() == (200, 199)
 

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from featmart.operators import ordering
+from featmart.operators import association, ordering, sampling
+from featmart.sources import slices
 
 
 def hot_rows(spark):
@@ -32,16 +33,15 @@ def test_ordered_prefix_keeps_null_keys(spark):
 
 def test_occurrence_index_of_hot_key(spark):
     df = hot_rows(spark)
-    assert len(ordering.heavy_keys(df, ["k"], limit=500)) == 1
-    spread = ordering.occurrence_index(df, ["k"], [F.col("id")], limit=500)
-    plain = ordering.occurrence_index(df, ["k"], [F.col("id")])
+    spread = ordering.occurrence_index(df, ["k"], [F.col("id")])
+    plain = df.withColumn("occurrence", F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1)
     assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_occurrence_index_golden(spark):
     for values, want in (
-        ([0, 0, 1, 1, 1, 3, 5, 5, 11, 11, 11, 11], [0, 1, 0, 1, 2, 0, 0, 1, 0, 1, 2, 3]),
-        ([1, 11, 5, 11, 1, 11, 5, 0, 3, 11, 0, 1], [0, 0, 0, 1, 1, 2, 1, 0, 0, 3, 1, 2]),
+        ([40, None, 40, 7, None, 40], [0, 0, 1, 0, 1, 2]),
+        ([2, 2, 9, 2, 9, -4, 2], [0, 1, 0, 2, 1, 0, 3]),
     ):
         df = spark.createDataFrame(list(enumerate(values)), "pos int, v int")
         got = ordering.occurrence_index(df, ["v"], [F.col("pos")]).orderBy("pos").collect()
@@ -52,19 +52,26 @@ def test_exact_quantiles_by_selection(spark):
     df = hot_rows(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     columns = {"v": F.col("v"), "id": F.col("id"), "none": F.lit(None).cast("double")}
-    small = ordering.exact_quantiles(df, columns, probs)
-    selected = ordering.exact_quantiles(df, columns, probs, small=0, buckets=16)
-    assert np.allclose(small["v"], selected["v"]) and np.allclose(small["id"], selected["id"])
-    assert selected["none"] == [None] * len(probs)
-
-
-def test_selection_goes_deeper_into_large_buckets(spark):
+    rows = df.collect()
+    for buckets in (None, 16):
+        got = ordering.exact_quantiles(df, columns, probs, buckets=buckets)
+        assert np.allclose(got["v"], np.quantile([r["v"] for r in rows], probs))
+        assert np.allclose(got["id"], np.quantile([r["id"] for r in rows], probs))
+        assert got["none"] == [None] * len(probs)
+
+
+def test_selection_is_exact_for_large_integers_and_shared_values(spark):
+    big = 2**60
+    rows = [(big + i % 700,) for i in range(2000)]
+    df = spark.createDataFrame(rows, "v long").repartition(4)
+    ranks = [0, 7, 999, 1000, 1998]
+    want = sorted(r[0] for r in rows)
+    assert ordering.order_statistics(df, {"v": F.col("v")}, {"v": ranks}, buckets=4)["v"] == {r: want[r] for r in ranks}
     rng = np.random.default_rng(0)
     values = np.concatenate([np.full(1000, 2.5), rng.lognormal(3, 2, 2000)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
-    ranks = [0, 10, 700, 1500, 1501, 2500, 2999]
-    got = ordering._select_ranks(df, [3000], [ranks], buckets=4, slice_rows=50)[0]
-    assert got == {r: np.sort(values)[r] for r in ranks}
+    got = ordering.order_statistics(df, {"v": F.col("v")}, {"v": [0, 10, 700, 1500, 2999]}, buckets=4)["v"]
+    assert got == {r: np.sort(values)[r] for r in (0, 10, 700, 1500, 2999)}
 
 
 def test_order_statistics(spark):
@@ -87,3 +94,37 @@ def test_first_n_by_hash_is_exact_and_repeatable(spark):
         got = {r["id"] for r in ordering.first_n_by_hash(df, "id", n, buckets=8).collect()}
         want = {r["id"] for r in ordering.hash_rank(df, "id").filter(F.col("rank") <= n).collect()}
         assert got == want and len(got) == min(n, 3000)
+
+
+def test_seeds_give_unrelated_samples(spark):
+    ids = spark.range(20_000).toDF("id")
+    samples = [{r[0] for r in ordering.first_n_by_hash(ids, "id", 6000, seed=seed).collect()} for seed in (0, 1, 2, 7, 35)]
+    for i, one in enumerate(samples):
+        assert len(one) == 6000
+        for other in samples[:i]:
+            assert 0.27 < len(one & other) / 6000 < 0.33
+
+
+def test_null_classes_and_keys_are_kept(spark):
+    rows = [(i, None if i % 4 == 0 else i % 4) for i in range(100)] + [(None, 1), (None, None)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    assert sampling.assign_folds(df, "id", 5, by="label").count() == 102
+    assert sampling.sample_exact(df, "id", 102).count() == 102
+    least = sampling.under_sample(df, "id", "label").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in least} == {None: 25, 1: 25, 2: 25, 3: 25}
+    most = sampling.over_sample(df, "id", "label").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in most} == {None: 26, 1: 26, 2: 26, 3: 26}
+    assert association.sample_weights(df, "label").count() == 102
+
+
+def test_rare_rows_are_repeated_in_blocks(spark):
+    df = spark.createDataFrame([(1, 2500), (2, 1), (3, 0)], "id int, n long")
+    got = sampling.repeated(df.filter("n > 0"), "n").groupBy("id").agg(F.count("*").alias("c"), F.max("copy").alias("m")).collect()
+    assert {r["id"]: (r["c"], r["m"]) for r in got} == {1: (2500, 2500), 2: (1, 1)}
+
+
+def test_page_comes_out_in_order(spark):
+    df = spark.range(500).toDF("id").repartition(7)
+    for start, stop in ((0, 20), (100, 120), (-30, None), (-30, -10), (490, 600), (5, 5)):
+        got = [r["id"] for r in slices.row_range(df, [F.desc("id")], start, stop).collect()]
+        assert got == list(range(499, -1, -1))[start:stop]
