@@ -43,11 +43,14 @@ def rule_agg(spark, sf):
 
 EXTERNAL = """ext AS (SELECT client_id, loan_id, min(month) AS month_min, max(month) AS month_max, count(*) AS month_size,
   max(CASE WHEN status NOT IN ('X', 'C') THEN CAST(status AS INTEGER) END) AS worst,
-  min_by(CASE WHEN status = 'C' THEN 1 ELSE 0 END, month) AS closed FROM monthly GROUP BY client_id, loan_id)"""
+  min_by(CASE WHEN status = 'C' THEN 1 ELSE 0 END, month) AS closed, """ + ", ".join(
+    f"count(*) FILTER (status = '{v}') / count(*) AS {name}_mean" for name, v in mart.MONTH_DUMMIES.items()) + """
+  FROM monthly GROUP BY client_id, loan_id)"""
 
 
 @query("monthly_to_loan", f"""
-WITH {EXTERNAL} SELECT x.loan_id, x.client_id, e.month_min, e.month_max, e.month_size, e.worst, e.closed
+WITH {EXTERNAL} SELECT x.loan_id, x.client_id, e.month_min, e.month_max, e.month_size, e.worst, e.closed,
+  {", ".join(f"e.{name}_mean" for name in mart.MONTH_DUMMIES)}
 FROM loan_map x LEFT JOIN ext e ON x.loan_id = e.loan_id""")
 def monthly_to_loan(spark, sf):
     rolled = mart.external_loans(spark, sf).drop("client_id")
@@ -59,7 +62,8 @@ EXT_CLIENT = f"""SELECT client_id, {rules_sql(mart.EXTERNAL_RULES, 'ext', decima
 FROM ext GROUP BY client_id"""
 LOAN_CLIENT = f"""SELECT client_id, {rules_sql(mart.LOAN_RULES, 'prev', decimals=6)},
 {rules_sql(mart.LOAN_RULES, 'approved', "status = 'F'", 6)}, {rules_sql(mart.LOAN_RULES, 'refused', "status = 'P'", 6)}
-FROM loan GROUP BY client_id"""
+FROM (SELECT *, {", ".join(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS {name}" for c, d in mart.LOAN_DUMMIES.items() for name, v in d.items())}
+  FROM loan) l GROUP BY client_id"""
 INST_CLIENT = f"""SELECT client_id, {rules_sql(mart.INSTALMENT_RULES, 'inst', decimals=4)}, count(*) AS inst_count FROM (
   SELECT *, paid / nullif(due, 0) AS payment_perc, due - paid AS payment_diff, greatest(due_day - paid_day, 0) AS dpd,
          greatest(paid_day - due_day, 0) AS dbd FROM installment) i GROUP BY client_id"""
@@ -81,23 +85,16 @@ def installments_to_client(spark, sf):
     return mart.installments_to_client(spark, sf)
 
 
-POS_RULES = {"month": ("max", "mean", "size"), "cnt_pos": ("max", "mean"), "drawn_pos": ("max", "mean")}
-
-
-@query("pos_to_client", f"""
-SELECT a.client_id, {rules_sql(POS_RULES, 'pos', decimals=4)},
+POS_CLIENT = f"""
+SELECT a.client_id, {rules_sql(mart.POS_RULES, 'pos', decimals=4)},
        {', '.join(f"round(avg(CASE WHEN l.status = '{s}' THEN 1.0 ELSE 0.0 END), 6) AS pos_status_{s.lower()}_mean" for s in mart.STATUSES)},
        count(*) AS pos_count
-FROM account a JOIN loan l ON a.loan_id = l.loan_id GROUP BY a.client_id""")
+FROM account a JOIN loan l ON a.loan_id = l.loan_id GROUP BY a.client_id"""
+
+
+@query("pos_to_client", POS_CLIENT)
 def pos_to_client(spark, sf):
-    status = roles.loan(spark, sf).select("loan_id", "status")
-    rows = roles.account(spark, sf).join(status, "loan_id")
-    dummies = aggregate.dummy_means(rows, "status", "pos", mart.STATUSES)
-    return rows.groupBy("client_id").agg(
-        *aggregate.rule_columns(POS_RULES, "pos", decimals=4),
-        *[F.round(d, 6).alias(f"pos_status_{s.lower()}_mean") for d, s in zip(dummies, mart.STATUSES)],
-        F.count("*").alias("pos_count"),
-    )
+    return mart.pos_to_client(spark, sf)
 
 
 CARD_ALL = {c: ("min", "max", "mean", "sum", "var") for c in ("drawn", "balance", "receivable", "payment")}
@@ -299,11 +296,11 @@ def value_counts_map(spark, sf):
 
 
 @query("feature_mart", f"""
-WITH {EXTERNAL}, e AS ({EXT_CLIENT}), p AS ({LOAN_CLIENT}), i AS ({INST_CLIENT}), k AS ({CARD_CLIENT})
+WITH {EXTERNAL}, e AS ({EXT_CLIENT}), p AS ({LOAN_CLIENT}), i AS ({INST_CLIENT}), k AS ({CARD_CLIENT}), o AS ({POS_CLIENT})
 SELECT c.client_id, c.target, c.region_key, c.balance,
        {", ".join(f"CASE WHEN c.segment = '{s}' THEN 1 ELSE 0 END AS segment_{s}" for s in mart.SEGMENTS)},
-       e.* EXCLUDE (client_id), p.* EXCLUDE (client_id), i.* EXCLUDE (client_id), k.* EXCLUDE (client_id)
+       e.* EXCLUDE (client_id), p.* EXCLUDE (client_id), i.* EXCLUDE (client_id), k.* EXCLUDE (client_id), o.* EXCLUDE (client_id)
 FROM client c LEFT JOIN e ON c.client_id = e.client_id LEFT JOIN p ON c.client_id = p.client_id
-LEFT JOIN i ON c.client_id = i.client_id LEFT JOIN k ON c.client_id = k.client_id""")
+LEFT JOIN i ON c.client_id = i.client_id LEFT JOIN k ON c.client_id = k.client_id LEFT JOIN o ON c.client_id = o.client_id""")
 def feature_mart(spark, sf):
     return mart.feature_mart(spark, sf)
