@@ -28,11 +28,12 @@ def stream_window_errors(spark, sf):
 @query("stream_closed_runs", f"""
 WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, max_by(event_type, event_id) AS status FROM events GROUP BY 1, 2),
 c AS (SELECT * FROM d WHERE day + INTERVAL 1 DAY <= {WATERMARK}),
-f AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR status IS DISTINCT FROM lag(status) OVER w THEN 1 ELSE 0 END AS new FROM c
-      WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+f AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR status IS DISTINCT FROM lag(status) OVER w OR day > lag(day) OVER w + INTERVAL 7 DAYS
+      THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY user_id ORDER BY day)),
 n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day) AS run FROM f),
-r AS (SELECT user_id, run, min(day) AS start, max(status) AS value, count(*) AS length FROM n GROUP BY 1, 2)
-SELECT user_id, start, value, length FROM r QUALIFY run < max(run) OVER (PARTITION BY user_id)""")
+r AS (SELECT user_id, run, min(day) AS start, max(day) AS last, max(status) AS value, count(*) AS length FROM n GROUP BY 1, 2)
+SELECT user_id, start, value, length FROM r
+QUALIFY run < max(run) OVER (PARTITION BY user_id) OR last + INTERVAL 8 DAYS <= {WATERMARK}""")
 def stream_closed_runs(spark, sf):
     rows = streams.table_stream(spark, sf, "events", "ts")
     days = streams.last_status_per_day(rows, "user_id", "ts", F.col("event_type"), "event_id")
@@ -56,3 +57,25 @@ def stream_category_counts(spark, sf):
     rows = streams.table_stream(spark, sf, "events", "ts")
     done = streams.run_available(streams.windowed_shares(rows, "ts", "event_type"), "category-counts")
     return done.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def shares(spark, sf):
+    """Reference shares of the event types, exact counts over the whole table."""
+    rows = scan(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type").collect()
+    total = sum(r["n"] for r in rows)
+    return {r["event_type"]: r["n"] / total for r in rows}
+
+
+@query("stream_drift", f"""
+WITH t AS (SELECT event_type, greatest(count(*) / sum(count(*)) OVER (), 0.0001) AS q FROM events GROUP BY 1),
+w AS (SELECT time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS start, max(ts) AS last, count(*) AS n FROM events GROUP BY 1),
+c AS (SELECT w.start, w.n, t.event_type, t.q,
+             greatest((SELECT count(*) FROM events e WHERE e.event_type = t.event_type
+                       AND time_bucket(INTERVAL 7 DAYS, e.ts, TIMESTAMP '1970-01-01') = w.start) / w.n, 0.0001) AS p
+      FROM w CROSS JOIN t WHERE w.start + INTERVAL 7 DAYS <= {WATERMARK}),
+s AS (SELECT start, max(n) AS n, round(sum((p - q) * ln(p / q)), 6) AS psi FROM c GROUP BY 1)
+SELECT start, n, psi, psi >= 0.2 AS drifted FROM s""")
+def stream_drift(spark, sf):
+    rows = streams.table_stream(spark, sf, "events", "ts")
+    done = streams.run_available(streams.windowed_drift(rows, "ts", "event_type", shares(spark, sf)), "drift")
+    return done.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -6,7 +6,8 @@ dropped, and a window or a run is written once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +21,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, ts: str | None = None, files_per_trigger: int = 100) -> DataFrame:
-    """A table's files as a stream; `ts` is made a zoned timestamp so that it can carry a watermark."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .parquet(folder)
-    )
+    """A table as a stream, from its own path, be it one file or a folder of files; `ts` is
+    made a zoned timestamp so that it can carry a watermark."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # A stream takes a single file only through a pattern; this one matches no other name.
+    exactly = f"{path[:-1]}[{path[-1]}]"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(exactly)
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 
@@ -76,6 +76,29 @@ def windowed_shares(stream: DataFrame, ts: str, category: str, length: str = "7
     )
 
 
+def windowed_drift(
+    stream: DataFrame, ts: str, category: str, reference: Mapping[str, float], length: str = "7 days", late: str = "1 day",
+    decimals: int = 6, threshold: float = 0.2, floor: float = 1e-4,
+) -> DataFrame:
+    """Population stability index of a category per tumbling window against reference shares.
+
+    Shares below `floor`, on either side, count as `floor`. `drifted` is set from the
+    threshold on. Each window is one row of counts while it is open.
+    """
+    counts = {f"_n{i}": F.count_if(F.col(category) == value) for i, value in enumerate(reference)}
+    windows = (
+        stream.withWatermark(ts, late)
+        .groupBy(F.window(ts, length).alias("w"))
+        .agg(F.count(category).alias("n"), *[c.alias(name) for name, c in counts.items()])
+    )
+    terms = []
+    for name, share in zip(counts, reference.values()):
+        now, then = F.greatest(F.col(name) / F.col("n"), F.lit(floor)), max(share, floor)
+        terms.append((now - then) * F.log(now / then))
+    index = F.when(F.col("n") > 0, F.round(reduce(lambda a, b: a + b, terms), decimals))
+    return windows.select(F.col("w.start").alias("start"), "n", index.alias("psi"), (index >= threshold).alias("drifted"))
+
+
 def last_status_per_day(stream: DataFrame, key: str, ts: str, status: Column, order: str, late: str = "1 day") -> DataFrame:
     """(key, day, status): the last status of each key and day, once the day is over.
 
@@ -86,49 +109,69 @@ def last_status_per_day(stream: DataFrame, key: str, ts: str, status: Column, or
         .withWatermark(ts, late)
         .groupBy(key, F.window(ts, "1 day").alias("w"))
         .agg(F.max_by("_status", order).alias("status"))
-        .select(key, F.col("w.start").alias("day"), "status")
+        .select(key, F.col("w.start").alias("day"), "status", F.window_time("w").alias("over"))
     )
 
 
+DAY_MS = 86_400_000
+
+
 class OpenRun(StatefulProcessor):
-    """State of one key: its open run (value, length, start). Emits a run when it ends."""
+    """State of one key: its open run (value, length, start, last day).
 
-    def __init__(self, key: str):
+    A run ends with another status or after `idle` days without one. An event-time timer
+    emits the last run of a key and clears its state, so that no key is kept for ever.
+    """
+
+    def __init__(self, key: str, idle: int):
         self.columns = [key, "start", "value", "length"]
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "value string, length long, start timestamp")
+        self.handle = handle
+        self.run = handle.getValueState("run", "value string, length long, start timestamp, last timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         days = pd.concat(list(rows)).sort_values("day")
-        value, length, start = self.run.get() if self.run.exists() else (None, 0, None)
+        value, length, start, last = self.run.get() if self.run.exists() else (None, 0, None, None)
         out = []
         for day, status in zip(days["day"], days["status"]):
-            if length and status == value:
+            near = last is not None and (day - last).days <= self.idle
+            if length and near and status == value:
                 length += 1
+                last = day
                 continue
             if length:
                 out.append((key[0], start, value, length))
-            value, length, start = status, 1, day
-        self.run.update((value, length, start))
+            value, length, start, last = status, 1, day, day
+        self.run.update((value, length, start, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(pd.Timestamp(last).timestamp() * 1000) + (self.idle + 1) * DAY_MS)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.run.exists():
+            value, length, start, _ = self.run.get()
+            self.run.clear()
+            yield pd.DataFrame([(key[0], start, value, length)], columns=self.columns)
+
     def close(self) -> None:
         pass
 
 
-def closed_runs(days: DataFrame, key: str) -> DataFrame:
-    """Runs of equal status along the days of each key, emitted when another status follows.
+def closed_runs(days: DataFrame, key: str, idle: int = 7) -> DataFrame:
+    """Runs of equal status along the days of each key, emitted when they have ended.
 
     Days arrive in watermark order, at most one row per key and day; those of one trigger
     are sorted before they are folded into the open run.
     """
     return days.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=OpenRun(key),
+        statefulProcessor=OpenRun(key, idle),
         outputStructType=f"{key} long, start timestamp, value string, length long",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
