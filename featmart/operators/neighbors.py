@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmart.operators.ordering import HASH_MODULUS, ordered_prefix, spread
+from featmart.operators.sampling import repeated
 from featmart.session import cut_lineage, with_row
 
 SAMPLE_ROWS = 50_000
@@ -159,9 +160,10 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, box_rows: int = 2000)
         return left.cogroup(right).applyInPandas(compare, schema)
 
     def keep_best(found: DataFrame) -> DataFrame:
-        # At most k entries per visited slice reach the list of a query.
-        best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "neighbour"))), 1, k)
-        return found.groupBy("id").agg(best.alias("best"))
+        # Ranks are cut before the shuffle as well as after it; a list holds k entries.
+        nearest_first = Window.partitionBy("id").orderBy("d2", "neighbour")
+        kept = found.withColumn("_r", F.row_number().over(nearest_first)).filter(F.col("_r") <= k)
+        return kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d2", "neighbour"))).alias("best"))
 
     first = cut_lineage(keep_best(visit(asked)))
     reach = F.when(F.size("best") >= k, F.get("best", F.lit(k - 1))["d2"]).otherwise(float("inf"))
@@ -224,9 +226,8 @@ def smote(df: DataFrame, label: str = "label", k: int = 5, seed: int = 0, box_ro
     partners = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "nx"))).alias("partners"))
     ranked = ordered_prefix(minority, [F.col("id")], {"_place": F.lit(1)})
     times = F.lit(missing // max(few, 1)) + F.when(F.col("_place") <= missing % max(few, 1), 1).otherwise(0)
-    copies = ranked.withColumn("_times", times.cast("int")).filter("_times > 0").select(
-        "id", "x", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy")
-    )
+    wanted = ranked.withColumn("_times", times.cast("long")).filter("_times > 0")
+    copies = repeated(wanted.select("id", "x", "_times"), "_times").select("id", "x", "copy")
     draw = spread(F.col("id") * 1000003 + F.col("copy"), seed)
     fraction = spread(F.col("id") * 1000003 + F.col("copy"), seed + 1) / F.lit(HASH_MODULUS)
     chosen = copies.join(partners, "id").withColumns(

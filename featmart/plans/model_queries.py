@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featmart.operators import modeling, neighbors, sampling, scoring
+from featmart.operators.ordering import HASH_MODULUS, spread_sql
 from featmart.plans import roles
 from featmart.plans.registry import query
 from featmart.plans.score_queries import FEATURES
@@ -46,14 +47,40 @@ def near_miss(spark, sf):
     return neighbors.near_miss(vectors(spark, sf)).withColumn("mean_distance", F.round("mean_distance", 9))
 
 
-@query("smote")
-def smote(spark, sf):
-    return neighbors.smote(vectors(spark, sf)).select("id", "copy", F.round(F.get("x", F.lit(0)), 6).alias("x0"), "label")
+SMOTE = f"""{VECTORS},
+n AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY d2, other) - 1 AS place FROM d WHERE la = 1 AND lb = 1),
+p AS (SELECT n.id, n.place, v.x AS nx, least(5, count(*) OVER (PARTITION BY n.id)) AS partners FROM n JOIN v ON n.other = v.id WHERE place < 5),
+z AS (SELECT count(*) FILTER (label = 0) - count(*) FILTER (label = 1) AS missing, count(*) FILTER (label = 1) AS few FROM v),
+m AS (SELECT id, x, row_number() OVER (ORDER BY id) AS place FROM v WHERE label = 1),
+c AS (SELECT id, x, unnest(range(1, CAST(missing // few + CASE WHEN place <= missing % few THEN 1 ELSE 0 END AS BIGINT) + 1)) AS copy FROM m, z),
+made AS (SELECT c.id, c.copy, list_transform(list_zip(c.x, p.nx), lambda e: e[1] + (e[2] - e[1]) * ({spread_sql('c.id * 1000003 + c.copy', 1)} / {HASH_MODULUS})) AS x
+  FROM c JOIN p ON c.id = p.id AND p.place = {spread_sql('c.id * 1000003 + c.copy', 0)} % p.partners)"""
+
 
+def coordinates(df, *keys):
+    """One row per coordinate, from 0."""
+    return df.select(*keys, F.posexplode("x").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
-@query("smote_tomek")
+
+@query("smote", f"""
+WITH {SMOTE}
+SELECT id, copy, 1 AS label, CAST(unnest(range(len(x))) AS INTEGER) AS dim, round(unnest(x), 6) AS value FROM made""")
+def smote(spark, sf):
+    return coordinates(neighbors.smote(vectors(spark, sf)), "id", "copy", "label")
+
+
+@query("smote_tomek", f"""
+WITH {SMOTE},
+w AS (SELECT id, x, label FROM v UNION ALL
+      SELECT (SELECT max(id) FROM v) + row_number() OVER (ORDER BY id, copy) AS id, x, 1 AS label FROM made),
+e AS (SELECT a.id, b.id AS other, a.label AS la, b.label AS lb,
+      list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM w a JOIN w b ON a.id <> b.id),
+f AS (SELECT id, other, la, lb FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM e) r WHERE k = 1),
+t AS (SELECT a.id, a.other FROM f a JOIN f b ON a.other = b.id AND b.other = a.id WHERE a.la = 1 AND a.lb = 0)
+SELECT id, label, CAST(unnest(range(len(x))) AS INTEGER) AS dim, round(unnest(x), 6) AS value FROM w
+WHERE id NOT IN (SELECT id FROM t UNION ALL SELECT other FROM t)""")
 def smote_tomek(spark, sf):
-    return neighbors.smote_tomek(vectors(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
+    return coordinates(neighbors.smote_tomek(vectors(spark, sf)), "id", "label")
 
 
 def training(spark, sf):
