@@ -93,11 +93,12 @@ def key_overlap_matrix(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 
 def membership_flags(main: DataFrame, tables: Mapping[str, DataFrame], key: str) -> DataFrame:
-    """One boolean per side table: does the main row's key occur there."""
-    for name, df in tables.items():
-        present = df.select(key).distinct().withColumn(name, F.lit(True))
-        main = main.join(present, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return main
+    """One boolean per side table: does the main row's key occur there.
+
+    One grouping and one join for any number of tables. A null key occurs nowhere.
+    """
+    joined = main.join(key_presence(tables, key), key, "left")
+    return joined.withColumns({name: F.coalesce(F.col(name) == 1, F.lit(False)) for name in tables})
 
 
 def relation_arity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

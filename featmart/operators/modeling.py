@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featmart.operators import scoring
 from featmart.operators.cleaning import impute_median
 from featmart.operators.sampling import assign_folds
 from featmart.session import cut_lineage, shared_folder, with_row
@@ -105,6 +106,12 @@ def cross_fit(
     return reduce(DataFrame.unionByName, parts), averaged, table
 
 
+def fold_scores(held_out: DataFrame, label: str, folds: int, threshold: float = 0.5) -> DataFrame:
+    """Metrics of the out-of-fold scores for each fold and over all, in one pass."""
+    subsets = {f"fold_{i}": F.col("fold") == i for i in range(folds)} | {"overall": F.lit(True)}
+    return scoring.metrics_by_subset(held_out, label, F.col("score") >= threshold, subsets)
+
+
 def mean_importance(table: DataFrame) -> DataFrame:
     return table.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"), "feature")
 

@@ -8,7 +8,7 @@ from featmart.operators import modeling, neighbors, sampling, scoring
 from featmart.operators.ordering import HASH_MODULUS, spread_sql
 from featmart.plans import roles
 from featmart.plans.registry import query
-from featmart.plans.score_queries import FEATURES
+from featmart.plans.score_queries import FEATURES, metrics_sql
 from featmart.session import cut_lineage, scratch_path, with_row
 from featmart.sources.tables import scan
 
@@ -110,6 +110,12 @@ def kfold_oof(spark, sf):
     )
 
 
+@query("kfold_scores")
+def kfold_scores(spark, sf):
+    held_out, _, _ = modeling.cross_fit(training(spark, sf), "client_id", "target", TRAINED, "logistic", folds=3)
+    return modeling.fold_scores(held_out, "target", 3)
+
+
 @query("importance_mean")
 def importance_mean(spark, sf):
     _, _, weights = modeling.cross_fit(training(spark, sf), "client_id", "target", TRAINED, "forest", folds=2)
@@ -150,11 +156,23 @@ def batch_scores(spark, sf):
     return modeling.score_all(modeling.load_model(path), rows, "client_id", 0.5)
 
 
-@query("run_metrics")
+LIMITS = (0.45, 0.4)
+METRICS = ("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "jaccard", *[f"f{b}" for b in scoring.BETAS])
+
+
+def logged_sql(i: int, limit: float) -> str:
+    metrics = metrics_sql().replace("FROM scored", f"FROM (SELECT target, CAST(score >= {limit} AS INTEGER) AS predicted FROM scored)")
+    return " UNION ALL ".join(
+        f"SELECT 'threshold-{limit}' AS run, '{{\"threshold\": {limit}}}' AS params, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({metrics}) l{i}"
+        for m in METRICS
+    )
+
+
+@query("run_metrics", " UNION ALL ".join(logged_sql(i, limit) for i, limit in enumerate(LIMITS)))
 def run_metrics(spark, sf):
     path = scratch_path(spark, "runs")
     scores = roles.scored(spark, sf)
-    for limit in (0.45, 0.4):
+    for limit in LIMITS:
         row = scoring.binary_metrics(scores, "target", F.col("score") >= limit).first().asDict()
         modeling.log_run(spark, path, f"threshold-{limit}", {"threshold": limit}, row)
     return spark.read.parquet(path).select("run", "params", "metric", "value")
