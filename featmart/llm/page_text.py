@@ -439,11 +439,12 @@ def train(pages: DataFrame | None, id_col: str = "page_id", text: str = "html")
     """Fit on the built-in table and at most SAMPLED pages, those smallest by hash."""
     table = [(blocks(page), np.array(truth, dtype=np.float32)) for page, truth in labelled_pages()]
     if pages is not None:
-        sample = (
-            pages.select(F.col(id_col).cast("string").alias("i"), raw(text).alias("t"))
-            .filter(F.octet_length("t").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("i"), F.xxhash64("t"), "i").limit(SAMPLED).collect()
-        )
-        for row in sample:
+        hashed = pages.select(raw(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), raw(text)).alias("h"))
+        hashed = hashed.filter(F.octet_length("t").between(1, SAMPLE_BYTES))
+        # Hashes are picked first: only the chosen pages' texts move.
+        chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLED).collect()]
+        sample = hashed.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h")
+        for row in sample.collect():
             page = blocks(bytes(row["t"]).decode("utf-8", "replace"))
             truth = assumed(page)
             if truth is not None:
