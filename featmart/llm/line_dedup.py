@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmart.session import cut_lineage
+from featmart.llm.tables import written
 
 #: Lines on at least so many different sites are removed.
 SITES = 5
@@ -50,8 +50,8 @@ def widespread(lines: DataFrame, sites: int = SITES) -> DataFrame:
         "a", "b", F.hll_sketch_estimate("sketch").alias("about")
     )
     low, high = sites * (1 - MARGIN) - 1, sites * (1 + MARGIN) + 1
-    placed = cut_lineage(sketched.filter(F.col("about") >= low))
-    near = placed.filter(F.col("about") <= high).select("a", "b")
+    placed = written(sketched.filter(F.col("about") >= low), "lines-placed")
+    near = written(placed.filter(F.col("about") <= high).select("a", "b"), "lines-near")
     exact = (
         lines.join(near, ["a", "b"], "left_semi")
         .select("a", "b", "site").distinct()
@@ -70,7 +70,7 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_i
     """
     keys = {"_k": F.xxhash64(F.col(id_col), F.col(text)), "_l": F.xxhash64(F.lit(1), F.col(text), F.col(id_col))}
     lines = lines_of(docs, keys, text, site)
-    gone = cut_lineage(widespread(lines, sites))
+    gone = written(widespread(lines, sites), "lines-gone")
     places = (
         lines.join(gone, ["a", "b"], "left_semi")
         .groupBy("_k", "_l").agg(F.collect_set("at").alias("_gone"))

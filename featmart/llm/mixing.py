@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featmart.session import cut_lineage, scratch_path, with_row
+from featmart.llm.tables import written
+from featmart.session import cut_lineage, with_row
 
 #: Levels of the tree, from the root's children to the leaves.
 LEVELS = ("domain", "lang", "source")
@@ -106,7 +107,7 @@ def cuts(units: DataFrame, weights: Mapping[str, Mapping[str, int]], percent: in
     plan = budgets(leaves, weights, percent, max_epochs).select(
         *LEVELS, F.expr("budget div nullif(tokens, 0)").alias("epochs"), F.expr("budget % nullif(tokens, 0)").alias("rest")
     ).select(*LEVELS, F.coalesce("epochs", F.lit(0)).alias("epochs"), F.coalesce("rest", F.lit(0)).alias("rest"))
-    plan = _small(plan)
+    plan = written(plan, "mix-plan")
     keyed = units.filter("n_tokens > 0").join(plan.filter("rest > 0"), list(LEVELS)).withColumn("key", order_key(F.col("id"), seed, F.col("epochs")))
     keyed = keyed.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     along = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,14 +124,7 @@ def cuts(units: DataFrame, weights: Mapping[str, Mapping[str, int]], percent: in
         .filter((F.col("done") < F.col("rest")) & (F.col("done") + F.col("n_tokens") >= F.col("rest")))
         .select(*LEVELS, F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), (F.col("rest") - F.col("done")).alias("cut_take"))
     )
-    return _small(plan.join(last, list(LEVELS), "left").select(*LEVELS, "epochs", "cut_key", "cut_id", "cut_take"))
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """A written table: its size is known, so Spark broadcasts it only where it is small."""
-    path = scratch_path(table.sparkSession, "mix")
-    table.write.parquet(path)
-    return table.sparkSession.read.parquet(path)
+    return written(plan.join(last, list(LEVELS), "left").select(*LEVELS, "epochs", "cut_key", "cut_id", "cut_take"), "mix-cuts")
 
 
 def _passes(rows: DataFrame, id_col: str, tokens: str, seed: int, keep: list[str]) -> DataFrame:

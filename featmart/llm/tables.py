@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.session import shared_folder, tune
+from featmart.session import scratch_path, shared_folder, tune
 from featmart.sources.tables import scan
 
 #: Rows of an Arrow batch: with very long texts a batch is what a Python worker holds.
@@ -31,6 +31,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return scan(spark, folder, name)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder. Its size is then known, so Spark broadcasts it
+    in a join where it is small, before the other side is dealt out, and only there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def raw(column: str | Column) -> Column:
     """Text as its UTF-8 bytes, null as none."""
     column = F.col(column) if isinstance(column, str) else column
