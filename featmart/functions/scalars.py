@@ -36,14 +36,6 @@ def years_of_days(days_ago: str | Column) -> Column:
     return as_column(days_ago) / F.lit(DAYS_PER_YEAR)
 
 
-def choose(cond: Column, yes: Column, no: Column) -> Column:
-    return F.when(cond, yes).otherwise(no)
-
-
-def clip_low(col: str | Column, low: float = 0) -> Column:
-    """Values under `low` become `low`; NULL stays NULL."""
-    c = as_column(col)
-    return F.when(c < low, F.lit(low)).otherwise(c)
 
 
 def status_by_priority(col: str | Column, order: Sequence[str] = STATUS_ORDER) -> Column:

@@ -10,7 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.sources.tables import scan
+from featmart.sources.tables import nan_to_null
+from featmart.sources.tables import scan as scan_raw
 
 SQL: dict[str, str] = {}
 
@@ -28,6 +29,11 @@ def days_before(date: str, col: str):
     return F.datediff(F.lit(date).cast("date"), F.col(col))
 
 
+def scan(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A raw table whose NaN are missing values."""
+    return nan_to_null(scan_raw(spark, sf, name))
+
+
 SQL["client"] = """
 SELECT c_custkey AS client_id,
        CASE WHEN c_custkey % 7 = 0 THEN -1 WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS target,

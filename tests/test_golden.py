@@ -194,7 +194,7 @@ def test_materialized_builds_once(spark, tmp_path):
 def test_subset_agg_equals_filter_and_join(spark, sf):
     from featmart.plans import mart, roles
 
-    loans = roles.loan(spark, sf)
+    loans = mart.with_dummies(roles.loan(spark, sf))
     one_pass = mart.loans_to_client(spark, sf)
     three = aggregate.rule_agg(loans, ["client_id"], mart.LOAN_RULES, "prev", 6)
     for name, status in (("approved", "F"), ("refused", "P")):

@@ -1,28 +1,14 @@
-"""Registered queries against their SQL twins in DuckDB, over whole small tables.
-
-A part of the registry runs by default; FEATMART_ALL=1 runs every query.
-"""
-
-import os
+"""Every registered query against its SQL twin in DuckDB, over whole small tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
 from check import rows_of
+from featmart.plans import catalog
 from featmart.sources.tables import TABLES
 
-CORE = [
-    "attach_all", "client_slice", "data_dictionary", "page_rows", "main_map", "one_hot", "factorize_codes",
-    "quantile_bins", "repair_breakdown", "clean_monthly", "impute_median", "key_overlap_matrix", "membership_flags",
-    "uniqueness_report", "value_counts_tail", "value_counts_auto", "reduce_long_tail", "target_rate_quantiles",
-    "missing_pattern_cube", "discounted_log_risk", "risk_by_client", "by_installment", "last_version",
-    "expected_dpd_loan", "expected_mpd_loan", "versions_repaired", "loan_to_client_subsets", "client_month_agg_multi",
-    "region_table", "rle_all_columns", "support_measures", "rle_divide", "count_peaks", "corr_spearman",
-    "kendall_tau_contingency", "under_sample", "over_sample", "auc_exact", "metrics_by_subset", "drift_ks", "drift_psi",
-    "stream_window_errors", "feature_mart",
-]
-NAMES = sorted(entry_point.queries()) if os.environ.get("FEATMART_ALL") else CORE
+NAMES = sorted(catalog.PLANS)
 
 
 @pytest.fixture(scope="module")
