@@ -143,9 +143,10 @@ def balanced_model(spark, sf, rows):
 
 @query("resampled_fit")
 def resampled_fit(spark, sf):
-    rows = training(spark, sf)
-    model = balanced_model(spark, sf, rows)
-    scores = modeling.predict(model, rows.filter("target > -1")).select("client_id", "target", "score")
+    """Metrics of scores from folds that the balanced fit did not see."""
+    scores, _, _ = modeling.cross_fit(
+        training(spark, sf), "client_id", "target", TRAINED, "logistic", folds=3, resample=lambda df: sampling.under_sample(df, "client_id", "target")
+    )
     return with_row(scoring.binary_metrics(scores, "target", F.col("score") >= 0.5), scoring.auc(scores, "target", "score"))
 
 
