@@ -161,8 +161,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     content = F.xxhash64(raw(text))
     classes = cut_lineage(near_classes(docs.withColumn("_content", content), id_col, text, width, extra=("_content",)))
+    return keep_first(docs, classes, "class_fp", id_col, text)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, class_col: str, id_col: str, text: str) -> DataFrame:
+    """`docs` with the first row of each class; `classes` has a row (`id_col`, `_content`,
+    `class_col`) for each row of `docs`, `_content` being the hash of its text."""
+    content = F.xxhash64(raw(text))
     order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("_content").alias("content"))
-    first = classes.groupBy("class_fp").agg(F.min(order).alias("first"))
+    first = classes.groupBy(class_col).agg(F.min(order).alias("first"))
     keep = first.select(F.col("first.id").alias("_keep"), F.col("first.content").alias("_content"))
     stay = (
         docs.withColumn("_content", content).alias("d")
