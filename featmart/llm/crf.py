@@ -43,7 +43,8 @@ class Crf:
         # gain[b, y]: the most that tag y can win over tag b by its transitions.
         into = self.moves.T[None, :, :] - self.moves.T[:, None, :]
         onto = self.moves[None, :, :] - self.moves[:, None, :]
-        gain = into.max(axis=2) + onto.max(axis=2) + 1e-4
+        # A side without a neighbour adds 0, which bounds a negative maximum.
+        gain = np.maximum(into.max(axis=2), 0) + np.maximum(onto.max(axis=2), 0) + 1e-4
         np.fill_diagonal(gain, -np.inf)
         lead = np.take_along_axis(scores, best[:, None], axis=1) - scores
         open_ = (lead <= gain[best]).any(axis=1)
