@@ -82,7 +82,8 @@ def windowed_drift(
 ) -> DataFrame:
     """Population stability index of a category per tumbling window against reference shares.
 
-    Shares below `floor`, on either side, count as `floor`. `drifted` is set from the
+    Shares below `floor`, on either side, count as `floor`. Values that the reference lacks
+    are one more category, whose reference share is `floor`. `drifted` is set from the
     threshold on. Each window is one row of counts while it is open.
     """
     counts = {f"_n{i}": F.count_if(F.col(category) == value) for i, value in enumerate(reference)}
@@ -95,6 +96,9 @@ def windowed_drift(
     for name, share in zip(counts, reference.values()):
         now, then = F.greatest(F.col(name) / F.col("n"), F.lit(floor)), max(share, floor)
         terms.append((now - then) * F.log(now / then))
+    unseen = F.col("n") - reduce(lambda a, b: a + b, [F.col(name) for name in counts], F.lit(0))
+    now = F.greatest(unseen / F.col("n"), F.lit(floor))
+    terms.append((now - floor) * F.log(now / F.lit(floor)))
     index = F.when(F.col("n") > 0, F.round(reduce(lambda a, b: a + b, terms), decimals))
     return windows.select(F.col("w.start").alias("start"), "n", index.alias("psi"), (index >= threshold).alias("drifted"))
 

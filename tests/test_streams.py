@@ -1,5 +1,6 @@
 """Streams over folders of files, late rows, and runs that end by themselves."""
 
+import math
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -46,3 +47,13 @@ def test_last_run_leaves_by_timer(spark, tmp_path):
     days = streams.last_status_per_day(rows, "user_id", "ts", F.col("event_type"), "event_id")
     got = {(r["user_id"], r["value"], r["length"]) for r in streams.run_available(streams.closed_runs(days, "user_id"), "runs").collect()}
     assert {(1, "a", 2), (2, "a", 2), (2, "b", 1)} <= got
+
+
+def test_categories_that_the_reference_lacks_are_drift(spark, tmp_path):
+    files = [[(1, 1, "a", 0.1), (2, 1, "b", 0.2)], [(3, 1, "a", 1.1), (4, 1, "b", 1.2), (5, 1, "new", 1.3), (6, 1, "newer", 1.4)], [(7, 1, "a", 9)]]
+    rows = streams.table_stream(spark, folder_of(spark, tmp_path, files), "events", "ts", files_per_trigger=1)
+    drift = streams.windowed_drift(rows, "ts", "event_type", {"a": 0.5, "b": 0.5}, length="1 day")
+    got = {r["start"].day: r["psi"] for r in streams.run_available(drift, "unseen").collect()}
+    seen = 2 * (0.25 - 0.5) * math.log(0.25 / 0.5)
+    assert got[1] == 0.0
+    assert abs(got[2] - seen - (0.5 - 1e-4) * math.log(0.5 / 1e-4)) < 1e-6
