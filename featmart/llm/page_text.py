@@ -28,6 +28,8 @@ INLINE = frozenset(
 #: Tags without content, whose whole content is not text, and that end an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title textarea iframe object svg math canvas select".split())
+#: Hidden tags whose content is no markup, so that without a closing tag it is all the rest.
+RAW_TEXT = frozenset("script style title textarea iframe".split())
 SIBLINGS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("article aside body blockquote div dl footer form header html main nav ol section table td ul".split())
 BLOCK_OPENERS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -49,7 +51,7 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: white space collapsed, references decoded, none empty.
 
     Made for broken pages: unknown closing tags are ignored, unclosed ones end with their
-    parent, and an unfinished tag or hidden element at the end is dropped.
+    parent, and an unfinished tag or raw text at the end is dropped.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
@@ -95,7 +97,8 @@ def blocks(page: str) -> list[Block]:
         add(page[at : found.start()])
         start = found.start()
         if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
+            # The dashes that open a comment may end it: <!--> and <!---> are whole.
+            end = page.find("-->", start + 2)
             at = size if end < 0 else end + 3
             continue
         stop = _TAG_END.match(page, found.end())
@@ -117,15 +120,22 @@ def blocks(page: str) -> list[Block]:
         if tag in HIDDEN:
             if page[at - 2] != "/":
                 end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, at)
-                at = end.end() if end else size
+                if end or tag in RAW_TEXT:
+                    at = end.end() if end else size
+                else:
+                    # Never closed: an ordinary element, or it would hide the whole rest.
+                    flush()
+                    stack.append((tag, _named(tag, page[found.end() : at])))
             continue
         if tag not in INLINE:
             flush()
         if tag in VOID:
             continue
         if tag in BLOCK_OPENERS:
-            # A new block ends an open paragraph.
+            # A new block ends an open paragraph, and a hidden element that is never closed.
             _end_open(stack, ("p",))
+            while stack and stack[-1][0] in HIDDEN:
+                stack.pop()
         if tag in SIBLINGS:
             _end_open(stack, SIBLINGS[tag])
         stack.append((tag, _named(tag, page[found.end() : at])))

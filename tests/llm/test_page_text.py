@@ -98,3 +98,14 @@ def test_odd_pages(spark, model):
     assert next(r for r in got if r.page_id == 3).n_blocks == 3000
     assert page_text.extract(pages.filter("false"), model, ["page_id"]).count() == 0
     assert page_text.train(pages.filter("false")) is not None
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "noscript", "template", "canvas"])
+def test_unclosed_hidden_elements_keep_the_rest(tag):
+    found = page_text.blocks(f"<article><{tag} id=x><p>one</p><p>two</p></article>")
+    assert [(b.text, b.path) for b in found] == [("one", ("article", "p")), ("two", ("article", "p"))]
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!---->", "<!-- x -->"])
+def test_empty_comments_end(comment):
+    assert [b.text for b in page_text.blocks(f"<p>a</p>{comment}<p>b</p><!-- c --><p>d</p>")] == ["a", "b", "d"]
