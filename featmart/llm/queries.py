@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import decontaminate, line_dedup, line_quality, mixing, page_text, private_data, quality_model, simhash, token_files, warc
+from featmart.llm import byte_pairs, decontaminate, line_dedup, line_quality, mixing, page_text, private_data, quality_model, simhash, token_files, warc
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
-#: Vocabulary of the token files.
+#: Vocabulary of the token files, and ranks and pattern of the byte-level encoding.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 #: The mix: a third level above language and source, weights, and the share of all tokens.
 #: `documents` has no domain, so its sources are dealt to three by their name's hash.
@@ -96,3 +97,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return page_text.extract(pages, page_text.train(pages), ["page_id", "url"])
+
+
+@query("op13_byte_pairs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    coded = byte_pairs.encode(table(spark, folder, "documents"), RANKS, PATTERN, ["doc_id"])
+    back = byte_pairs.decode(coded, RANKS, PATTERN, ["doc_id"])
+    return back.select(
+        "doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
