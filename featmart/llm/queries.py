@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import byte_pairs, decontaminate, line_dedup, line_quality, mixing, page_text, private_data, quality_model, simhash, token_files, warc
+from featmart.llm import byte_pairs, decontaminate, line_dedup, line_quality, mixing, page_text, periodic, private_data, quality_model, simhash, token_files, warc
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -106,3 +106,31 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(
         "doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+#: What the query does to every tenth document: from word a on, words repeat with period p.
+REPEATED_SQL = r"""
+CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 10 = 0 THEN array_join(flatten(transform(
+    array(struct(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 10 AS g, filter(split(text, '[ \\t-\\r]+'), w -> w <> '') AS words)),
+    x -> transform(array(struct(x.g AS g, x.words AS words, CAST(size(x.words) AS BIGINT) AS n, CAST(x.g % greatest(size(x.words), 1) AS BIGINT) AS a)),
+        y -> array_join(transform(y.words, (w, i) -> CASE WHEN i < y.a THEN w
+            ELSE y.words[CAST(y.a + (i - y.a) % (1 + (y.n - y.a) div (3 + y.g % 8)) AS INT)] END), ' ')))), '')
+ELSE text END
+"""
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.expr(REPEATED_SQL).alias("text"))
+    # The greatest exact exponent; runs come by start, then period, and the first of equals stays.
+    best = F.expr(
+        "aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (best, run) -> "
+        "CASE WHEN best IS NULL OR run.length * best.period > best.length * run.period THEN run ELSE best END)"
+    )
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    found = periodic.find(docs, ["doc_id"]).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
