@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm import byte_pairs, decontaminate, line_dedup, line_quality, mixing, page_text, periodic, private_data, quality_model, simhash, token_files, warc
+from featmart.llm import byte_pairs, decontaminate, dialogue, line_dedup, line_quality, mixing, page_text, periodic, private_data, quality_model, simhash, token_files, warc
 from featmart.llm.tables import table
 from featmart.session import scratch_path
 
@@ -134,3 +134,26 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    number, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    name = F.concat(number, F.lit(":"), turn)
+    space = {c: F.coalesce(c, F.lit(" ")) for c in ("role", "text")}
+    damaged = (
+        turns.withColumns(space | {"_damage": F.crc32(name.cast("binary")) % 20}).filter("_damage <> 0")
+        .withColumns({
+            "text": F.when(F.col("_damage") == 1, "").when(F.col("_damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")),
+            "role": F.when(F.col("_damage") == 4, "user").otherwise(F.col("role")),
+            "_copy": F.explode(F.when(F.col("_damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))),
+        })
+    )
+    found = dialogue.summary(dialogue.repair(damaged))
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
