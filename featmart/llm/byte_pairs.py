@@ -1,11 +1,11 @@
 """Byte-level BPE in built-in functions: ranked merges folded over the bytes of words.
 
 A vocabulary gives byte strings their ranks, which are also their ids. Each match of the
-pattern is encoded by itself: a match that has a rank is that id; any other starts as its
-bytes, and the neighbours whose join has the lowest rank merge until none has one. The ranks
-are a literal of the plan, as a map cut into buckets by the key's checksum, and the encodings
-of the corpus's most frequent words are another; all other words are folded where they stand,
-so that words are never shuffled.
+pattern is encoded by itself: it starts as its bytes, and the neighbours whose join has the
+lowest rank merge until none has one. What pairs merge into, in the order of ranks, is a
+literal of the plan: a map cut into buckets by the key's checksum. The encodings of the
+corpus's most frequent words are another; all other words are folded where they stand, so
+that words are never shuffled.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from featmart.llm.tables import prepare
 FREQUENT, SAMPLED = 1 << 18, 1 << 15
 #: Entries of a literal map's bucket, about.
 BUCKET = 3
-#: Words of up to so many bytes merge one pair a step, longer ones all pairs of one rank.
-SHORT = 64
+#: Character of id 0: none of the ASCII characters that a literal map's text uses.
+FIRST = 0x100
 #: Characters of a plan's description: literal maps would fill it.
 PLAN_TEXT = 1 << 16
 
@@ -70,123 +70,126 @@ class Lookup:
         return value
 
 
-def in_order(ranks: dict[bytes, int]) -> bool:
-    """Whether every entry is reached by merges of ranks up to its own.
+class Codes:
+    """A larger literal map, from hexadecimal key to a code without ASCII characters: its
+    buckets are strings of `,key:code`, which tasks read faster than as many small maps."""
 
-    Then a merge never makes a neighbourhood of lower rank: its join would be an entry that
-    the merges before would have made already. All pairs of one rank may then merge at once.
+    def __init__(self, entries: Iterable[tuple[str, str]]):
+        entries = list(entries)
+        self.size = 1 << max(0, (len(entries) // BUCKET).bit_length())
+        buckets = [","] * self.size
+        for key, code in entries:
+            buckets[zlib.crc32(key.encode()) % self.size] += f"{key}:{code},"
+        self.buckets = F.from_json(F.lit(json.dumps(buckets)), "array<string>")
+
+    def find(self, buckets: Column) -> Callable[[Column], Column]:
+        def value(key: Column) -> Column:
+            place = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.size - 1)).cast("int")
+            # Behind the key; where there is none, what comes before the bucket's first comma.
+            behind = F.call_function("substring_index", F.get(buckets, place), F.concat(F.lit(","), key, F.lit(":")), F.lit(-1))
+            return F.nullif(F.substring_index(behind, ",", 1), F.lit(""))
+
+        return value
+
+
+def splits(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes]]:
+    """For each entry of two bytes or more, the two parts whose merge makes it from bytes.
+
+    Every entry must be reached by merges of ranks up to its own. Then, once all merges below
+    an entry's rank are done, its bytes are in these two parts wherever they are whole parts:
+    no other pair of parts makes it, and no merge brings forth a pair of a lower rank. So all
+    pairs of the lowest rank may merge at once, from the left.
     """
+    out = {}
     for entry, rank in ranks.items():
         parts = [entry[i : i + 1] for i in range(len(entry))]
         while len(parts) > 1:
             found, at = min((ranks.get(parts[i] + parts[i + 1], rank + 1), i) for i in range(len(parts) - 1))
             if found > rank:
-                return False
+                raise ValueError(f"merges do not reach {entry!r}")
+            if len(parts) == 2:
+                out[entry] = (parts[0], parts[1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return True
-
-
-def pair_ranks(parts: Column, rank: Callable[[Column], Column]) -> Column:
-    """Rank of each part joined with the next; null for none, and for the last."""
-    return F.transform(parts, lambda part, i: rank(F.concat(part, F.get(parts, i + 1))))
-
-
-def merge_first(state: Column, rank: Callable[[Column], Column]) -> Column:
-    """Merge the first pair of the lowest rank; ranks of other pairs stay."""
-    parts, ranks = state["parts"], state["ranks"]
+    return out
 
-    def merged(at: Column) -> Column:
-        # `at` counts from one; its part and the next become `joined`.
-        joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
-        before = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
-        left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), joined)))).otherwise(F.array().cast("array<int>"))
-        right = F.array(rank(F.concat(joined, F.get(parts, at + 1))))
-        rest = F.size(parts)
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, rest)).alias("parts"),
-            F.concat(before, left, right, F.slice(ranks, at + 2, rest)).alias("ranks"),
-        )
 
-    def step(low: Column) -> Column:
-        return F.when(low.isNull(), state).otherwise(let(F.array_position(ranks, low).cast("int"), merged))
-
-    return let(F.array_min(ranks), step)
-
-
-def merge_all(state: Column, rank: Callable[[Column], Column]) -> Column:
-    """Merge all pairs of the lowest rank, from the left where they overlap."""
-    parts, ranks = state["parts"], state["ranks"]
-
-    def merged(marks: Column) -> Column:
-        kept = F.filter(
-            F.transform(
-                parts,
-                lambda part, i: F.when(F.get(marks, i) == "+", F.concat(part, F.get(parts, i + 1))).when(F.get(marks, i) == "0", part),
-            ),
-            lambda part: part.isNotNull(),
-        )
-        return let(kept, lambda new: F.struct(new.alias("parts"), pair_ranks(new, rank).alias("ranks")))
-
-    def step(low: Column) -> Column:
-        hits = F.array_join(F.transform(ranks, lambda found: F.when(found == low, "1").otherwise("0")), "")
-        return F.when(low.isNull(), state).otherwise(let(F.split(F.regexp_replace(hits, "1.", "+-"), ""), merged))
-
-    return let(F.array_min(ranks), step)
+def character(rank: int) -> str:
+    """The character that stands for an id; characters have the order of the ids."""
+    return chr(FIRST + rank)
 
 
 @dataclass
 class Vocabulary:
-    """Ranks by hexadecimal key, the id's bytes, and the pattern, as the plan uses them."""
+    """Ranks of byte strings and the pattern, as the plan uses them.
+
+    A match is folded as a string of one character an id, from the characters of its bytes
+    on: a merge replaces a pair of characters by one.
+    """
 
     ranks: dict[bytes, int]
     pattern: str
-    batched: bool
 
     def __post_init__(self):
-        if sorted(self.ranks.values()) != list(range(len(self.ranks))) or any(bytes([b]) not in self.ranks for b in range(256)):
+        total = len(self.ranks)
+        if sorted(self.ranks.values()) != list(range(total)) or any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("ranks must be 0 to n - 1, with an entry for every byte")
-        self.rank = Lookup(((key.hex().upper(), rank) for key, rank in self.ranks.items()), "int")
+        if total > 0xD800 - FIRST:
+            raise ValueError("ranks go beyond the characters of two bytes")
+        pairs = {
+            character(self.ranks[left]) + character(self.ranks[right]): character(self.ranks[entry])
+            for entry, (left, right) in splits(self.ranks).items()
+        }
+        self.merged = Lookup(pairs.items(), "string")
+        self.bytes = "".join(chr(b) for b in range(256)), "".join(character(self.ranks[bytes([b])]) for b in range(256))
         by_rank = sorted(self.ranks, key=self.ranks.__getitem__)
         self.pieces = F.from_json(F.lit(json.dumps([key.hex() for key in by_rank])), "array<string>")
         #: Ids as little-endian unsigned 32-bit integers.
-        self.packed = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(len(by_rank))])), "array<string>")
+        self.packed = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(total)])), "array<string>")
 
-    def fold(self, word: Column, rank: Callable[[Column], Column]) -> Column:
-        """Ids of one match; `rank` finds a key's rank."""
+    def fold(self, word: Column, merged: Callable[[Column], Column]) -> Column:
+        """The ids' characters of one match; `merged` finds what a pair becomes."""
 
-        def merges(start: Column) -> Column:
-            state = F.struct(start.alias("parts"), pair_ranks(start, rank).alias("ranks"))
-            steps = F.sequence(F.lit(1), F.size(start))
-            one = F.aggregate(steps, state, lambda acc, _: merge_first(acc, rank), lambda acc: acc["parts"])
-            if not self.batched:
-                return one
-            every = F.aggregate(steps, state, lambda acc, _: merge_all(acc, rank), lambda acc: acc["parts"])
-            return F.when(F.size(start) <= SHORT, one).otherwise(every)
-
-        def ids(key: Column) -> Column:
-            start = F.regexp_extract_all(key, F.lit(".."), F.lit(0))
-            return let(
-                rank(key),
-                lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(let(start, merges), rank)),
+        def step(state: Column) -> Column:
+            def replaced(pairs: Column, found: Column, low: Column) -> Column:
+                pair = F.get(pairs, (F.array_position(found, low) - 1).cast("int"))
+                return F.struct(F.replace(state["ids"], pair, low).alias("ids"), F.lit(False).alias("done"))
+
+            def lowest(pairs: Column, found: Column) -> Column:
+                end = F.struct(state["ids"].alias("ids"), F.lit(True).alias("done"))
+                return let(F.array_min(found), lambda low: F.when(low.isNull(), end).otherwise(replaced(pairs, found, low)))
+
+            # Every two neighbours, overlaps included.
+            neighbours = F.regexp_extract_all(state["ids"], F.lit("(?s)(?=(..))"), F.lit(1))
+            return F.when(state["done"], state).otherwise(
+                let(neighbours, lambda pairs: let(F.transform(pairs, merged), lambda found: lowest(pairs, found)))
             )
 
-        return let(F.hex(word), ids)
+        def merges(start: Column) -> Column:
+            state = F.struct(start.alias("ids"), F.lit(False).alias("done"))
+            return F.aggregate(F.sequence(F.lit(1), F.length(start)), state, lambda acc, _: step(acc), lambda acc: acc["ids"])
+
+        return let(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), *self.bytes), merges)
 
-    def fold_all(self, words: Column, often: Lookup | None = None) -> Column:
-        """Ids of each of an array of matches; those of `often` are looked up."""
+    def codes(self, words: Column, often: Codes | None = None) -> Column:
+        """The ids' characters of each of an array of matches; those of `often` are looked up."""
 
-        def ids(ranks: Column) -> Column:
-            rank = self.rank.find(ranks)
+        def with_merges(buckets: Column) -> Column:
+            merged = self.merged.find(buckets)
             if often is None:
-                return F.transform(words, lambda word: self.fold(word, rank))
+                return F.transform(words, lambda word: self.fold(word, merged))
+
+            def with_known(known: Column) -> Column:
+                find = often.find(known)
+                return F.transform(words, lambda word: F.coalesce(find(F.hex(word)), self.fold(word, merged)))
 
-            def looked_up(buckets: Column) -> Column:
-                known = often.find(buckets)
-                return F.transform(words, lambda word: F.coalesce(known(word), self.fold(word, rank)))
+            return let(often.buckets, with_known)
 
-            return let(often.buckets, looked_up)
+        return let(self.merged.buckets, with_merges)
 
-        return let(self.rank.buckets, ids)
+    def ids(self, codes: Column) -> Column:
+        """All ids of a text's matches in order."""
+        characters = F.regexp_extract_all(F.array_join(codes, ""), F.lit("(?s)."), F.lit(0))
+        return F.transform(characters, lambda c: F.ascii(c) - F.lit(FIRST))
 
     def words(self, text: Column) -> Column:
         """Matches of the pattern."""
@@ -219,16 +222,17 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
         starts = [c for i, c in enumerate(points) if not i or points[i - 1] != c - 1]
         ends = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
         new = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends))
-        # Inside a class the same text is a union, so one form serves both places.
-        pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}{new}]" if new else rf"\p{{{name}}}")
+        # One range is tested before the many; inside a class the same text is a union, so
+        # one form serves both places.
+        gate = rf"[\x{{{min(points):X}}}-\x{{10FFFF}}&&[{new}]]" if points else ""
+        pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}{gate}]" if new else rf"\p{{{name}}}")
     return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
 @lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> Vocabulary:
     """A vocabulary from its rank file, for a pattern that Java's matcher reads."""
-    ranks = read_ranks(path)
-    return Vocabulary(ranks, pattern, in_order(ranks))
+    return Vocabulary(read_ranks(path), pattern)
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
@@ -247,15 +251,15 @@ def _java_pattern(spark: SparkSession, pattern: str) -> str:
     return _patterns[pattern]
 
 
-def frequent(docs: DataFrame, known: Vocabulary, text: str, limit: int) -> Lookup:
+def frequent(docs: DataFrame, known: Vocabulary, text: str, limit: int) -> Codes:
     """Encodings of the most frequent words of a sample of texts, at most `limit` (ties by
     the word)."""
     step = max(1, -(-docs.count() // SAMPLED))
     sample = docs.select(F.col(f"`{text}`").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
     words = sample.select(F.explode(known.words(F.col("text"))).alias("word"))
     top = words.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(limit)
-    coded = top.select("word", F.get(known.fold_all(F.array("word")), F.lit(0)).alias("ids"))
-    return Lookup(((r["word"], r["ids"]) for r in coded.collect()), "array<int>")
+    coded = top.select(F.hex("word").alias("key"), F.get(known.codes(F.array("word")), F.lit(0)).alias("code"))
+    return Codes((r["key"], r["code"]) for r in coded.toLocalIterator())
 
 
 def encode(
@@ -265,15 +269,15 @@ def encode(
     without special tokens.
 
     A null text is empty and has no ids. Repeated rows and ids stay as they are; an empty
-    table gives an empty one. Very long words merge all pairs of one rank a step, so their
-    steps are bounded by the ranks they use. A kept column named `ids` is refused, as two
+    table gives an empty one. A step merges all pairs of one rank, so a very long word takes
+    as many steps as it uses ranks. A kept column named `ids` is refused, as two
     columns of the result would share a name.
     """
     if "ids" in (c.lower() for c in keep):
         raise ValueError("a kept column may not be named ids")
     known = vocabulary(docs.sparkSession, path, pattern)
     often = frequent(docs, known, text, limit)
-    ids = F.flatten(known.fold_all(known.words(F.col(f"`{text}`")), often))
+    ids = known.ids(known.codes(known.words(F.col(f"`{text}`")), often))
     return docs.select(*[F.col(f"`{c}`") for c in keep], ids.alias("ids"))
 
 

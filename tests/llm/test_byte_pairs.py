@@ -6,6 +6,7 @@ import struct
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from featmart.llm import byte_pairs
 from featmart.llm.queries import PATTERN, PLANS, RANKS
@@ -62,23 +63,19 @@ def test_query_over_documents(spark, sf, library):
     assert got == want
 
 
-def test_vocabularies_out_of_order(spark):
-    """A vocabulary whose entries are not all reached by merges merges one pair a step."""
-    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
-    assert byte_pairs.in_order(ranks)
-    odd = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"bca": 258, b"bc": 259}
-    assert not byte_pairs.in_order(odd)
-    library = tiktoken.Encoding("odd", pat_str=PATTERN, mergeable_ranks=odd, special_tokens={})
-    known = byte_pairs.Vocabulary(odd, PATTERN, False)
+def test_vocabularies(spark):
+    """Any vocabulary that its own merges reach; others are refused."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bb": 257, b"abc": 258, b"bba": 259, b"cc": 260, b"abcab": 261}
+    library = tiktoken.Encoding("odd", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = byte_pairs.Vocabulary(ranks, PATTERN)
     rng = random.Random(1)
-    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 90))) for _ in range(100)]
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 90))) for _ in range(200)]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    from pyspark.sql import functions as F
-
-    got = {r["w"]: r["ids"][0] for r in df.select("w", known.fold_all(F.array("w")).alias("ids")).collect()}
+    got = {r["w"]: r["ids"] for r in df.select("w", known.ids(known.codes(F.array("w"))).alias("ids")).collect()}
     assert got == {w: library.encode_ordinary(w) for w in words}
-    with pytest.raises(ValueError):
-        byte_pairs.Vocabulary({b"a": 0}, PATTERN, True)
+    for odd in ({b"a": 0}, {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"bc": 258}):
+        with pytest.raises(ValueError):
+            byte_pairs.Vocabulary(odd, PATTERN)
 
 
 def test_empty_table_and_clashing_names(spark):
