@@ -166,16 +166,21 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 def keep_first(docs: DataFrame, classes: DataFrame, class_col: str, id_col: str, text: str) -> DataFrame:
     """`docs` with the first row of each class; `classes` has a row (`id_col`, `_content`,
-    `class_col`) for each row of `docs`, `_content` being the hash of its text."""
-    content = F.xxhash64(raw(text))
+    `class_col`) for each row of `docs`, `_content` being the hash of its text.
+
+    The columns of `docs` may have any names: they are numbered on the way.
+    """
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    own = next(n for n, c in zip(names, docs.columns) if c == id_col)
+    body = next(n for n, c in zip(names, docs.columns) if c == text)
     order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("_content").alias("content"))
     first = classes.groupBy(class_col).agg(F.min(order).alias("first"))
-    keep = first.select(F.col("first.id").alias("_keep"), F.col("first.content").alias("_content"))
+    keep = first.select(F.col("first.id").alias("_keep"), F.col("first.content").alias("_keep_content"))
     stay = (
-        docs.withColumn("_content", content).alias("d")
-        .join(keep.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._keep")) & (F.col("d._content") == F.col("k._content")), "left_semi")
+        docs.toDF(*names).withColumn("_hash", F.xxhash64(raw(body)))
+        .join(keep, F.col(own).eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_keep_content")), "left_semi")
     )
     repeated = classes.groupBy(id_col, "_content").agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():
-        stay = stay.dropDuplicates([id_col, "_content"])
-    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+        stay = stay.dropDuplicates([own, "_hash"])
+    return stay.select(*names).toDF(*docs.columns)

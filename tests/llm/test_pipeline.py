@@ -12,7 +12,7 @@ from featmart.llm import mixing, queries
 from featmart.llm.tables import table
 from tests.llm.test_decontaminate import plain as plain_contamination
 from tests.llm.test_line_quality import plain_figures
-from tests.llm.test_simhash import brute as plain_classes
+from tests.llm.test_near_sets import brute as plain_singles
 
 
 def rows(df):
@@ -38,8 +38,8 @@ def test_stages(spark, sf, tmp_path):
     figures = [plain_figures(r["text"]) for r in good.collect()]
     assert all(f[0] >= 20 and 100 * f[4] <= 30 * f[0] for f in figures)
 
-    classes = plain_classes([(r["doc_id"], r["text"]) for r in good.collect()])
-    assert rows(single) == sorted((before[k] for k, _, low in classes if k == low), key=str)
+    singles = plain_singles([(r["doc_id"], r["text"]) for r in good.collect()])
+    assert rows(single) == sorted((before[k] for k in singles), key=str)
 
     items = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
     verdict = plain_contamination([(r["doc_id"], r["text"]) for r in single.collect()], items)
