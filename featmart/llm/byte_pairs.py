@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featmart.llm.tables import prepare
+from featmart.llm.tables import kept_names, prepare
 
 #: Frequent words whose encoding is looked up, and the texts in which they are counted, about.
 #: Both decide the work, never a result: all other words are encoded where they stand.
@@ -270,23 +270,22 @@ def encode(
 
     A null text is empty and has no ids. Repeated rows and ids stay as they are; an empty
     table gives an empty one. A step merges all pairs of one rank, so a very long word takes
-    as many steps as it uses ranks. A kept column named `ids` is refused, as two
-    columns of the result would share a name.
+    as many steps as it uses ranks. A kept column named `ids` comes back as `ids_in`.
     """
-    if "ids" in (c.lower() for c in keep):
-        raise ValueError("a kept column may not be named ids")
     known = vocabulary(docs.sparkSession, path, pattern)
     often = frequent(docs, known, text, limit)
     ids = known.ids(known.codes(known.words(F.col(f"`{text}`")), often))
-    return docs.select(*[F.col(f"`{c}`") for c in keep], ids.alias("ids"))
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept_names(keep, ["ids"]))], ids.alias("ids"))
 
 
 def decode(coded: DataFrame, path: str, pattern: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns `keep`, `n_tokens`, `packed` (the ids as little-endian unsigned 32-bit
-    integers) and `decoded`, the bytes they stand for. Null ids count as none."""
+    integers) and `decoded`, the bytes they stand for. Null ids count as none. A kept column
+    named as a result comes back with `_in` behind its name."""
+    names = kept_names(keep, ("n_tokens", "packed", "decoded"))
     known = vocabulary(coded.sparkSession, path, pattern)
     column = F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>"))
     return coded.select(
-        *[F.col(f"`{c}`") for c in keep], F.size(column).cast("long").alias("n_tokens"),
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.size(column).cast("long").alias("n_tokens"),
         known.pack(column).alias("packed"), known.decode(column).alias("decoded"),
     )

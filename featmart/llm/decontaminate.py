@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmart.llm import words
-from featmart.llm.tables import map_batches, raw
+from featmart.llm.tables import kept_names, map_batches, numbered, raw
 from featmart.session import cut_lineage
 
 #: Consecutive item words that count as one window; shorter items are one window.
@@ -157,11 +157,14 @@ def contamination(
     Words are runs of ASCII letters and digits (lower-cased) and of any characters beyond
     ASCII. A word is hit if it stands inside an occurrence of a window of any item. A null
     or empty text has no words and is clean; an empty benchmark leaves all clean; an item
-    without an id hits words but is not listed; repeated rows get a row each.
+    without an id hits words but is not listed; repeated rows get a row each; an empty table
+    gives an empty one; a kept column named as a result comes back with `_in` behind its name.
     """
+    names = [f"_k{i}" for i in range(len(keep))]
+    docs, text = numbered(docs, keep, _body=F.col(f"`{text}`")), "_body"
     windows = cut_lineage(benchmark_windows(items, item_id, item_text))
     bitmap, widths = token_filter(windows)
-    slim = cut_lineage(passages(docs, bitmap, widths, keep, text).withColumn("_row", F.monotonically_increasing_id()))
+    slim = cut_lineage(passages(docs, bitmap, widths, names, text).withColumn("_row", F.monotonically_increasing_id()))
     pieces = slim.filter(F.size("found") > 0).select("_row", F.explode("found").alias("p")).select("_row", "p.*")
 
     unique = windows.dropDuplicates(["window"]).select("window", "words", "offsets", "tokens")
@@ -209,14 +212,16 @@ def contamination(
     )
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    results = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     return (
         slim.drop("found").join(covered, "_row", "left").join(of_items, "_row", "left")
         .select(
-            *[F.col(f"`{c}`") for c in keep], "n_words", hit.alias("n_hit"),
+            *names, "n_words", hit.alias("n_hit"),
             F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
             F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
             ((hit > 0) & (SHARE * hit >= F.col("n_words"))).alias("contaminated"),
         )
+        .toDF(*kept_names(keep, results), *results)
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmart.llm.tables import written
+from featmart.llm.tables import kept_names, written
 
 #: Lines on at least so many different sites are removed.
 SITES = 5
@@ -65,9 +65,13 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_i
     """`docs` without their widespread lines, with `n_lines` and `n_removed` added.
 
     Both count lines that have a word; blank lines stay. A null text stays null and has no
-    lines; a text of which nothing is left is empty. Repeated rows are treated alike.
-    Existing columns of those two names are replaced.
+    lines; a text of which nothing is left is empty. Repeated rows are treated alike; an
+    empty table gives an empty one. Columns of those two names come back with `_in` behind
+    theirs.
     """
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    docs, id_col, text, site, outer = docs.toDF(*names), *(names[docs.columns.index(c)] for c in (id_col, text, site)), docs.columns
     keys = {"_k": F.xxhash64(F.col(id_col), F.col(text)), "_l": F.xxhash64(F.lit(1), F.col(text), F.col(id_col))}
     lines = lines_of(docs, keys, text, site)
     gone = written(widespread(lines, sites), "lines-gone")
@@ -79,13 +83,12 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_i
     every = F.sequence(F.lit(0), F.size(parts) - 1)
     gone_here = F.coalesce("_gone", F.array().cast("array<int>"))
     stay = F.transform(F.array_except(every, gone_here), lambda i: F.get(parts, i))
-    plain = docs.drop("n_lines", "n_removed")
-    return plain.withColumns(keys).join(places, ["_k", "_l"], "left").select(
-        *[F.col(f"`{c}`") for c in plain.columns if c != text],
-        F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")).alias(text),
+    results = ("n_lines", "n_removed")
+    return docs.withColumns(keys).join(places, ["_k", "_l"], "left").select(
+        *names[:at], F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")).alias(text), *names[at + 1 :],
         F.coalesce(F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0)).cast("long").alias("n_lines"),
         F.size(gone_here).cast("long").alias("n_removed"),
-    )
+    ).toDF(*kept_names(outer, results), *results)
 
 
 BLANK_SQL = " || ".join(f"chr({ord(c)})" for c in BLANK)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.llm import crf, words
-from featmart.llm.tables import map_batches, raw
+from featmart.llm.tables import kept_names, map_batches, numbered, raw
 
 CONTENT, BOILERPLATE = 0, 1
 #: Labelled documents that the model is fitted on, and the longest text (bytes) among them.
@@ -134,11 +134,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
     )
+    # Of rows that share an id, that of the smallest content hash.
     rows = (
         docs.select(F.col(id_col).alias("_id"), raw(text).alias("_text"))
         .filter(F.octet_length("_text") <= SAMPLE_BYTES)
         .join(F.broadcast(ids), "_id")
-        .select("_id", "_label", "_text").dropDuplicates(["_id"]).toPandas().sort_values("_id")
+        .groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("_first"))
+        .select("_id", "_label", F.col("_first.t").alias("_text")).toPandas().sort_values("_id")
     )
     if rows["_label"].nunique() < 2:
         return None
@@ -151,10 +153,13 @@ def judge(docs: DataFrame, model: crf.Crf | None, keep: list[str], text: str = "
     """The columns `keep`, the rules' figures, `content_words`, `base_failed` and `kept`.
 
     A null text has no words and fails by the rules, as does an empty one. Without a model
-    all lines are content.
+    all lines are content. Repeated rows are judged alike, and an empty table gives an empty
+    one; long texts are judged whole. A kept column named as a result comes back with `_in`
+    behind its name.
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], raw(text).alias("_text"))
+    source = numbered(docs, keep, _text=raw(F.col(f"`{text}`")))
     kinds = dict(source.dtypes)
+    own = [f"_k{i}" for i in range(len(keep))]
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_words")
 
     def work(batch):
@@ -171,19 +176,17 @@ def judge(docs: DataFrame, model: crf.Crf | None, keep: list[str], text: str = "
         total = out["n_words"]
         failed = (total < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * total)
         return (
-            {c: batch.column(c) for c in keep} | out
+            {c: batch.column(c) for c in own} | out
             | {"base_failed": failed, "kept": ~failed & (out["content_words"] >= share * total)}
         )
 
-    schema = [f"`{c}` {kinds[c]}" for c in keep] + [f"{n} bigint" for n in names]
-    return map_batches(source, ", ".join([*schema, "base_failed boolean", "kept boolean"]), work)
+    schema = [f"{c} {kinds[c]}" for c in own] + [f"{n} bigint" for n in names]
+    results = (*names, "base_failed", "kept")
+    return map_batches(source, ", ".join([*schema, "base_failed boolean", "kept boolean"]), work).toDF(*kept_names(keep, results), *results)
 
 
 def keep_good(docs: DataFrame, model: crf.Crf | None, text: str = "text") -> DataFrame:
     """The rows of `docs` that pass, with their columns; texts are not shuffled."""
-    taken = {c.lower() for c in docs.columns}
-    clash = [n for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_words", "base_failed", "kept") if n in taken]
-    renamed = docs.withColumnsRenamed({c: f"_in_{i}" for i, c in enumerate(docs.columns)}) if clash else docs
-    column = f"_in_{docs.columns.index(text)}" if clash else text
-    passed = judge(renamed, model, renamed.columns, column).filter("kept").select(*[F.col(f"`{c}`") for c in renamed.columns])
-    return passed.toDF(*docs.columns)
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index(text)]
+    return judge(docs.toDF(*names), model, names, body).filter("kept").select(*names).toDF(*docs.columns)

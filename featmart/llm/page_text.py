@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,18 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.llm import words
-from featmart.llm.tables import map_batches, raw
+from featmart.llm.tables import kept_names, map_batches, numbered, raw
 
 #: Tags that do not end a block.
 INLINE = frozenset(
+    # Formulas and drawings stand in the line, with their parts.
+    "math mi mn mo mrow ms mspace mtext msup msub msubsup mfrac msqrt mroot mstyle munder mover munderover mtable mtr mtd semantics annotation "
+    "svg g path rect circle ellipse line polyline polygon text tspan defs use canvas "
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub "
     "sup time tt u var wbr".split()
 )
 #: Tags without content, whose whole content is not text, and that end an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title textarea iframe object svg math canvas select".split())
+HIDDEN = frozenset("script style template title textarea iframe select".split())
 #: Hidden tags whose content is no markup, so that without a closing tag it is all the rest.
 RAW_TEXT = frozenset("script style title textarea iframe".split())
+#: Parts of formulas and drawings, which may close themselves.
+FOREIGN = frozenset("math svg canvas".split()) | {t for t in INLINE if t[0] == "m" and t != "mark"} | frozenset(
+    "g path rect circle ellipse line polyline polygon text tspan defs use semantics annotation".split()
+)
 SIBLINGS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("article aside body blockquote div dl footer form header html main nav ol section table td ul".split())
 BLOCK_OPENERS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -40,9 +48,36 @@ _NAMES = re.compile(r"""(?i)[\s"'](class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _WORD = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element by its parent, so that blocks share their path."""
+
+    __slots__ = ("parent", "name", "depth", "_sums")
+
+    def __init__(self, parent: Node | None, name: str):
+        self.parent, self.name, self.depth, self._sums = parent, name, 1 + (parent.depth if parent else 0), None
+
+    def names(self) -> list[str]:
+        out, node = [], self
+        while node:
+            out.append(node.name)
+            node = node.parent
+        return out[::-1]
+
+    def sums(self) -> np.ndarray:
+        """Signed hashes of all names from the root to here, each node's kept."""
+        todo, node = [], self
+        while node and node._sums is None:
+            todo.append(node)
+            node = node.parent
+        total = node._sums if node else np.zeros(PATH_SIZE, dtype=np.float32)
+        for node in reversed(todo):
+            total = node._sums = total + _element(node.name)[0]
+        return total
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Node | None
     text: str
     linked: int
 
@@ -54,10 +89,21 @@ def blocks(page: str) -> list[Block]:
     parent, and an unfinished tag or raw text at the end is dropped.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    # (tag, path down to it), and how many of each tag are open.
+    stack: list[tuple[str, Node | None]] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     link_parts: list[str] = []
-    path: tuple[str, ...] = ()
+    path: Node | None = None
+
+    def push(tag: str, name: str) -> None:
+        above = stack[-1][1] if stack else None
+        stack.append((tag, above if tag in INLINE else Node(above, name)))
+        open_tags[tag] += 1
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            open_tags[stack.pop()[0]] -= 1
 
     def flush() -> None:
         if parts:
@@ -75,15 +121,27 @@ def blocks(page: str) -> list[Block]:
         if not parts:
             if text.isspace():
                 return
-            path = tuple(name for tag, name in stack if tag not in INLINE)
+            path = stack[-1][1] if stack else None
         parts.append(text)
-        if any(tag == "a" for tag, _ in stack):
+        if open_tags["a"]:
             link_parts.append(text)
 
+    def end_open(tags: tuple[str, ...]) -> None:
+        if not any(open_tags[t] for t in tags):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                cut(i)
+                return
+            if stack[i][0] in SCOPES:
+                return
+
     def close(tag: str) -> None:
+        if not open_tags[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                del stack[i:]
+                cut(i)
                 return
             if tag in INLINE and stack[i][0] not in INLINE:
                 return
@@ -125,33 +183,24 @@ def blocks(page: str) -> list[Block]:
                 else:
                     # Never closed: an ordinary element, or it would hide the whole rest.
                     flush()
-                    stack.append((tag, _named(tag, page[found.end() : at])))
+                    push(tag, _named(tag, page[found.end() : at]))
             continue
         if tag not in INLINE:
             flush()
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and page[at - 2] == "/":
             continue
         if tag in BLOCK_OPENERS:
             # A new block ends an open paragraph, and a hidden element that is never closed.
-            _end_open(stack, ("p",))
-            while stack and stack[-1][0] in HIDDEN:
-                stack.pop()
+            end_open(("p",))
+            while stack and (stack[-1][0] in HIDDEN or stack[-1][0] in FOREIGN):
+                cut(len(stack) - 1)
         if tag in SIBLINGS:
-            _end_open(stack, SIBLINGS[tag])
-        stack.append((tag, _named(tag, page[found.end() : at])))
+            end_open(SIBLINGS[tag])
+        push(tag, _named(tag, page[found.end() : at]))
     flush()
     return out
 
 
-def _end_open(stack: list, tags: tuple[str, ...]) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in tags:
-            del stack[i:]
-            return
-        if stack[i][0] in SCOPES:
-            return
-
-
 @lru_cache(maxsize=4096)
 def _named(tag: str, attributes: str) -> str:
     """The tag with the words of its class, id and role."""
@@ -166,15 +215,24 @@ INPUT = PATH_SIZE + LEAF_SIZE + WORD_SIZE + FIGURES
 
 
 @lru_cache(maxsize=8192)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Signed hashes of the path's names, and of the innermost element's own."""
+def _element(element: str) -> tuple[np.ndarray, np.ndarray]:
+    """Signed hashes of an element's names, for the path and for the innermost elements."""
+    path, leaf = np.zeros(PATH_SIZE, dtype=np.float32), np.zeros(LEAF_SIZE, dtype=np.float32)
+    for name in element.split():
+        code = zlib.crc32(name.encode())
+        path[code % PATH_SIZE] += 1.0 if code & 0x10000 else -1.0
+        leaf[(code >> 8) % LEAF_SIZE] += 1.0 if code & 0x20000 else -1.0
+    return path, leaf
+
+
+def _path_vector(path: Node | None) -> np.ndarray:
+    """Signed hashes of the path's names, and of the two innermost elements' own."""
     out = np.zeros(PATH_SIZE + LEAF_SIZE, dtype=np.float32)
-    for depth, element in enumerate(reversed(path)):
-        for name in element.split():
-            code = zlib.crc32(name.encode())
-            out[code % PATH_SIZE] += 1.0 if code & 0x10000 else -1.0
-            if depth < 2:
-                out[PATH_SIZE + (code >> 8) % LEAF_SIZE] += (1.0 if code & 0x20000 else -1.0) / (1 + depth)
+    if path:
+        out[:PATH_SIZE] = path.sums()
+        out[PATH_SIZE:] = _element(path.name)[1]
+        if path.parent:
+            out[PATH_SIZE:] += _element(path.parent.name)[1] / 2
     return np.clip(out, -2, 2)
 
 
@@ -192,7 +250,7 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     stops = np.array([b.text.count(".") + b.text.count("!") + b.text.count("?") for b in flat], dtype=np.float32)
     figures = np.stack([
         np.log1p(chars) / 5, np.array([b.linked for b in flat]) / chars, np.log1p(found.per_text) / 4, np.minimum(stops, 5) / 5,
-        np.array([b.text[-1] in ".!?" for b in flat]), np.array([len(b.path) for b in flat]) / 8,
+        np.array([b.text[-1] in ".!?" for b in flat]), np.array([b.path.depth if b.path else 0 for b in flat]) / 8,
     ], axis=1).astype(np.float32)
     paths = np.stack([_path_vector(b.path) for b in flat])
     out, low = [], 0
@@ -437,11 +495,12 @@ _PART_NAMES = frozenset("ad ads advert advertisement comment comments cookie foo
 
 def assumed(page: list[Block]) -> np.ndarray | None:
     """Labels of a page that has one clear main element, for want of a hand-made table."""
-    inner = [any(e.split()[0] in ("article", "main") for e in b.path) for b in page]
+    paths = [b.path.names() if b.path else [] for b in page]
+    inner = [any(e.split()[0] in ("article", "main") for e in p) for p in paths]
     if not any(inner):
         return None
     return np.array([
-        inside and not any(e.split()[0] in _OUTSIDE or _PART_NAMES & set(e.split()[1:]) for e in b.path) for inside, b in zip(inner, page)
+        inside and not any(e.split()[0] in _OUTSIDE or _PART_NAMES & set(e.split()[1:]) for e in p) for inside, p in zip(inner, paths)
     ], dtype=np.float32)
 
 
@@ -470,9 +529,11 @@ def extract(pages: DataFrame, model: BiLstm, keep: list[str], text: str = "html"
     """`keep`, `text`, `n_chars`, `n_blocks`, `n_content`: one row per page.
 
     The text is that of all content blocks of the whole page, joined by single spaces;
-    nothing is cut. A null or empty page has none.
+    nothing is cut. A null or empty page has none. Repeated pages give equal rows, an empty
+    table an empty one; time and memory grow with a page's length, however deep it is. A kept
+    column named as a result comes back with `_in` behind its name.
     """
-    source = pages.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], raw(text).alias("_html"))
+    source = numbered(pages, keep, _html=raw(F.col(f"`{text}`")))
     kinds = [kind for _, kind in source.dtypes]
     names = [f"_k{i}" for i in range(len(keep))]
 
@@ -486,4 +547,5 @@ def extract(pages: DataFrame, model: BiLstm, keep: list[str], text: str = "html"
         }
 
     schema = [f"{n} {k}" for n, k in zip(names, kinds)] + ["text string", "n_chars bigint", "n_blocks bigint", "n_content bigint"]
-    return map_batches(source, ", ".join(schema), work).withColumnsRenamed(dict(zip(names, keep)))
+    results = ("text", "n_chars", "n_blocks", "n_content")
+    return map_batches(source, ", ".join(schema), work).toDF(*kept_names(keep, results), *results)

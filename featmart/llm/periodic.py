@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.llm import words
-from featmart.llm.tables import map_batches, raw
+from featmart.llm.tables import kept_names, map_batches, numbered, raw
 
 #: A run has at least so many words, and so many periods.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -222,13 +222,13 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     A null text has no words, no runs and an empty `collapsed`, as has an empty one. Repeated
     rows are judged alike, each by itself; an empty table gives an empty one. A text's arrays
     take memory in proportion to its length, its grids are searched a block of points at a
-    time. A kept column named as one of the results is refused.
+    time. A kept column named as one of the results comes
+    back with `_in` behind its name.
     """
     names = ("n_words", "runs", "collapsed")
-    if clash := [c for c in keep if c.lower() in names]:
-        raise ValueError(f"kept columns named as results: {clash}")
-    source = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], raw(F.col(f"`{text}`")).alias("_text"))
+    source = numbered(docs, keep, _text=raw(F.col(f"`{text}`")))
     kinds = dict(source.dtypes)
+    own = [f"_k{i}" for i in range(len(keep))]
 
     def work(batch):
         texts = batch.column("_text")
@@ -251,11 +251,11 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         values = [pa.array(np.concatenate(p)) for p in zip(*parts)]
         runs = pa.StructArray.from_arrays(values, ["start", "length", "period"])
         return (
-            {f"_{i}": batch.column(f"_{i}") for i in range(len(keep))}
+            {c: batch.column(c) for c in own}
             | {"n_words": np.concatenate(sizes), "runs": pa.ListArray.from_arrays(pa.array(ends), runs), "collapsed": collapsed}
         )
 
-    schema = [f"_{i} {kinds[f'_{i}']}" for i in range(len(keep))]
+    schema = [f"{c} {kinds[c]}" for c in own]
     schema += ["n_words bigint", "runs array<struct<start: bigint, length: bigint, period: bigint>>", "collapsed binary"]
-    out = map_batches(source, ", ".join(schema), work).toDF(*keep, *names)
+    out = map_batches(source, ", ".join(schema), work).toDF(*kept_names(keep, names), *names)
     return out.withColumn("collapsed", F.col("collapsed").cast("string"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmart.llm import crf, words
-from featmart.llm.tables import map_batches, raw
+from featmart.llm.tables import kept_names, map_batches, numbered, raw
 
 #: Kinds in the order in which spans with one start are listed; tag 0 is "none of them".
 KINDS = ("email", "ip", "card", "phone")
@@ -247,27 +247,109 @@ def plausible(kind: int, text: str) -> bool:
     return is_phone(text) and not re.search(r"[^0-9 ().+\-]", text)
 
 
-def added_spans(chunk: words.Chunk, model: crf.Crf) -> dict[int, list[tuple[int, int, int]]]:
-    """{text: [(start, kind, end)]} of the field's spans in code points, after the check."""
+#: Words that one value may have at most: a card's 19 digits.
+MOST_WORDS = 19
+#: Digits that are a whole number already, so that a new one may begin.
+WHOLE = 9
+
+
+def _digits(text: str) -> int:
+    return sum(c.isascii() and c.isdigit() for c in text)
+
+
+def _parts(kind: int, values: list[str]) -> list[tuple[int, int]]:
+    """Neighbouring words of one kind, cut where one item must end and the next begin: after
+    closing punctuation, before a new number's + or (, before an address's own `at`."""
+    cuts, at_seen, digits = [0], False, 0
+    for i, value in enumerate(values):
+        new = i > cuts[-1] and values[i - 1][-1] in ",;:!?"
+        if kind in (2, 3) and i > cuts[-1] and value[0] in "+(" and digits >= WHOLE:
+            new = True
+        if kind == 0 and i + 1 < len(values) and i > cuts[-1] and at_seen and values[i + 1].strip("()[]").lower() == "at":
+            new = True
+        if new:
+            cuts.append(i)
+            at_seen, digits = False, 0
+        at_seen |= kind == 0 and value.strip("()[]").lower() == "at"
+        digits += _digits(value) if kind in (2, 3) else 0
+    return list(zip(cuts, [*cuts[1:], len(values)]))
+
+
+def _items(kind: int, values: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the plausible items among words of one part."""
+
+    def good(i: int, j: int) -> bool:
+        body = " ".join(values[i:j]).strip(_EDGE)
+        return bool(body) and plausible(kind, body)
+
+    bare = [v.strip("()[]").lower() for v in values]
+    if kind == 0 and "at" in bare[1:]:
+        # A spelled address: the word before `at`, the one after, and a word for each `dot`.
+        i = bare.index("at", 1)
+        end = i + 2
+        while end + 1 < len(values) and bare[end] == "dot":
+            end += 2
+        if good(i - 1, end):
+            yield i - 1, end
+            return
+    if len(values) <= MOST_WORDS and good(0, len(values)):
+        yield 0, len(values)
+        return
+    i = 0
+    while i < len(values):
+        reach = range(i + 1, min(len(values), i + MOST_WORDS) + 1)
+        # Numbers written one after the other: a phone number ends as soon as it may.
+        end = next((j for j in (reach if kind == 3 else reversed(reach)) if good(i, j)), None)
+        if end:
+            yield i, end
+        i = end or i + 1
+
+
+def added_spans(
+    chunk: words.Chunk, model: crf.Crf, fixed: dict[int, list[tuple[int, int, int]]] | None = None
+) -> dict[int, list[tuple[int, int, int]]]:
+    """{text: [(start, kind, end)]} of the field's spans in code points, after the check.
+
+    Words that overlap a span of `fixed` are left out, and cut a run of words in two.
+    """
     found = chunk.runs(words.NOT_SPACE)
     tags = model.decode(model.scores(features(chunk, found)), found.first)
     marked = tags > 0
     if not marked.any():
         return {}
+    # Code points before each byte: continuation bytes count for none.
+    points = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
+    base = points[chunk.bounds]
+    free = ~marked
+    for text, spans in (fixed or {}).items():
+        low, high = found.first[text], found.first[text + 1]
+        if not marked[low:high].any():
+            continue
+        spans = sorted(spans)
+        starts = np.array([s for s, _, _ in spans])
+        reach = np.maximum.accumulate([e for _, _, e in spans])
+        before = np.searchsorted(starts, points[found.ends[low:high]] - base[text])
+        covered = (before > 0) & (reach[np.maximum(before - 1, 0)] > points[found.starts[low:high]] - base[text])
+        marked[low:high] &= ~covered
+        free[low:high] &= ~covered
     joined = np.zeros(len(tags), dtype=bool)
-    joined[1:] = (tags[1:] == tags[:-1]) & (found.owner[1:] == found.owner[:-1])
+    joined[1:] = (tags[1:] == tags[:-1]) & (found.owner[1:] == found.owner[:-1]) & marked[1:] & marked[:-1]
     starts = np.flatnonzero(marked & ~joined)
     ends = np.flatnonzero(marked & ~np.append(joined[1:], False)) + 1
     out: dict[int, list] = {}
     for a, b in zip(starts, ends):
         text, kind = int(found.owner[a]), int(tags[a]) - 1
-        low, high = found.starts[a], found.ends[b - 1]
-        value = chunk.data[low:high].tobytes().decode("utf-8", "replace")
-        body = value.strip(_EDGE)
-        if body and plausible(kind, body):
-            before = chunk.data[chunk.bounds[text] : low].tobytes().decode("utf-8", "replace")
-            start = len(before) + len(value) - len(value.lstrip(_EDGE))
-            out.setdefault(text, []).append((start, kind, start + len(body)))
+        if kind == 0 and a > found.first[text] and free[a - 1] and chunk.data[found.starts[a] : found.ends[a]].tobytes().strip(b"()[]").lower() == b"at":
+            a -= 1  # the name before a spelled `at`
+        values = [chunk.data[found.starts[i] : found.ends[i]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
+        for first, last in _parts(kind, values):
+            for i, j in _items(kind, values[first:last]):
+                low, high = found.starts[a + first + i], found.ends[a + first + j - 1]
+                value = chunk.data[low:high].tobytes().decode("utf-8", "replace")
+                body = value.strip(_EDGE)
+                if body and plausible(kind, body):
+                    start = int(points[low] - base[text]) + len(value) - len(value.lstrip(_EDGE))
+                    out.setdefault(text, []).append((start, kind, start + len(body)))
     return out
 
 
@@ -279,33 +361,39 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", model: crf.Crf |
     """`keep`, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added: one row per text.
 
     Counts and hash are those of the fixed patterns. `spans` lists these and the field's,
-    of which the ones that overlap a fixed one are left out. A null text is empty and has
-    none. Offsets are code points, ends exclusive.
+    found in the words that no fixed span overlaps. A null text is empty and has none.
+    Offsets are code points, ends exclusive. Repeated rows are searched alike, an empty table
+    gives an empty one, and a long text takes time in proportion to its length. A kept column
+    named as a result comes back with `_in` behind its name.
     """
     model = model or built_in()
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], raw(text).alias("_text"))
+    source = numbered(docs, keep, _text=raw(F.col(f"`{text}`")))
     kinds = dict(source.dtypes)
+    own = [f"_k{i}" for i in range(len(keep))]
     names = [f"n_{k}" for k in KINDS]
 
     def work(batch):
         out: dict[str, list] = {n: [] for n in (*names, "base_sha256", "spans", "n_added")}
         for chunk in words.chunks(batch.column("_text")):
-            more = added_spans(chunk, model)
             has_digit = chunk.count(_PROBE, chunk.bounds[:-1], chunk.bounds[1:])
+            fixed = {
+                i: base_spans(chunk.data[chunk.bounds[i] : chunk.bounds[i + 1]].tobytes().decode("utf-8", "replace"))
+                for i in np.flatnonzero(has_digit).tolist()
+            }
+            more = added_spans(chunk, model, {i: s for i, s in fixed.items() if s})
             for i in range(chunk.texts):
-                base: list = []
-                if has_digit[i]:
-                    base = base_spans(chunk.data[chunk.bounds[i] : chunk.bounds[i + 1]].tobytes().decode("utf-8", "replace"))
-                added = [s for s in more.get(i, ()) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+                base, added = fixed.get(i, []), more.get(i, [])
                 for number, name in enumerate(names):
                     out[name].append(sum(kind == number for _, kind, _ in base))
                 out["base_sha256"].append(hashlib.sha256(listed(base).encode()).hexdigest())
                 out["spans"].append(listed(base + added))
                 out["n_added"].append(len(added))
-        return {c: batch.column(c) for c in keep} | out
+        return {c: batch.column(c) for c in own} | out
 
-    schema = [f"`{c}` {kinds[c]}" for c in keep] + [f"{n} bigint" for n in names]
-    return map_batches(source, ", ".join([*schema, "base_sha256 string", "spans string", "n_added bigint"]), work)
+    schema = [f"{c} {kinds[c]}" for c in own] + [f"{n} bigint" for n in names]
+    results = (*names, "base_sha256", "spans", "n_added")
+    schema += ["base_sha256 string", "spans string", "n_added bigint"]
+    return map_batches(source, ", ".join(schema), work).toDF(*kept_names(keep, results), *results)
 
 
 #: Bytes without which no fixed pattern can match.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from featmart.llm import words
 from featmart.llm.line_quality import DIGITS, LETTERS, NOT_TAIL, SENTENCE_END, SHOUTS, SYMBOLS, UPPER, Lines
-from featmart.llm.tables import map_batches, raw
+from featmart.llm.tables import kept_names, map_batches, numbered, raw
 from featmart.session import cut_lineage
 
 #: Cosine features, kernel width in standard deviations, ridge per row, and the seed.
@@ -235,20 +235,24 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     Inputs of a score are statistics of the text alone. Null and empty texts have all
     statistics zero and get that point's score; a null id is never held out; repeated rows
-    get a row each. Without usable labels every score is 0.5.
+    get a row each; an empty table gives an empty one; texts are read whole. Without usable
+    labels every score is 0.5. An id named as a result comes back with `_in` behind its name.
     """
-    stats = cut_lineage(with_statistics(docs, [id_col], text))
-    model = train(stats, labels, id_col, label)
-    kind = dict(stats.dtypes)[id_col]
+    bare = numbered(docs, [id_col], _body=F.col(f"`{text}`"))
+    marks = labels.select(F.col(f"`{id_col}`").alias("_k0"), F.col(f"`{label}`").alias("_label"))
+    stats = cut_lineage(with_statistics(bare, ["_k0"], "_body"))
+    model = train(stats, marks, "_k0", "_label")
+    kind = dict(stats.dtypes)["_k0"]
 
     def work(batch):
         values = np.full(batch.num_rows, 0.5)
         if model is not None:
             values = model.score(np.stack(batch.column("stats").to_numpy(zero_copy_only=False)))
-        return {id_col: batch.column(id_col), "score": values}
+        return {"_k0": batch.column("_k0"), "score": values}
 
-    scored = map_batches(stats, f"`{id_col}` {kind}, score double", work)
+    scored = map_batches(stats, f"_k0 {kind}, score double", work)
+    (name,) = kept_names([id_col], ("held_out", "score", "predicted"))
     return scored.select(
-        id_col, F.coalesce(fold(id_col) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
+        F.col("_k0").alias(name), F.coalesce(fold("_k0") == HELD_OUT, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= good).cast("int").alias("predicted"),
     )

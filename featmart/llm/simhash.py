@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from featmart.llm import golay
 from featmart.llm.components import components
-from featmart.llm.tables import map_batches, raw
+from featmart.llm.tables import kept_names, map_batches, numbered, raw
 from featmart.session import cut_lineage
 
 SEED = 42
@@ -134,17 +134,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     group of copies of any size costs one row. A null text has no words (fingerprint zero,
     linked like any other); rows that share an id each get their own row; a null id takes
     part but never names a class unless all ids of the class are null. An empty table
-    gives no rows.
+    gives no rows; texts are read whole. An id or extra column named as a result comes back
+    with `_in` behind its name.
     """
-    slim = cut_lineage(fingerprints(docs, [id_col, *extra], text, width))
-    unique = cut_lineage(slim.groupBy("fp").agg(F.min(id_col).alias("low")))
+    keep = [id_col, *extra]
+    names = [f"_k{i}" for i in range(len(keep))]
+    bare = numbered(docs, keep, _body=F.col(f"`{text}`"))
+    slim = cut_lineage(fingerprints(bare, names, "_body", width))
+    unique = cut_lineage(slim.groupBy("fp").agg(F.min("_k0").alias("low")))
     roots = components(close_pairs(unique)).withColumnRenamed("node", "fp")
     rooted = unique.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = cut_lineage(
         rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root")
         .select("fp", "component_id", F.col("root").alias("class_fp"))
     )
-    return slim.join(named, "fp").select(id_col, *extra, "fp", "component_id", "class_fp")
+    results = ("fp", "component_id", "class_fp")
+    return slim.join(named, "fp").select(*names, *results).toDF(*kept_names(keep, results), *results)
 
 
 def fingerprint_text(fp: str = "fp"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +39,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def kept_names(keep: list[str], results: Iterable[str]) -> list[str]:
+    """Names under which kept columns come back: a name that a result or an earlier column
+    has (in any case) gets `_in` behind it, so that no column is lost or doubled."""
+    taken = {r.lower() for r in results}
+    out = []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, keep: list[str], **more: Column) -> DataFrame:
+    """The columns `keep` as _k0, _k1, ..., which clash with nothing, and `more`."""
+    return df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], *[c.alias(n) for n, c in more.items()])
+
+
 def raw(column: str | Column) -> Column:
     """Text as its UTF-8 bytes, null as none."""
     column = F.col(column) if isinstance(column, str) else column

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from featmart.llm import rans
-from featmart.llm.tables import raw
+from featmart.llm.tables import prepare, raw
 
 #: Id that closes each document.
 END_ID = 2
@@ -54,6 +54,8 @@ BYTE_LETTERS = _byte_letters()
 #: Lower-case letters whose words are one pre-token: a-z and the composed Latin letters
 #: of U+00DF to U+017F.
 LATIN = frozenset("abcdefghijklmnopqrstuvwxyz") | {c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c.islower()}
+#: Capitals, digits, runs of white space of all kinds, and punctuation at either end.
+PROBE = "  Hello  there\tWORLD, a1b2 3.14 (don't)\n\nÀÉ x-y\x0b\x0cz Ünder_score \r\n end."
 PUNCTUATION = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 
 
@@ -67,9 +69,9 @@ def _packed(ids: list[int]) -> bytes:
 class WordEncoder(dict):
     """Ids of a text, by way of its different words.
 
-    Only for the vocabularies that lower-case, drop white space and close words: the ids
-    of a text are then those of its words in turn, and a word is encoded once while
-    remembered. The library does all merging; words of Latin letters go straight to its
+    For vocabularies that lower-case, drop white space and close words: the ids of a text
+    are then those of its words in turn, and a word is encoded once while remembered. Others
+    are known by PROBE, and get whole texts. The library does all merging; words of Latin letters go straight to its
     model, as the steps before it leave them as they are. Words are lower-cased (A-Z)
     first, unless the text may hold a special token, which is matched before that.
     """
@@ -87,6 +89,9 @@ class WordEncoder(dict):
             "".join(BYTE_LETTERS[b] for b in w.encode()) for w in ("éa", "bc")
         ]
 
+        whole = self.tokenizer.encode(PROBE, add_special_tokens=False).ids
+        self.by_words = whole == [i for w in PROBE.lower().split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word) or self.encode(word.decode("utf-8", "replace"))
         if len(self) >= REMEMBERED:
@@ -107,6 +112,9 @@ class WordEncoder(dict):
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: bytes, end_id: int) -> np.ndarray:
+        if not self.by_words:
+            found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+            return np.array([*found, end_id], dtype="<u2")
         words = text.split() if b"<|" in text else text.lower().split()
         found = list(map(self.__getitem__, words))
         found.append(end_id.to_bytes(2, "little"))
@@ -128,7 +136,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     """Encode every whole text and write the segments under `folder`.
 
     Documents are dealt by ranges of the id, null ids first, and sorted within; a range
-    streams through its task one segment at a time. A null text has the end id only.
+    streams through its task one segment at a time. A null or empty text has the end id
+    only; repeated ids are written in the order of their texts; an empty table gives no
+    segment, and reads as no rows. Other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), raw(text).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -194,8 +204,8 @@ def read(spark: SparkSession, folder: str, as_arrays: bool = False) -> DataFrame
             for i in range(batch.num_rows):
                 yield _documents(batch, i, as_arrays)
 
-    # A row holds a whole segment, so batches are of one row.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    # A row holds a whole segment; batches are closed by their bytes, and decoded row by row.
+    prepare(spark)
     docs = segments.mapInArrow(decode, "part int, segment int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint" + more)
     return docs.join(starts, ["part", "segment"]).select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if as_arrays else [])

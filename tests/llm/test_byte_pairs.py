@@ -83,8 +83,7 @@ def test_empty_table_and_clashing_names(spark):
     coded = byte_pairs.encode(docs, RANKS, PATTERN, docs.columns)
     assert coded.columns == [*docs.columns, "ids"] and coded.first()["words"] == "kept"
     assert byte_pairs.encode(docs.filter("false"), RANKS, PATTERN, ["doc_id"]).count() == 0
-    with pytest.raises(ValueError):
-        byte_pairs.encode(docs.withColumnRenamed("words", "Ids"), RANKS, PATTERN, ["Ids"])
+    assert byte_pairs.encode(docs.withColumnRenamed("words", "Ids"), RANKS, PATTERN, ["Ids"]).columns == ["Ids_in", "ids"]
     gone = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
     row = byte_pairs.decode(gone, RANKS, PATTERN, ["doc_id"]).first()
     assert (row.n_tokens, bytes(row.packed), bytes(row.decoded)) == (0, b"", b"")

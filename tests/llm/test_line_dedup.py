@@ -25,7 +25,7 @@ def plain(rows, sites):
 def run(spark, rows, sites):
     docs = spark.createDataFrame([(k, t, s, 9) for k, t, s in rows], "doc_id bigint, text string, source string, n_lines int").repartition(4)
     got = line_dedup.remove_boilerplate(docs, sites)
-    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "n_lines", "n_removed"])
+    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "n_lines_in", "n_lines", "n_removed"])
     return sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str)
 
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -28,7 +29,7 @@ def test_blocks(page, want):
 
 def test_paths_close_with_their_parents():
     found = page_text.blocks('<nav class="Top-Menu"><ul><li><a href=x>m</a></ul></nav><article><p><b>t<br><p>u</p></article><footer id=f>e')
-    assert [b.path for b in found] == [("nav menu top", "ul", "li"), ("article", "p"), ("article", "p"), ("footer f",)]
+    assert [tuple(b.path.names()) for b in found] == [("nav menu top", "ul", "li"), ("article", "p"), ("article", "p"), ("footer f",)]
     assert [b.linked for b in found] == [1, 0, 0, 0]
 
 
@@ -103,9 +104,25 @@ def test_odd_pages(spark, model):
 @pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "noscript", "template", "canvas"])
 def test_unclosed_hidden_elements_keep_the_rest(tag):
     found = page_text.blocks(f"<article><{tag} id=x><p>one</p><p>two</p></article>")
-    assert [(b.text, b.path) for b in found] == [("one", ("article", "p")), ("two", ("article", "p"))]
+    # Objects and scripts' fallbacks are ordinary elements, closed or not.
+    path = ["article", f"{tag} x", "p"] if tag in ("object", "noscript") else ["article", "p"]
+    assert [(b.text, b.path.names()) for b in found] == [("one", path), ("two", path)]
 
 
 @pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!---->", "<!-- x -->"])
 def test_empty_comments_end(comment):
     assert [b.text for b in page_text.blocks(f"<p>a</p>{comment}<p>b</p><!-- c --><p>d</p>")] == ["a", "b", "d"]
+
+
+def test_formulas_and_fallbacks_keep_their_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><svg><text>Fig</text><path d='m'/><title>t</title></svg><noscript><p>plain</p></noscript><object><p>obj</p></object><canvas>cv</canvas></article>"
+    assert [b.text for b in page_text.blocks(page)] == ["Let x=2 be.", "Fig", "plain", "obj", "cv"]
+
+
+@pytest.mark.parametrize("part, count", [("<div>x", 40_000), ("<b>x", 40_000), ("<p><div><b>y", 20_000), ("</i>x", 40_000)])
+def test_deep_pages_take_linear_memory(part, count):
+    tracemalloc.start()
+    page_text.vectors([page_text.blocks(part * count)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6

@@ -135,5 +135,4 @@ def test_odd_rows(spark):
         (5, "k", 200_000, [(0, 200_000, 50_000)], 50_000), (None, None, 40, [(0, 40, 2)], "a b"),
     ], key=str)
     assert periodic.find(docs.filter("false"), ["doc_id"]).count() == 0
-    with pytest.raises(ValueError):
-        periodic.find(docs.withColumnRenamed("start", "Runs"), ["Runs"])
+    assert periodic.find(docs.withColumnRenamed("start", "Runs"), ["Runs"]).columns == ["Runs_in", "n_words", "runs", "collapsed"]

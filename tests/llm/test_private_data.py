@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -87,5 +88,32 @@ def test_query_over_documents_and_odd_texts(spark, sf):
     assert len(queries.PLANS["op3_private_data"](spark, sf).collect()) == docs.count()
 
 
+@pytest.mark.parametrize("text, want", [
+    ("call 555-123-4567, 555-123-4568 now", ["555-123-4567", "555-123-4568"]),
+    ("(555) 123-4567 (555) 123-4568", ["(555) 123-4567", "(555) 123-4568"]),
+    ("anna at foo dot com bob at bar dot org", ["anna at foo dot com", "bob at bar dot org"]),
+    ("write to anna at foo dot com and bob at bar dot co dot uk", ["anna at foo dot com", "bob at bar dot co dot uk"]),
+])
+def test_neighbours_of_one_kind_stay_apart(text, want):
+    found = pd_.added_spans(pd_.words.chunk_of([text]), pd_.built_in())
+    assert [text[s:e] for s, _, e in sorted(found[0])] == want
+
+
+def test_words_under_a_fixed_span_cut_a_run():
+    text = "call 555-123-4567 +1 (212) 555-0100, 555-123-4568 now"
+    base = pd_.base_spans(text)
+    assert base
+    spans = pd_.added_spans(pd_.words.chunk_of([text]), pd_.built_in(), {0: base}).get(0, [])
+    assert not any(s < e2 and s2 < e for s, _, e in spans for s2, _, e2 in base)
+
+
+def test_many_spans_take_linear_time():
+    text = " ".join(f"mail user{i} at site dot com or a{i}@b.de or call (555) 123-{i % 10000:04d}" for i in range(4000))
+    base, model = pd_.base_spans(text), pd_.built_in()
+    start = time.time()
+    found = pd_.added_spans(pd_.words.chunk_of([text]), model, {0: base})[0]
+    assert time.time() - start < 2 and len(text) > 250_000 and len(found) > 7000
+
+
 def test_empty_table(spark):
     assert pd_.find(spark.createDataFrame([], "doc_id bigint, text string"), ["doc_id"]).count() == 0

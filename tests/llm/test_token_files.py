@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +97,17 @@ def test_query_over_documents(spark, sf, tokenizer):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.PLANS["op6_token_files"](spark, sf).collect()
     assert sorted(map(tuple, got), key=str) == expected(tokenizer, rows)
+
+
+def test_other_vocabularies_get_whole_texts(spark, tmp_path):
+    """Vocabularies that keep case and white space are encoded as the library does."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello there world", "  two\n spaces ", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    token_files.write(docs, str(tmp_path / "ids"), path)
+    got = {r.doc_id: list(r.ids) for r in token_files.read(spark, str(tmp_path / "ids"), as_arrays=True).collect()}
+    library = Tokenizer.from_file(path)
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [token_files.END_ID] for i, t in enumerate(texts)}
+    assert token_files.encoder(queries.VOCABULARY).by_words
+    # Reading leaves batches of many rows.
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1
