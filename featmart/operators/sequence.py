@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmart.functions.runs import expand, support_positions
+from featmart.operators.ordering import null_safe_join, ordered_prefix
+from featmart.session import cut_lineage
 
 
 def run_starts(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
@@ -100,16 +103,23 @@ def expand_runs(df: DataFrame, keys: Sequence[str], support: str, frame: str, or
 
 
 def pivot_values(
-    df: DataFrame, keys: Sequence[str], column: str, aggs: Sequence[Column], prefix: str, values: Sequence | None = None
+    df: DataFrame, keys: Sequence[str], column: str, aggs: Sequence[Column], prefix: str, values: Sequence | None = None,
+    outside: str | None = None,
 ) -> DataFrame:
     """Pivot over the values of `column`: all that occur, or the ones given.
 
-    The values become columns, so they come from a bounded range such as months.
+    The values become columns, so they come from a bounded range such as months. With
+    `outside` a column of that name counts each key's rows of no given value, so that none
+    is left out unseen.
     """
     if values is None:
         values = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
     wide = df.groupBy(*keys).pivot(column, list(values)).agg(*aggs)
-    return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns if c not in keys})
+    wide = wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns if c not in keys})
+    if outside is None:
+        return wide
+    listed = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+    return null_safe_join(wide, df.groupBy(*keys).agg(F.count_if(~listed).alias(outside)), keys)
 
 
 def lag_diff(df: DataFrame, keys: Sequence[str], order: str, column: str, decimals: int = 4) -> DataFrame:
@@ -132,27 +142,91 @@ def ewm_mean(df: DataFrame, keys: Sequence[str], order: str, column: str, alpha:
 
     A series is cut into blocks after which a weight has fallen by e^300. Weights restart
     with each block, so they never overflow, and a row's sums take in its own block and
-    the one before; what lies further back weighs nothing in double precision.
+    what the one before carries over; what lies further back weighs nothing in double
+    precision. Rows are numbered by the ordered prefix, so a series may hold any share of
+    all rows: a window never has more than one block.
     """
     decay = 1 - alpha
     block = max(1, math.ceil(300 / -math.log(decay))) if 0 < decay < 1 else 1
-    series = Window.partitionBy(*keys).orderBy(order)
-    placed = df.withColumn("_n", F.row_number().over(series) - 1).withColumns(
-        {"_b": F.floor(F.col("_n") / block), "_j": F.col("_n") % block}
+    placed = ordered_prefix(df, [F.col(order)], {"_n": F.lit(1)}, by=keys).withColumns(
+        {"_b": F.floor((F.col("_n") - 1) / block), "_j": (F.col("_n") - 1) % block}
     )
     inside = Window.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
     power = lambda exponent: F.pow(F.lit(float(decay)), exponent)
+    values = {"_x": F.col(column).cast("double"), "_w": F.when(F.col(column).isNotNull(), F.lit(1.0))}
+    # Each block's sums as they stand behind its last row; a block with a next one is full.
+    carried = placed.groupBy(*keys, (F.col("_b") + 1).alias("_b")).agg(
+        *[F.sum(v * power(block - 1 - F.col("_j"))).alias(f"_c{n}") for n, v in values.items()]
+    )
+    joined = null_safe_join(placed, carried, [*keys, "_b"], "left")
+
+    def total(name: str) -> Column:
+        own = F.coalesce(F.sum(values[name] * power(-F.col("_j"))).over(inside) * power(F.col("_j")), F.lit(0.0))
+        return own + F.coalesce(F.col(f"_c{name}") * power(F.col("_j") + 1), F.lit(0.0))
+
+    sums = joined.withColumns({n: total(n) for n in values})
+    return sums.withColumn(name, F.when(F.col("_w") > 0, F.col("_x") / F.col("_w"))).select(*df.columns, name)
 
-    def total(value: Column) -> Column:
-        own = F.coalesce(F.sum(value * power(-F.col("_j"))).over(inside) * power(F.col("_j")), F.lit(0.0))
-        # The block before is always full.
-        carried = F.sum(value * power(block - 1 - F.col("_j"))).over(previous) * power(F.col("_j") + 1)
-        return own + F.coalesce(carried, F.lit(0.0))
 
-    known = F.when(F.col(column).isNotNull(), F.lit(1.0))
-    sums = placed.withColumns({"_x": total(F.col(column).cast("double")), "_w": total(known)})
-    return sums.withColumn(name, F.when(F.col("_w") > 0, F.col("_x") / F.col("_w"))).drop("_n", "_b", "_j", "_x", "_w")
+def peaks(series: DataFrame, order: str, height: str, distance: int) -> DataFrame:
+    """Peaks of a series, higher ones first, none nearer than `distance` positions to another.
+
+    A peak is a value, or the middle of a level stretch, with lower neighbours on both sides;
+    the ends are none. Of two peaks nearer than `distance` the lower one goes, of equal
+    heights the earlier one, in the order of heights: a peak that has gone removes no other.
+    Positions count rows along `order`, which is unique. Returns `order`, `height` and
+    `position`.
+
+    Each round keeps the peaks that are the first in reach among those left, and drops what
+    they reach; a stretch of positions sees its neighbours within reach, so rounds are
+    spread. A peak that stays in doubt waits for a higher one nearby, so rounds are as many
+    as the longest such chain.
+    """
+    placed = ordered_prefix(series.select(order, height), [F.col(order)], {"position": F.lit(1)}).withColumn(
+        "position", F.col("position") - 1
+    )
+    width = max(20 * distance, 1 << 12)
+
+    def stretches(df: DataFrame, reach: int) -> DataFrame:
+        home = F.floor(F.col("position") / width)
+        near = [F.floor((F.col("position") + d) / width) for d in (-reach, 0, reach)]
+        return df.withColumn("_home", home).withColumn("_stretch", F.explode(F.array_distinct(F.array(*near))))
+
+    # Level stretches are one entry each: they begin where the value changes.
+    line = Window.partitionBy("_stretch").orderBy("position")
+    changes = stretches(placed, 1).withColumn("_before", F.lag(height).over(line)).filter("_home = _stretch")
+    begins = changes.filter(F.col("position").isin(0) | ~F.col(height).eqNullSafe(F.col("_before"))).select(order, height, "position")
+    numbered = ordered_prefix(begins, [F.col("position")], {"_run": F.lit(1)})
+    around = [
+        numbered.select((F.col("_run") + d).alias("_run"), F.col(height).alias(f"_h{i}"), F.col("position").alias(f"_p{i}"))
+        for i, d in enumerate((1, -1))
+    ]
+    runs = numbered.join(around[0], "_run").join(around[1], "_run").filter((F.col(height) > F.col("_h0")) & (F.col(height) > F.col("_h1")))
+    middle = F.floor((F.col("position") + F.col("_p1") - 1) / 2)
+    left = cut_lineage(runs.select(F.col(height).alias("_height"), middle.alias("position")))
+    kept: list[DataFrame] = []
+    while not left.isEmpty():
+        # Higher first; of equal heights the later one.
+        rank = F.struct("_height", "position")
+        reach = Window.partitionBy("_stretch").orderBy("position").rangeBetween(1 - distance, distance - 1)
+        top = cut_lineage(
+            stretches(left, distance).withColumn("_top", F.max(rank).over(reach)).filter("_home = _stretch")
+            .withColumn("_keeps", F.col("_top.position") == F.col("position")).drop("_top", "_home", "_stretch")
+        )
+        kept.append(top.filter("_keeps").select("position"))
+        gone = F.max(F.col("_keeps").cast("int")).over(reach)
+        left = cut_lineage(stretches(top, distance).withColumn("_gone", gone).filter("_home = _stretch AND _gone = 0").select("_height", "position"))
+    found = reduce(DataFrame.unionByName, kept) if kept else left.select("position")
+    return placed.join(found, "position").select(order, height, "position")
+
+
+def value_count_peaks(df: DataFrame, column: str, distance: int) -> DataFrame:
+    """(x, n, spacing): peaks of the counts per value, as `peaks` has them, and how far each
+    value is from the peak before."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    found = peaks(counts, "x", "n", distance).select("x", "n")
+    # At most one peak per `distance` positions: a small table, ordered by one sort.
+    return found.withColumn("spacing", F.col("x") - F.lag("x").over(Window.orderBy("x")))
 
 
 def count_peaks(df: DataFrame, column: str, distance: int) -> DataFrame:

@@ -228,23 +228,32 @@ def rle_divide(spark, sf):
     return parts.withColumn("core", runs.runs_text("core"))
 
 
-@query("pivot_months", """
-SELECT * FROM (PIVOT (SELECT loan_id, 'm_' || month AS _c, status FROM monthly) ON _c USING max(status) GROUP BY loan_id)""")
+#: Months of the status series' calendar, and of the accounts'; rows of others are counted.
+STATUS_MONTHS, ACCOUNT_MONTHS = range(30), range(96)
+
+
+def pivot_sql(keys: str, source: str, months: range, columns: dict[str, str]) -> str:
+    """A column for each month and each of `columns` (name behind the month: aggregate)."""
+    cells = [f"{agg.format(f'FILTER (month = {m})')} AS m_{m}{name}" for m in months for name, agg in columns.items()]
+    outside = f"count(*) FILTER (month IS NULL OR month < {months[0]} OR month > {months[-1]}) AS outside"
+    return f"SELECT {keys}, {', '.join(cells)}, {outside} FROM {source} GROUP BY {keys}"
+
+
+@query("pivot_months", pivot_sql("loan_id", "monthly", STATUS_MONTHS, {"": "max(status) {}"}))
 def pivot_months(spark, sf):
-    return sequence.pivot_values(series(spark, sf), ["loan_id"], "month", [F.max("status")], "m_")
+    return sequence.pivot_values(series(spark, sf), ["loan_id"], "month", [F.max("status")], "m_", STATUS_MONTHS, "outside")
 
 
-@query("pivot_months_multi", """
-SELECT * FROM (PIVOT (SELECT client_id, 'm_' || month AS _c, balance, payment FROM account)
-  ON _c USING round(sum(balance), 4) AS balance, round(sum(payment), 4) AS payment GROUP BY client_id)""")
+@query("pivot_months_multi", pivot_sql(
+    "client_id", "account", ACCOUNT_MONTHS, {f"_{c}": f"round(sum({c}) {{}}, 4)" for c in ("balance", "payment")}))
 def pivot_months_multi(spark, sf):
-    return sequence.pivot_values(roles.account(spark, sf), ["client_id"], "month", pivot_sums("balance", "payment"), "m_")
+    sums = pivot_sums("balance", "payment")
+    return sequence.pivot_values(roles.account(spark, sf), ["client_id"], "month", sums, "m_", ACCOUNT_MONTHS, "outside")
 
 
-@query("pivot_counts", """
-SELECT * FROM (PIVOT (SELECT status, 'm_' || month AS _c, count(*) AS n FROM monthly GROUP BY 1, 2) ON _c USING max(n) GROUP BY status)""")
+@query("pivot_counts", pivot_sql("status", "monthly", STATUS_MONTHS, {"": "nullif(count(*) {}, 0)"}))
 def pivot_counts(spark, sf):
-    return sequence.pivot_values(series(spark, sf), ["status"], "month", [F.count(F.lit(1))], "m_")
+    return sequence.pivot_values(series(spark, sf), ["status"], "month", [F.count(F.lit(1))], "m_", STATUS_MONTHS, "outside")
 
 
 @query("count_peaks", """
@@ -256,6 +265,23 @@ def count_peaks(spark, sf):
     return sequence.count_peaks(roles.loan(spark, sf), "loan_day", 30)
 
 
+@query("peak_distance", """
+WITH RECURSIVE c AS (SELECT CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-12-31') AS BIGINT) AS x, count(*) AS n FROM orders GROUP BY 1),
+s AS (SELECT *, row_number() OVER (ORDER BY x) - 1 AS pos FROM c),
+r AS (SELECT *, sum(fresh) OVER (ORDER BY pos) AS run FROM (
+  SELECT *, CASE WHEN n IS DISTINCT FROM lag(n) OVER (ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM s) q),
+g AS (SELECT run, min(pos) AS a, max(pos) AS b, min(n) AS n FROM r GROUP BY run),
+p AS (SELECT (a + b) // 2 AS pos, n FROM (SELECT *, lag(n) OVER (ORDER BY run) AS l, lead(n) OVER (ORDER BY run) AS h FROM g) q WHERE n > l AND n > h),
+o AS (SELECT pos, row_number() OVER (ORDER BY n DESC, pos DESC) AS k FROM p),
+t AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL
+  SELECT t.k + 1, CASE WHEN len(list_filter(t.kept, lambda y: abs(y - o.pos) < 30)) = 0 THEN list_append(t.kept, o.pos) ELSE t.kept END
+  FROM t JOIN o ON o.k = t.k + 1),
+f AS (SELECT unnest(kept) AS pos FROM t WHERE k = (SELECT count(*) FROM o))
+SELECT s.x, s.n, s.x - lag(s.x) OVER (ORDER BY s.x) AS spacing FROM f JOIN s ON f.pos = s.pos""")
+def peak_distance(spark, sf):
+    return sequence.value_count_peaks(roles.loan(spark, sf), "loan_day", 30)
+
+
 @query("continuous_tracking", f"WITH {jumps_sql('loan_id', 'monthly')}, k AS (SELECT loan_id, count(*) AS n FROM jumps GROUP BY 1) SELECT n = 1 AS continuous, count(*) AS loans FROM k GROUP BY 1")
 def continuous_tracking(spark, sf):
     return supports(spark, sf).groupBy((F.size("support") == 1).alias("continuous")).agg(F.count("*").alias("loans"))

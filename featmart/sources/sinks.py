@@ -80,6 +80,45 @@ def materialized(
     return spark.read.parquet(path)
 
 
+def materialized_parts(
+    spark: SparkSession,
+    name: str,
+    params: dict,
+    source: str,
+    build: Callable[[DataFrame], DataFrame],
+    root: str | None = None,
+    pattern: str = "*.parquet",
+) -> DataFrame:
+    """The table for (name, params) over the Parquet files of `source`, kept up to date.
+
+    `build` works on rows, so that each file's result stands by itself. Every result row is
+    written under its file's fingerprint (path, size and time of change): only files whose
+    fingerprint has no result yet are read and built, in one job; results of files that are
+    gone or have changed are not read any more. File contents are not listed on the driver,
+    only the fingerprints of the files that are there.
+    """
+    path = f"{root or shared_folder(spark)}/{name}/{parameter_hash(params)}"
+    stamp = F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")), 256)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source)
+    files = listed.select("path", stamp.alias("_file")).collect()
+    try:
+        done = {r["_file"] for r in spark.read.parquet(f"{path}/done").select("_file").distinct().collect()}
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        done = set()
+    fresh = [r for r in files if r["_file"] not in done]
+    if fresh:
+        stamps = spark.createDataFrame([(r["path"], r["_file"]) for r in fresh], "_path string, _file string")
+        rows = spark.read.parquet(*[r["path"] for r in fresh]).withColumn("_path", F.col("_metadata.file_path"))
+        built = build(rows.join(F.broadcast(stamps), "_path").drop("_path"))
+        # A build that was lost half way left results without a mark: they are written over.
+        built.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_file").parquet(f"{path}/parts")
+        stamps.select("_file").write.mode("append").parquet(f"{path}/done")
+    current = [r["_file"] for r in files]
+    return spark.read.parquet(f"{path}/parts").filter(F.col("_file").isin(current)).drop("_file")
+
+
 def rows_as_json(df: DataFrame, name: str = "row_json") -> DataFrame:
     """Each row as one JSON object; a large result stays distributed."""
     return df.select(F.to_json(F.struct("*")).alias(name))
