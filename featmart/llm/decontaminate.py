@@ -79,8 +79,10 @@ def token_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     )
     bitmap = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
     step = (1 << 15) // 8
-    for row in pieces.toLocalIterator():
-        bitmap[(row["k"] - 1) * step : row["k"] * step] = np.frombuffer(row["bits"], dtype=np.uint8)
+    # At most 4 MB, in one job: an iterator would run one for each shuffle partition.
+    found = pieces.toArrow()
+    for k, bits in zip(found.column("k").to_pylist(), found.column("bits").to_pylist()):
+        bitmap[(k - 1) * step : k * step] = np.frombuffer(bits, dtype=np.uint8)
     widths = windows.select(F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("w")).distinct().collect()
     return bitmap, sorted(r["w"] for r in widths)
 
