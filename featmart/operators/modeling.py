@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from featmart.operators import scoring
 from featmart.operators.cleaning import impute_median
+from featmart.operators.ordering import HASH_MODULUS, spread
 from featmart.operators.sampling import assign_folds
 from featmart.session import cut_lineage, shared_folder, with_row
 
@@ -41,28 +42,53 @@ def prepare_training(df: DataFrame, label: str, ids: Sequence[str], features: Se
     return scale_min_max(labelled.drop(*ids), features)
 
 
-def classifier(kind: str, label: str, seed: int = 0):
-    """An untrained classifier by family name."""
+#: Rounds of boosting that stops by itself, and the gain in validation error that a round must bring.
+ROUNDS, LEAST_GAIN = 30, 0.01
+
+
+def classifier(kind: str, label: str, seed: int = 0, validation: str | None = None):
+    """An untrained classifier by family name.
+
+    With `validation`, a boolean column, "boosted" stops at the round after which the error
+    on those rows no longer falls. "dummy" gives every row the share of positives.
+    """
     common = {"labelCol": label, "featuresCol": "features"}
     if kind == "logistic":
         return LogisticRegression(maxIter=20, regParam=0.01, **common)
     if kind == "forest":
         return RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **common)
+    if kind == "boosted" and validation:
+        return GBTClassifier(
+            maxIter=ROUNDS, maxDepth=3, seed=seed, validationIndicatorCol=validation, validationTol=LEAST_GAIN, **common
+        )
     if kind == "boosted":
         return GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common)
+    if kind == "dummy":
+        return DecisionTreeClassifier(maxDepth=0, seed=seed, **common)
     raise ValueError(f"unknown model family {kind!r}")
 
 
 def fit(
     df: DataFrame, label: str, features: Sequence[str], kind: str,
-    resample: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0,
+    resample: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0, key: str | None = None, held: float = 0.0,
 ) -> PipelineModel:
-    """Resample the training rows if asked, then fit assembler, scaler and classifier."""
-    train = resample(df) if resample else df
+    """Resample the training rows if asked, then fit assembler, scaler and classifier.
+
+    With a `held` share, boosting is stopped early on that share of the rows, picked by the
+    hash of `key` before resampling, so that no copy of a held row is trained on. The bounds
+    of the scaler come from all rows.
+    """
+    validation = "_held" if held > 0 and kind == "boosted" else None
+    if validation:
+        marked = df.withColumn(validation, spread(key, seed + 101) < int(held * HASH_MODULUS))
+        train = marked.filter(~F.col(validation))
+        train = (resample(train) if resample else train).unionByName(marked.filter(validation), allowMissingColumns=True)
+    else:
+        train = resample(df) if resample else df
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep"),
         MinMaxScaler(inputCol="raw_features", outputCol="features"),
-        classifier(kind, label, seed),
+        classifier(kind, label, seed, validation),
     ]
     return Pipeline(stages=stages).fit(train)
 
@@ -74,29 +100,36 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFra
 
 
 def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
-    """Importance of each feature, or its absolute coefficient."""
+    """Importance of each feature, or its absolute coefficient; equal for the dummy family."""
     last = model.stages[-1]
+    if getattr(last, "depth", None) == 0:
+        return [(f, 1 / len(features)) for f in features]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     return [(f, abs(float(v))) for f, v in zip(features, values.toArray())]
 
 
+def rounds(model: PipelineModel) -> int:
+    """Boosting rounds of the model: its best round where it was stopped early."""
+    return model.stages[-1].getNumTrees
+
+
 def cross_fit(
     df: DataFrame, key: str, label: str, features: Sequence[str], kind: str, folds: int = 5,
-    resample: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0,
+    resample: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0, held: float = 0.0,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stratified folds: out-of-fold scores, scores of the unlabelled rows averaged over the
     folds' models, and (feature, fold, importance).
 
     The prepared rows are written once to the shared folder, so every fit re-reads them
     instead of the whole feature plan. The k models score the unlabelled rows as k columns
-    of one scan.
+    of one scan. A `held` share of each fold's training rows stops boosting early.
     """
     rows = cut_lineage(df.select(key, label, *features))
     labelled = cut_lineage(assign_folds(rows.filter(F.col(label) > -1), key, folds, by=label, seed=seed))
     unlabelled = rows.filter(F.col(label) == -1)
     parts, weights = [], []
     for fold in range(folds):
-        model = fit(labelled.filter(F.col("fold") != fold), label, features, kind, resample, seed)
+        model = fit(labelled.filter(F.col("fold") != fold), label, features, kind, resample, seed, key, held)
         parts.append(predict(model, labelled.filter(F.col("fold") == fold)).select(key, label, "fold", "score"))
         unlabelled = predict(model, unlabelled, f"_score_{fold}")
         weights += [(name, fold, value) for name, value in importances(model, features)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from featmart.functions.scalars import mapped, status_by_priority
 from featmart.operators import aggregate
+from featmart.operators.keys import join_parts
 from featmart.plans import mart, roles
 from featmart.plans.registry import query
 from featmart.sources.tables import scan
@@ -295,12 +296,22 @@ def value_counts_map(spark, sf):
     return counts.withColumn("counts", aggregate.map_text("counts"))
 
 
-@query("feature_mart", f"""
+MART = f"""
 WITH {EXTERNAL}, e AS ({EXT_CLIENT}), p AS ({LOAN_CLIENT}), i AS ({INST_CLIENT}), k AS ({CARD_CLIENT}), o AS ({POS_CLIENT})
 SELECT c.client_id, c.target, c.region_key, c.balance,
        {", ".join(f"CASE WHEN c.segment = '{s}' THEN 1 ELSE 0 END AS segment_{s}" for s in mart.SEGMENTS)},
        e.* EXCLUDE (client_id), p.* EXCLUDE (client_id), i.* EXCLUDE (client_id), k.* EXCLUDE (client_id), o.* EXCLUDE (client_id)
 FROM client c LEFT JOIN e ON c.client_id = e.client_id LEFT JOIN p ON c.client_id = p.client_id
-LEFT JOIN i ON c.client_id = i.client_id LEFT JOIN k ON c.client_id = k.client_id LEFT JOIN o ON c.client_id = o.client_id""")
+LEFT JOIN i ON c.client_id = i.client_id LEFT JOIN k ON c.client_id = k.client_id LEFT JOIN o ON c.client_id = o.client_id"""
+
+
+@query("feature_mart", MART)
 def feature_mart(spark, sf):
     return mart.feature_mart(spark, sf)
+
+
+@query("feature_mart_bucketed", MART)
+def feature_mart_bucketed(spark, sf):
+    """The mart from stored tables, bucketed by client; as many buckets as shuffle partitions."""
+    client, *parts = mart.bucketed_star(spark, sf, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return join_parts(client, parts, "client_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featmart.operators import modeling, neighbors, sampling, scoring
-from featmart.operators.ordering import HASH_MODULUS, spread_sql
+from featmart.operators.ordering import HASH_MODULUS, spread, spread_sql
 from featmart.plans import roles
 from featmart.plans.registry import query
 from featmart.plans.score_queries import FEATURES, metrics_sql
@@ -132,6 +132,38 @@ def importances(spark, sf):
     return spark.createDataFrame(found, "family string, feature string, importance double")
 
 
+HELD = 0.25
+PICKED = f"{spread_sql('client_id', 101)} < {int(HELD * HASH_MODULUS)}"
+
+
+@query("early_stopping", f"""
+SELECT count(*) FILTER ({PICKED}) AS held, count(*) FILTER (NOT {PICKED}) AS trained, true AS bounded, true AS better
+FROM client WHERE target > -1""")
+def early_stopping(spark, sf):
+    """Rows that stop the boosting and rows that it learns from; whether its rounds keep
+    within their limit, and whether it ranks the held rows better than the dummy family."""
+    rows = cut_lineage(training(spark, sf).filter("target > -1"))
+    marked = rows.withColumn("held", spread("client_id", 101) < int(HELD * HASH_MODULUS))
+    model = modeling.fit(rows, "target", TRAINED, "boosted", key="client_id", held=HELD)
+    dummy = modeling.fit(marked.filter("NOT held"), "target", TRAINED, "dummy")
+    picked = marked.filter("held")
+    aucs = [scoring.auc(modeling.predict(m, picked), "target", "score").first()[0] for m in (model, dummy)]
+    return marked.agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("trained")).withColumns(
+        {"bounded": F.lit(1 <= modeling.rounds(model) <= modeling.ROUNDS), "better": F.lit(aucs[0] > aucs[1])}
+    )
+
+
+@query("dummy_family", f"""
+SELECT client_id, round((SELECT avg(target) FROM client WHERE target > -1), 9) AS score, round(CAST(1 AS DOUBLE) / {len(TRAINED)}, 9) AS importance
+FROM client""")
+def dummy_family(spark, sf):
+    """Every client's score by the dummy family, and the importance it gives each feature."""
+    rows = cut_lineage(training(spark, sf))
+    model = modeling.fit(rows.filter("target > -1"), "target", TRAINED, "dummy")
+    (share,) = {value for _, value in modeling.importances(model, TRAINED)}
+    return modeling.predict(model, rows).select("client_id", F.round("score", 9).alias("score"), F.lit(round(share, 9)).alias("importance"))
+
+
 def balanced_model(spark, sf, rows):
     labelled = cut_lineage(rows.filter("target > -1"))
 

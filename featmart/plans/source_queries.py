@@ -13,7 +13,7 @@ from featmart.plans.registry import query
 from featmart.session import scratch_path
 from featmart.sources import sinks, slices
 from featmart.sources.tables import (
-    TABLES, data_dictionary, default_loaders, filter_by_values, main_map, register_tables, scan,
+    TABLES, data_dictionary, default_loaders, filter_by_values, main_map, register_tables, scan, scan_checked,
     target_map, union_labelled,
 )
 
@@ -156,6 +156,22 @@ def submission_csv(spark, sf):
     return spark.read.schema("client_id bigint, score double").option("header", True).csv(path)
 
 
+@query("damaged_rows", """
+SELECT 'good' AS part, o_orderkey AS orderkey, round(o_totalprice, 2) AS price, NULL AS line FROM orders WHERE o_orderkey % 50 NOT IN (0, 1)
+UNION ALL
+SELECT 'damaged', NULL, NULL, CASE o_orderkey % 50 WHEN 0 THEN o_orderkey || ',n/a' ELSE o_orderkey || ',1,2' END FROM orders WHERE o_orderkey % 50 IN (0, 1)""")
+def damaged_rows(spark, sf):
+    """Orders as CSV, some with a price that is no number and some with a value too many."""
+    path = scratch_path(spark, "damaged")
+    key = F.col("o_orderkey")
+    price = F.when(key % 50 == 0, "n/a").when(key % 50 == 1, "1,2").otherwise(F.round("o_totalprice", 2).cast("string"))
+    scan(spark, sf, "orders").select(F.concat_ws(",", key, price).alias("value")).write.text(f"{path}/orders.csv")
+    good, damaged = scan_checked(spark, path, "orders", "orderkey bigint, price double", header=False)
+    return good.select(F.lit("good").alias("part"), "orderkey", "price", F.lit(None).cast("string").alias("line")).unionByName(
+        damaged.select(F.lit("damaged").alias("part"), F.lit(None).cast("bigint").alias("orderkey"), F.lit(None).cast("double").alias("price"), "line")
+    )
+
+
 @query("materialized_reuse", """
 SELECT loan_id, round(sum(due), 2) AS due FROM installment GROUP BY loan_id""")
 def materialized_reuse(spark, sf):

@@ -59,6 +59,29 @@ def stream_category_counts(spark, sf):
     return done.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: A share of drift from which on a window is reported.
+KS_LIMIT = 0.25
+WEEK_START = "time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01')"
+
+
+def week_drift_sql(column: str, x: str) -> str:
+    """Distance of each week's distribution from that of all rows, over all values."""
+    return f"""SELECT start, '{column}' AS column_name, max(n) AS n, max(abs(a / n - b / t)) >= {KS_LIMIT} AS drifted FROM (
+  SELECT w.start, w.n, sum(coalesce(c.k, 0)) OVER q AS a, sum(v.k) OVER q AS b, sum(v.k) OVER (PARTITION BY w.start) AS t
+  FROM (SELECT {WEEK_START} AS start, count({x}) AS n FROM events GROUP BY 1) w
+  CROSS JOIN (SELECT {x} AS v, count(*) AS k FROM events WHERE {x} IS NOT NULL GROUP BY 1) v
+  LEFT JOIN (SELECT {WEEK_START} AS start, {x} AS v, count(*) AS k FROM events GROUP BY 1, 2) c ON c.start = w.start AND c.v = v.v
+  WHERE w.start + INTERVAL 7 DAYS <= {WATERMARK} WINDOW q AS (PARTITION BY w.start ORDER BY v.v)) d GROUP BY start"""
+
+
+@query("stream_numeric_drift", " UNION ALL ".join(week_drift_sql(c, x) for c, x in (("value", "value"), ("hour", "hour(ts)"))))
+def stream_numeric_drift(spark, sf):
+    rows = streams.table_stream(spark, sf, "events", "ts").withColumn("hour", F.hour("ts"))
+    reference = scan(spark, sf, "events").withColumn("hour", F.hour("ts"))
+    done = streams.run_available(streams.windowed_ks(rows, "ts", ["value", "hour"], reference, threshold=KS_LIMIT), "numeric-drift")
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "column_name", "n", "drifted")
+
+
 def shares(spark, sf):
     """Reference shares of the event types, exact counts over the whole table."""
     rows = scan(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type").collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -43,6 +44,20 @@ def save_by_key(df: DataFrame, path: str, key: str, then: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str = "bucketed", root: str | None = None) -> DataFrame:
+    """`df` as a table bucketed and sorted by `key`, read back: tables of equal buckets join
+    on the key, and group by it, without a shuffle.
+
+    One file a bucket: rows are dealt by the hash that buckets have. The files lie in the
+    shared folder (or under `root`); only their description is in the session's catalog.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    rows = df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{root or shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def save_submission(df: DataFrame, path: str, key: str, score: str) -> str:
     """CSV of (key, score), written in parallel."""
     df.select(key, score).write.mode("overwrite").option("header", True).csv(path)

@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from featmart.session import cut_lineage
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -38,6 +41,33 @@ def scan(spark: SparkSession, folder: str, name: str, ext: str = "parquet", sche
     raise UnknownFormat(ext)
 
 
+DAMAGED = "_damaged"
+
+
+def scan_checked(spark: SparkSession, folder: str, name: str, schema: str | StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good, damaged) of a CSV table: the rows that fit the schema, and the
+    lines that do not, whole, in the column `line`, with the file they stand in.
+
+    A line is damaged if a value does not have its column's type, or if it has more or fewer
+    values than there are columns. An empty value is null and fits. The file is read once:
+    both parts come from one checkpoint, as Spark does not tell damage from null otherwise.
+    """
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    path = f"{folder}/{name}.csv"
+    try:
+        rows = (
+            spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", DAMAGED)
+            .schema(StructType([*kinds.fields, StructField(DAMAGED, StringType())])).csv(path)
+        )
+        read = cut_lineage(rows.withColumn("_damaged_file", F.col("_metadata.file_path")))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise MissingTable(path) from error
+        raise
+    good = read.filter(F.col(DAMAGED).isNull()).select(*[f"`{f.name}`" for f in kinds.fields])
+    return good, read.filter(F.col(DAMAGED).isNotNull()).select(F.col(DAMAGED).alias("line"), F.col("_damaged_file").alias("file"))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing numbers written as NaN become NULL, so counts and means skip them."""
     return df.withColumns(

@@ -6,7 +6,8 @@ dropped, and a window or a run is written once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -103,6 +104,78 @@ def windowed_drift(
     return windows.select(F.col("w.start").alias("start"), "n", index.alias("psi"), (index >= threshold).alias("drifted"))
 
 
+#: Accuracy of a drift sketch: items of its widest level, and the ranks at which two
+#: distributions are compared. Ranks are then off by 0.3 % at most, with 99 % confidence.
+SKETCH_ITEMS, RANKS = 1024, 400
+RANK_ERROR = 0.003
+
+
+def _value(column: str) -> Column:
+    """The number that counts: null if there is none."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _sketch(column: str) -> Column:
+    return F.kll_sketch_agg_double(_value(column), F.lit(SKETCH_ITEMS))
+
+
+def _points(reference: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list[float], list[float]]]:
+    """For each column with values, where distributions are compared, and the reference's
+    ranks there: its quantiles, and what comes right before each of them.
+
+    Between two of these points the reference rises by 1 / RANKS at most and the other
+    distribution is monotone, so that no distance between them is larger by more than that.
+    """
+    ranks = F.array(*[F.lit(i / RANKS) for i in range(RANKS + 1)])
+    row = reference.agg(*[_sketch(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    one = reference.sparkSession.range(1)
+    sizes = one.select(*[F.kll_sketch_get_n_double(F.lit(s)) for s in row]).first()
+    known = [(c, s) for c, s, n in zip(columns, row, sizes) if n]
+    if not known:
+        return {}
+    edges = one.select(*[F.kll_sketch_get_quantile_double(F.lit(s), ranks) for _, s in known]).first()
+    points = [sorted({x for e in found for x in (e, math.nextafter(e, -math.inf))}) for found in edges]
+    there = one.select(*[F.kll_sketch_get_rank_double(F.lit(s), _numbers(p)) for (_, s), p in zip(known, points)]).first()
+    return {c: (p, r) for (c, _), p, r in zip(known, points, there)}
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def windowed_ks(
+    stream: DataFrame, ts: str, columns: Sequence[str], reference: DataFrame, length: str = "7 days", late: str = "1 day",
+    threshold: float = 0.2, decimals: int = 6,
+) -> DataFrame:
+    """(start, column_name, n, ks, drifted): Kolmogorov-Smirnov distance of each numeric column
+    of a tumbling window from the rows of `reference`.
+
+    A window's state is a count and one mergeable KLL sketch per column, whatever its rows;
+    sketches combine map-side, so a window that holds most rows moves as a few sketches. The
+    distance is within 4 * RANK_ERROR + 1 / RANKS of the exact one. Nulls and NaN do not
+    count; a window or a reference without values has a null distance. Late rows are dropped.
+    """
+    sketches = [f"_s{i}" for i in range(len(columns))]
+    counts = [f"_n{i}" for i in range(len(columns))]
+    base = _points(reference, columns)
+    windows = stream.withWatermark(ts, late).groupBy(F.window(ts, length).alias("w")).agg(
+        *[_sketch(c).alias(s) for c, s in zip(columns, sketches)],
+        *[F.count(_value(c)).alias(n) for c, n in zip(columns, counts)],
+    )
+    cells = []
+    for c, s, n in zip(columns, sketches, counts):
+        ks = F.lit(None).cast("double")
+        if c in base:
+            points, there = base[c]
+            # An empty sketch has no ranks.
+            here = F.kll_sketch_get_rank_double(F.when(F.col(n) > 0, F.col(s)), _numbers(points))
+            ks = F.round(F.array_max(F.zip_with(here, _numbers(there), lambda a, b: F.abs(a - b))), decimals)
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.col(n).alias("n"), ks.alias("ks")))
+    long = windows.select(F.col("w.start").alias("start"), F.explode(F.array(*cells)).alias("c")).select("start", "c.*")
+    return long.withColumn("drifted", F.col("ks") >= threshold)
+
+
 def last_status_per_day(stream: DataFrame, key: str, ts: str, status: Column, order: str, late: str = "1 day") -> DataFrame:
     """(key, day, status): the last status of each key and day, once the day is over.
 

@@ -71,3 +71,34 @@ def test_closed_runs_over_many_triggers(spark, sf, tmp_path):
     want = catalog.PLANS["stream_closed_runs"](spark, sf)
     got = got.withColumn("start", F.col("start").cast("timestamp_ntz"))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+
+
+def test_boosting_stops_on_held_rows(spark):
+    rows = [(i, float(i % 97), float(i * 31 % 89), int((i % 97 > 48) != (i * 7 % 10 == 0))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    model = modeling.fit(df, "y", ["a", "b"], "boosted", key="id", held=0.3)
+    assert 1 <= modeling.rounds(model) < modeling.ROUNDS
+    assert dict(modeling.importances(model, ["a", "b"]))["a"] > 0.5
+    held_out, _, _ = modeling.cross_fit(df, "id", "y", ["a", "b"], "boosted", folds=2, held=0.3)
+    assert held_out.count() == 1200 and held_out.filter("score < 0 OR score > 1").isEmpty()
+
+
+def test_held_rows_are_not_resampled(spark):
+    rows = [(i, float(i % 10), int(i % 10 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, y int")
+    seen = []
+
+    def resample(train):
+        seen.append(train.count())
+        return sampling.over_sample(train, "id", "y")
+
+    modeling.fit(df, "y", ["a"], "boosted", resample, key="id", held=0.25)
+    assert 250 < seen[0] < 350
+
+
+def test_dummy_family(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i), float(-i), int(i < 15)) for i in range(60)], "id long, a double, b double, y int")
+    model = modeling.fit(df, "y", ["a", "b"], "dummy")
+    assert modeling.importances(model, ["a", "b"]) == [("a", 0.5), ("b", 0.5)]
+    again = modeling.load_model(modeling.save_model(model, spark, "dummy", str(tmp_path)))
+    assert {r["score"] for r in modeling.predict(again, df).collect()} == {0.25}

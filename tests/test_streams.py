@@ -1,6 +1,7 @@
 """Streams over folders of files, late rows, and runs that end by themselves."""
 
 import math
+from bisect import bisect_right
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -57,3 +58,44 @@ def test_categories_that_the_reference_lacks_are_drift(spark, tmp_path):
     seen = 2 * (0.25 - 0.5) * math.log(0.25 / 0.5)
     assert got[1] == 0.0
     assert abs(got[2] - seen - (0.5 - 1e-4) * math.log(0.5 / 1e-4)) < 1e-6
+
+
+def test_numeric_drift_is_within_the_sketches_error(spark, tmp_path):
+    """Windows of many rows, of few, with ties, nulls and NaN; late rows are dropped."""
+    def rows(day, values):
+        return [(START + timedelta(days=day, seconds=i % 80_000), v) for i, v in enumerate(values)]
+
+    hot = [(i * 37 % 20_011) / 20_011 for i in range(60_000)]
+    files = [
+        rows(0, hot), rows(1, [v * v for v in hot[:6000]] + [None, math.nan]), rows(2, [0.25] * 50), rows(3, [None]),
+        rows(20, [0.5]), rows(20, [0.5]), rows(0, [9.0] * 500) + rows(30, [0.1]),
+    ]
+    for part in files:
+        frame = spark.createDataFrame(part, "ts timestamp_ntz, x double")
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/numbers.parquet")
+    reference = spark.createDataFrame([(i / 9973,) for i in range(9973)], "x double")
+    stream = streams.table_stream(spark, str(tmp_path), "numbers", "ts", files_per_trigger=1)
+    drift = streams.windowed_ks(stream, "ts", ["x"], reference, length="1 day", threshold=0.2)
+    got = {r["start"].day: (r["n"], r["ks"], r["drifted"]) for r in streams.run_available(drift, "ks").collect()}
+
+    base = [i / 9973 for i in range(9973)]
+
+    def exact(values):
+        one, two = sorted(values), base
+        return max(abs(bisect_right(one, x) / len(one) - bisect_right(two, x) / len(two)) for x in {*one, *two})
+
+    limit = 4 * streams.RANK_ERROR + 1 / streams.RANKS
+    assert got[1][0] == 60_000 and abs(got[1][1] - exact(hot)) <= limit and not got[1][2]
+    assert got[2][0] == 6000 and abs(got[2][1] - exact([v * v for v in hot[:6000]])) <= limit and got[2][2]
+    assert got[3][0] == 50 and abs(got[3][1] - exact([0.25] * 50)) <= limit and got[3][2]
+    assert got[4] == (0, None, None)
+
+
+def test_numeric_drift_against_an_empty_reference(spark, tmp_path):
+    for day in (0, 5, 9):
+        spark.createDataFrame([(START + timedelta(days=day), 1.0)], "ts timestamp_ntz, x double").coalesce(1).write.mode("append").parquet(
+            f"{tmp_path}/numbers.parquet")
+    stream = streams.table_stream(spark, str(tmp_path), "numbers", "ts", files_per_trigger=1)
+    empty = spark.createDataFrame([], "x double")
+    got = streams.run_available(streams.windowed_ks(stream, "ts", ["x"], empty, length="1 day"), "ks").collect()
+    assert got and all(r["ks"] is None and r["n"] == 1 for r in got)
