@@ -87,7 +87,8 @@ class Codes:
             place = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.size - 1)).cast("int")
             # Behind the key; where there is none, what comes before the bucket's first comma.
             behind = F.call_function("substring_index", F.get(buckets, place), F.concat(F.lit(","), key, F.lit(":")), F.lit(-1))
-            return F.nullif(F.substring_index(behind, ",", 1), F.lit(""))
+            # Not `nullif`, which computes its argument twice inside a lambda.
+            return let(F.substring_index(behind, ",", 1), lambda code: F.when(code != "", code))
 
         return value
 
