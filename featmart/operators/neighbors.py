@@ -5,7 +5,8 @@ which bounds its k-th distance; it then visits only the boxes that can hold some
 nearer. Box visits are joined by (box, slice) with both sides sliced to a fixed size, so
 neither a dense box nor a popular one becomes one large task, and only the k best of each
 visit leave it. In few dimensions a query visits a few boxes; in many dimensions pruning
-fades and the work approaches that of comparing everything, still in bounded blocks.
+fades and the work approaches that of comparing everything, still in bounded blocks: a
+matrix product rules most pairs of a block out, the others are compared exactly.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from featmart.session import cut_lineage, with_row
 
 SAMPLE_ROWS = 50_000
 BLOCK_CELLS = 4_000_000
+#: Points of a box, about: a query moves once for each box that it visits.
+BOX_ROWS = 16_384
 
 
 def split_boxes(sample: np.ndarray, boxes: int) -> list[tuple[int, float, int, int]]:
@@ -71,25 +74,71 @@ def box_of(points: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.n
     return -place
 
 
-def best_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
-    """For each query the k nearest points other than itself: (query row, point id, squared distance)."""
+def _copies_cut(points: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Rows of `points`, by id, without all but the first `most` of equal ones."""
+    order = np.argsort(ids, kind="stable")
+    rows = np.ascontiguousarray(points[order] + 0.0)  # a zero has one sign
+    _, group = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    sizes = np.bincount(group)
+    place = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return order[np.sort(by_group[place < most])]
+
+
+def best_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, reach: np.ndarray | None = None):
+    """For each query the k nearest points other than itself: (query row, point id, squared
+    distance). Points beyond a query's `reach`, a squared distance, may be left out.
+
+    Distances by one matrix product, less accurate by `slack` at most, choose the pairs whose
+    distances are then computed. Of equal points only k besides the query's own can count.
+    """
+    # No distance from a point without finite coordinates is a number.
+    finite = np.isfinite(points).all(axis=1)
+    points, ids = points[finite], ids[finite]
+    if points.size:
+        kept = _copies_cut(points, ids, k + 1)
+        points, ids = points[kept], ids[kept]
+    middle = points.sum(axis=0) / max(1, len(points))
+    near, asked = points - middle, queries - middle
+    squares, asked_squares = (near ** 2).sum(axis=1), (asked ** 2).sum(axis=1)
+    # Twice the bound of the rounding of the product, of the squares and of the shifted points.
+    scale = squares.max(initial=0) + asked_squares.max(initial=0, where=np.isfinite(asked_squares)) + (middle ** 2).sum()
+    slack = 16 * (points.shape[1] + 8) * np.finfo(float).eps * scale
     rows, keys, dists = [], [], []
-    step = max(1, BLOCK_CELLS // max(1, points.size))
+    step = max(1, BLOCK_CELLS // max(1, len(points)))
+    some = max(1, BLOCK_CELLS // max(1, points.shape[1]))
     for start in range(0, len(queries), step):
-        block = queries[start:start + step]
-        d = ((block[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-        d[own[start:start + step, None] == ids[None, :]] = np.inf
-        for i, line in enumerate(d):
-            # Equal distances are settled by the smaller id.
-            top = np.lexsort((ids, line))[:k]
-            top = top[np.isfinite(line[top])]
-            rows += [start + i] * len(top)
-            keys += ids[top].tolist()
-            dists += line[top].tolist()
-    return rows, keys, dists
-
-
-def nearest(points: DataFrame, queries: DataFrame, k: int, box_rows: int = 2000) -> DataFrame:
+        part = slice(start, start + step)
+        rough = squares - 2 * (asked[part] @ near.T) + asked_squares[part, None]
+        limit = np.full(len(rough), np.inf) if reach is None else reach[part]
+        wide = np.flatnonzero(np.isinf(limit))
+        if len(wide) and len(points) > k + 1:
+            # The query itself may be one of them.
+            limit = limit.copy()
+            limit[wide] = np.partition(rough if len(wide) == len(rough) else rough[wide], k, axis=1)[:, k] + slack
+        # What is no number is not ruled out.
+        at, which = np.nonzero(~(rough > (limit * (1 + 1e-12) + slack)[:, None]))
+        at += start
+        other = own[at] != ids[which]
+        at, which = at[other], which[other]
+        d2 = np.empty(len(at))
+        for low in range(0, len(at), some):
+            d2[low:low + some] = ((queries[at[low:low + some]] - points[which[low:low + some]]) ** 2).sum(axis=1)
+        # Equal distances are settled by the smaller id; a distance that is no number is none.
+        order = np.lexsort((ids[which], d2, at))
+        order = order[np.isfinite(d2[order])]
+        at, which, d2 = at[order], which[order], d2[order]
+        sizes = np.bincount(at - start, minlength=len(rough))
+        first = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k
+        rows.append(at[first])
+        keys.append(ids[which[first]])
+        dists.append(d2[first])
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(dists)
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int, box_rows: int = BOX_ROWS) -> DataFrame:
     """(id, neighbour, distance², place): the k nearest points of each query, exactly.
 
     Both tables have `id` (unique integer) and `x` (array<double>); a query never meets
@@ -134,13 +183,14 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, box_rows: int = 2000)
             )
         own = asking["id"].to_numpy()
         rows, keys, dists = best_k(
-            np.stack(asking["x"].to_numpy()), np.stack(there["x"].to_numpy()), there["id"].to_numpy(), own, k
+            np.stack(asking["x"].to_numpy()), np.stack(there["x"].to_numpy()), there["id"].to_numpy(), own, k,
+            asking["reach"].to_numpy(),
         )
         return pd.DataFrame({"id": own[rows], "neighbour": keys, "d2": dists})
 
-    def visit(visits: DataFrame) -> DataFrame:
-        """Compare queries with the points of the boxes they visit, both sides in slices."""
-        load = visits.groupBy("box").agg(F.count("*").alias("q"))
+    def visit(visits: DataFrame, load: DataFrame) -> DataFrame:
+        """Compare queries with the points of the boxes they visit, both sides in slices;
+        `load` has the number of visits, `q`, of each box."""
         plan = sizes.join(load, "box").select(
             "box",
             F.ceil(F.col("n") / box_rows).alias("p_slices"),
@@ -149,10 +199,10 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, box_rows: int = 2000)
 
         def sliced(df: DataFrame, mine: str, other: str, me: str, them: str) -> DataFrame:
             return (
-                df.join(plan, "box")
+                df.join(F.broadcast(plan), "box")
                 .withColumn(me, F.pmod(spread("id", 29), F.col(mine)))
                 .withColumn(them, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-                .select("id", "x", "box", "ps", "qs")
+                .drop("p_slices", "q_slices")
             )
 
         left = sliced(visits, "q_slices", "p_slices", "qs", "ps").groupBy("box", "ps", "qs")
@@ -165,33 +215,44 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, box_rows: int = 2000)
         kept = found.withColumn("_r", F.row_number().over(nearest_first)).filter(F.col("_r") <= k)
         return kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d2", "neighbour"))).alias("best"))
 
-    first = cut_lineage(keep_best(visit(asked)))
+    whole = asked.withColumn("reach", F.lit(float("inf")))
+    first = cut_lineage(keep_best(visit(whole, asked.groupBy("box").agg(F.count("*").alias("q")))))
     reach = F.when(F.size("best") >= k, F.get("best", F.lit(k - 1))["d2"]).otherwise(float("inf"))
-    bounded = asked.join(first, "id", "left").select(
+    bounded = cut_lineage(asked.join(first, "id", "left").select(
         "id", "x", "box", F.coalesce(reach, F.lit(float("inf"))).alias("reach")
-    )
+    ))
+
+    def near_boxes(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Other boxes that can hold something nearer, and which queries must visit them."""
+        x = np.stack(batch["x"].to_numpy())
+        reach_, box_ = batch["reach"].to_numpy(), batch["box"].to_numpy()
+        for name, low, high in zip(names, lows, highs):
+            gap = np.maximum(low - x, 0) + np.maximum(x - high, 0)
+            near = ((gap ** 2).sum(axis=1) <= reach_ * (1 + 1e-12)) & (box_ != name)
+            if near.any():
+                yield name, near
 
     def other_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["x"].to_numpy())
-            reach_, box_ = batch["reach"].to_numpy(), batch["box"].to_numpy()
-            for name, low, high in zip(names, lows, highs):
-                gap = np.maximum(low - x, 0) + np.maximum(x - high, 0)
-                near = ((gap ** 2).sum(axis=1) <= reach_ * (1 + 1e-12)) & (box_ != name)
-                if near.any():
-                    yield pd.DataFrame({"id": batch["id"][near], "x": batch["x"][near], "box": name})
-
-    more = cut_lineage(bounded.mapInPandas(other_boxes, "id bigint, x array<double>, box bigint"))
+            if len(batch):
+                yield from (batch[near].assign(box=name) for name, near in near_boxes(batch))
+
+    def visits_counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame([(name, near.sum()) for name, near in near_boxes(batch)], columns=["box", "q"])
+
+    # Visits are counted first and made where they are shuffled: they are never stored.
+    load = cut_lineage(bounded.mapInPandas(visits_counted, "box bigint, q bigint").groupBy("box").agg(F.sum("q").alias("q")))
+    more = bounded.mapInPandas(other_boxes, "id bigint, x array<double>, box bigint, reach double")
     known = first.select("id", F.explode("best").alias("b")).select("id", "b.neighbour", "b.d2")
-    merged = keep_best(known.unionByName(visit(more)))
+    merged = keep_best(known.unionByName(visit(more, load)))
     return merged.select("id", F.posexplode("best").alias("place", "b")).select(
         "id", F.col("b.neighbour").alias("neighbour"), F.col("b.d2").alias("d2"), "place"
     )
 
 
-def tomek_links(df: DataFrame, label: str = "label", box_rows: int = 2000) -> DataFrame:
+def tomek_links(df: DataFrame, label: str = "label", box_rows: int = BOX_ROWS) -> DataFrame:
     """Pairs (minority 1, majority 0) that are each other's nearest neighbour."""
     near = nearest(df, df, 1, box_rows).select("id", "neighbour")
     back = near.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))
@@ -203,7 +264,7 @@ def tomek_links(df: DataFrame, label: str = "label", box_rows: int = 2000) -> Da
     )
 
 
-def near_miss(df: DataFrame, label: str = "label", k: int = 3, box_rows: int = 2000) -> DataFrame:
+def near_miss(df: DataFrame, label: str = "label", k: int = 3, box_rows: int = BOX_ROWS) -> DataFrame:
     """As many majority rows as there are minority rows: those closest on average to their
     k nearest minority rows."""
     minority, majority = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
@@ -214,7 +275,7 @@ def near_miss(df: DataFrame, label: str = "label", k: int = 3, box_rows: int = 2
     return placed.transform(with_row, wanted).filter(F.col("_place") <= F.col("_wanted")).select("id", "mean_distance")
 
 
-def smote(df: DataFrame, label: str = "label", k: int = 5, seed: int = 0, box_rows: int = 2000) -> DataFrame:
+def smote(df: DataFrame, label: str = "label", k: int = 5, seed: int = 0, box_rows: int = BOX_ROWS) -> DataFrame:
     """Synthetic minority rows up to the majority size, each on the line from a minority row
     to one of its k nearest minority neighbours; neighbour and fraction come from the hash."""
     minority = df.filter(F.col(label) == 1).select("id", "x")
@@ -238,7 +299,7 @@ def smote(df: DataFrame, label: str = "label", k: int = 5, seed: int = 0, box_ro
     )
 
 
-def smote_tomek(df: DataFrame, label: str = "label", k: int = 5, seed: int = 0, box_rows: int = 2000) -> DataFrame:
+def smote_tomek(df: DataFrame, label: str = "label", k: int = 5, seed: int = 0, box_rows: int = BOX_ROWS) -> DataFrame:
     """Rows after raising the minority with `smote` and dropping both ends of Tomek links."""
     top = df.agg(F.max("id")).first()[0] or 0
     made = smote(df, label, k, seed, box_rows)
