@@ -1,5 +1,9 @@
 """Near-duplicate classes by the Jaccard similarity of word shingles, found without loss.
 
+SimHash fingerprints of the same shingles propose pairs within two bits, by the Golay keys of
+`simhash`; they are checked on their texts. Most similar texts are further apart, so an exact
+join of the shingle sets finds what the fingerprints miss.
+
 Each text is the set of its shingles. Under one order of all shingles, two sets of
 similarity s or more share their first common shingle within the first
 n - ceil(s n) + 1 of both: those prefixes are the index, and every pair that meets there is
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from featmart.llm import words
 from featmart.llm.components import components
-from featmart.llm.simhash import keep_first
+from featmart.llm.simhash import close_pairs, fingerprint, keep_first
 from featmart.llm.tables import map_batches, raw, written
 from featmart.session import cut_lineage
 
@@ -88,15 +92,33 @@ def _nodes(texts: pa.Array) -> np.ndarray:
     return np.array(found, dtype=np.uint64).view(np.int64)
 
 
-def text_nodes(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` and `node`, a hash of the text's words."""
+def text_nodes(docs: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH) -> DataFrame:
+    """`keep`, `node`, a hash of the text's words, and `fp`, the SimHash of its shingles."""
     source = docs.select(*[F.col(f"`{c}`") for c in keep], raw(text).alias("_text"))
     kinds = dict(source.dtypes)
 
     def work(batch):
-        return {c: batch.column(c) for c in keep} | {"node": _nodes(batch.column("_text"))}
+        found = np.array([fingerprint(t, width) for t in batch.column("_text").to_pylist()], dtype=np.uint64)
+        return {c: batch.column(c) for c in keep} | {"node": _nodes(batch.column("_text")), "fp": found.view(np.int64)}
+
+    return map_batches(source, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["node bigint", "fp bigint"]), work)
+
 
-    return map_batches(source, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["node bigint"]), work)
+def fingerprint_pairs(slim: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different nodes that the fingerprints propose: those of one fingerprint
+    with the smallest of them, and these smallest ones of two fingerprints that are close.
+
+    `slim` has `node` and `fp`; copies count once.
+    """
+    nodes = cut_lineage(slim.select("node", "fp").distinct())
+    unique = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("low")))
+    same = nodes.join(unique, "fp").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    close = (
+        close_pairs(unique.select("fp"))
+        .join(unique.select(F.col("fp").alias("a"), F.col("low").alias("one")), "a")
+        .join(unique.select(F.col("fp").alias("b"), F.col("low").alias("two")), "b")
+    )
+    return same.unionByName(close.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))).distinct()
 
 
 def _places(size: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -290,7 +312,8 @@ def _pairs(lists: DataFrame, centre: str, percent: int) -> DataFrame:
 def near_links(slim: DataFrame, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of similar nodes.
 
-    The index moves once, and only shingles of two nodes or more are written. Members of a
+    Pairs that the fingerprints propose are checked with the first pairs of the index. The
+    index moves once, and only shingles of two nodes or more are written. Members of a
     shingle's list are checked against its centre first, the member that shares most: copies
     of one text meet it in all their lists, even where they are not similar to each other.
     Lists that then lie in one component need no pairs; in the others members of different
@@ -308,7 +331,8 @@ def near_links(slim: DataFrame, docs: DataFrame, text: str = "text", width: int
     centred = written(members.join(weights, "node").withColumn("centre", centre).drop("weight", "n"), "near-centred")
     # Pairs are few bytes and much work: their number of tasks is not left to their size.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cut_lineage(_pairs(centred, "centre", percent).repartition(tasks, "a", "b"))
+    proposed = fingerprint_pairs(slim).unionByName(_pairs(centred, "centre", percent)).distinct()
+    pairs = cut_lineage(proposed.repartition(tasks, "a", "b"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     links = checked(pairs, texts_of(nodes, slim, docs, text, width), width, percent)
     left = _across(centred.filter(F.col("node") != F.col("centre.node")), components(links))
@@ -339,7 +363,7 @@ def drop_near_copies(
     # Only these two columns are read, under names of their own: others may have any name.
     bare = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     keyed = bare.withColumn("_content", F.xxhash64(raw("_text")))
-    slim = written(text_nodes(keyed, ["_id", "_content"], "_text"), "near-nodes")
+    slim = written(text_nodes(keyed, ["_id", "_content"], "_text", width), "near-nodes")
     roots = components(near_links(slim, bare, "_text", width, percent))
     classes = written(slim.join(roots, "node", "left").select("_id", "_content", F.coalesce("root", "node").alias("class")), "near-classes")
     return keep_first(docs, classes.withColumnRenamed("_id", id_col), "class", id_col, text)

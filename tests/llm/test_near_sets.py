@@ -112,3 +112,18 @@ def test_sketches_rule_out_no_similar_pair(spark, monkeypatch):
     sets = {n: shingle_set(t.encode()) for n, t in rows}
     every = {(a, b) for a in sets for b in sets if a < b}
     assert {p for p in every if near_sets.similar(sets[p[0]], sets[p[1]])} <= got and len(got) < 200
+
+
+def test_fingerprints_propose_pairs(spark, monkeypatch):
+    """The stage's SimHash step finds close texts by itself; the exact join finds them all."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 2000)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(f"v{i}" for i in rng.integers(0, 10_000, 2000)), "a b", "", "  "]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "_id bigint, _text string").withColumn("_content", F.xxhash64(F.col("_text").cast("binary")))
+    slim = near_sets.text_nodes(docs, ["_id", "_content"], "_text").cache()
+    node = {r["_id"]: r["node"] for r in slim.collect()}
+    assert {(r["a"], r["b"]) for r in near_sets.fingerprint_pairs(slim).collect()} == {tuple(sorted((node[0], node[1])))}
+    monkeypatch.setattr(near_sets, "_pairs", lambda lists, *_: lists.selectExpr("node AS a", "node AS b").filter("false"))
+    monkeypatch.setattr(near_sets, "_across", lambda lists, *_: lists.filter("false"))
+    assert kept(spark, rows) == [0, 2, 3, 4]
