@@ -201,11 +201,13 @@ def trimmed_means(df: DataFrame, columns: Sequence[str], cut: float = 0.1) -> Da
     return df.agg(*aggs).unpivot([], used, "column_name", "trim_mean")
 
 
-def median_abs_deviation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Median distance from the median, scaled to the normal deviation."""
-    middle = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
+def median_abs_deviation(df: DataFrame, columns: Sequence[str], middle: Mapping[str, float | None] | None = None) -> DataFrame:
+    """Median distance from the median, scaled to the normal deviation; `middle` gives the
+    medians where they are known."""
+    if middle is None:
+        middle = {c: found[0] for c, found in exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5]).items()}
     spread = exact_quantiles(
-        df, {c: F.abs(F.col(c).cast("double") - F.lit(middle[c][0]).cast("double")) for c in columns}, [0.5]
+        df, {c: F.abs(F.col(c).cast("double") - F.lit(middle[c]).cast("double")) for c in columns}, [0.5]
     )
     rows = [(c, spread[c][0] / NORMAL_Q75 if spread[c][0] is not None else None) for c in columns]
     return df.sparkSession.createDataFrame(rows, "column_name string, mad double")
@@ -225,7 +227,7 @@ def numeric_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         stats,
         quartiles.select("column_name", "median", (F.col("q75") - F.col("q25")).alias("iqr")),
         trimmed_means(df, columns),
-        median_abs_deviation(df, columns),
+        median_abs_deviation(df, columns, {r["column_name"]: r["median"] for r in quartiles.collect()}),
         top,
         kinds,
     ]

@@ -128,3 +128,20 @@ def test_page_comes_out_in_order(spark):
     for start, stop in ((0, 20), (100, 120), (-30, None), (-30, -10), (490, 600), (5, 5)):
         got = [r["id"] for r in slices.row_range(df, [F.desc("id")], start, stop).collect()]
         assert got == list(range(499, -1, -1))[start:stop]
+
+
+def test_quantiles_count_without_sorting(spark, monkeypatch):
+    """Values per bucket are counted by hash: a sort of every value would grow with the input."""
+    kind = type(spark.range(1))
+    plans, collect = [], kind.collect
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(kind, "collect", kept)
+    df = spark.range(4000).select(F.col("id"), (F.col("id") * 0.5).alias("x"))
+    found = ordering.exact_quantiles(df, {"id": F.col("id"), "x": F.col("x")}, [0.0, 0.5, 1.0])
+    assert found == {"id": [0.0, 1999.5, 3999.0], "x": [0.0, 999.75, 1999.5]}
+    counted = [p for p in plans if "bucket" in p]
+    assert counted and not any("SortAggregate" in p for p in counted)
