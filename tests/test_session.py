@@ -21,3 +21,15 @@ def test_a_task_reads_a_bounded_piece(spark, sf, size, first, kept):
     finally:
         for key, value in zip((SIZE, FIRST), before):
             spark.conf.set(key, value) if value else spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("size, kept", [("128MB", False), ("134217728b", False), ("1m", True)])
+def test_a_task_scans_a_bounded_piece(spark, sf, size, kept):
+    scan = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(scan)
+    try:
+        spark.conf.set(scan, size)
+        catalog.PLANS["tracking_period_card"](spark, sf)
+        assert spark.conf.get(scan) == (size if kept else str(TASK_BYTES))
+    finally:
+        spark.conf.set(scan, before)
