@@ -85,6 +85,9 @@ def fit(
         train = (resample(train) if resample else train).unionByName(marked.filter(validation), allowMissingColumns=True)
     else:
         train = resample(df) if resample else df
+    if resample:
+        # Every pass of the fit reads these rows: they are picked once.
+        train = cut_lineage(train)
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep"),
         MinMaxScaler(inputCol="raw_features", outputCol="features"),

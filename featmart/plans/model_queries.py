@@ -165,12 +165,10 @@ def dummy_family(spark, sf):
 
 
 def balanced_model(spark, sf, rows):
-    labelled = cut_lineage(rows.filter("target > -1"))
-
     def resample(df):
         return sampling.under_sample(df, "client_id", "target")
 
-    return modeling.fit(labelled, "target", TRAINED, "logistic", resample)
+    return modeling.fit(rows.filter("target > -1"), "target", TRAINED, "logistic", resample)
 
 
 @query("resampled_fit")
@@ -184,7 +182,8 @@ def resampled_fit(spark, sf):
 
 @query("batch_scores")
 def batch_scores(spark, sf):
-    rows = training(spark, sf)
+    # Fitted on and scored: the features are built once.
+    rows = cut_lineage(training(spark, sf))
     path = modeling.save_model(balanced_model(spark, sf, rows), spark, "balanced", scratch_path(spark, "saved"))
     return modeling.score_all(modeling.load_model(path), rows, "client_id", 0.5)
 

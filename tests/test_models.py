@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from featmart.operators import modeling, sampling
+from featmart.plans import model_queries
 from featmart.plans import roles
 from featmart.streaming import streams
 
@@ -102,3 +103,32 @@ def test_dummy_family(spark, tmp_path):
     assert modeling.importances(model, ["a", "b"]) == [("a", 0.5), ("b", 0.5)]
     again = modeling.load_model(modeling.save_model(model, spark, "dummy", str(tmp_path)))
     assert {r["score"] for r in modeling.predict(again, df).collect()} == {0.25}
+
+
+def test_features_of_batch_scores_are_built_once(spark, sf, monkeypatch):
+    seen, built = spark.sparkContext.accumulator(0), model_queries.training
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def training(spark, sf):
+        rows = built(spark, sf)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(model_queries, "training", training)
+    assert model_queries.batch_scores(spark, sf).count() == seen.value
+
+
+def test_a_fit_resamples_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.range(100).selectExpr("id", "id % 2 AS y", "CAST(id % 7 AS DOUBLE) AS a")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    modeling.fit(df, "y", ["a"], "logistic", lambda rows: rows.mapInArrow(counted, rows.schema))
+    assert seen.value == 100
