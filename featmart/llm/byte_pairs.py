@@ -70,29 +70,42 @@ class Lookup:
         return value
 
 
+#: What stands before a word and before its code in the buckets of `Codes`; texts that hold one
+#: of them are folded throughout.
+BEFORE_WORD, BEFORE_CODE = "\0", "\1"
+
+
 class Codes:
-    """A larger literal map, from hexadecimal key to a code without ASCII characters: its
-    buckets are strings of `,key:code`, which tasks read faster than as many small maps."""
+    """A larger literal map, from word to a code without ASCII characters, with the words'
+    hashes by Spark: its buckets are strings, which tasks read faster than as many small maps."""
 
-    def __init__(self, entries: Iterable[tuple[str, str]]):
+    def __init__(self, entries: Iterable[tuple[str, int, str]]):
         entries = list(entries)
         self.size = 1 << max(0, (len(entries) // BUCKET).bit_length())
-        buckets = [","] * self.size
-        for key, code in entries:
-            buckets[zlib.crc32(key.encode()) % self.size] += f"{key}:{code},"
+        buckets = [BEFORE_WORD] * self.size
+        for word, place, code in entries:
+            buckets[place & (self.size - 1)] += f"{word}{BEFORE_CODE}{code}{BEFORE_WORD}"
         self.buckets = F.from_json(F.lit(json.dumps(buckets)), "array<string>")
 
     def find(self, buckets: Column) -> Callable[[Column], Column]:
-        def value(key: Column) -> Column:
-            place = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.size - 1)).cast("int")
-            # Behind the key; where there is none, what comes before the bucket's first comma.
-            behind = F.call_function("substring_index", F.get(buckets, place), F.concat(F.lit(","), key, F.lit(":")), F.lit(-1))
+        """The function from word to code, or null, over the bound buckets; null buckets hold none."""
+
+        def value(word: Column) -> Column:
+            bucket = F.get(buckets, F.hash(word).bitwiseAND(F.lit(self.size - 1)))
+            key = F.concat(F.lit(BEFORE_WORD), word, F.lit(BEFORE_CODE))
+            # Behind the key; where there is none, what comes before the bucket's first word.
+            behind = F.call_function("substring_index", bucket, key, F.lit(-1))
             # Not `nullif`, which computes its argument twice inside a lambda.
-            return let(F.substring_index(behind, ",", 1), lambda code: F.when(code != "", code))
+            return let(F.substring_index(behind, BEFORE_WORD, 1), lambda code: F.when(code != "", code))
 
         return value
 
 
+def characters(text: Column) -> Column:
+    """The characters of a text, in order."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
 def splits(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes]]:
     """For each entry of two bytes or more, the two parts whose merge makes it from bytes.
 
@@ -171,8 +184,9 @@ class Vocabulary:
 
         return let(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), *self.bytes), merges)
 
-    def codes(self, words: Column, often: Codes | None = None) -> Column:
-        """The ids' characters of each of an array of matches; those of `often` are looked up."""
+    def codes(self, words: Column, often: Codes | None = None, plain: Column | None = None) -> Column:
+        """The ids' characters of each of an array of matches; those of `often` are looked up
+        where `plain` holds."""
 
         def with_merges(buckets: Column) -> Column:
             merged = self.merged.find(buckets)
@@ -181,16 +195,15 @@ class Vocabulary:
 
             def with_known(known: Column) -> Column:
                 find = often.find(known)
-                return F.transform(words, lambda word: F.coalesce(find(F.hex(word)), self.fold(word, merged)))
+                return F.transform(words, lambda word: F.coalesce(find(word), self.fold(word, merged)))
 
-            return let(often.buckets, with_known)
+            return let(F.when(plain, often.buckets), with_known)
 
         return let(self.merged.buckets, with_merges)
 
     def ids(self, codes: Column) -> Column:
         """All ids of a text's matches in order."""
-        characters = F.regexp_extract_all(F.array_join(codes, ""), F.lit("(?s)."), F.lit(0))
-        return F.transform(characters, lambda c: F.ascii(c) - F.lit(FIRST))
+        return F.transform(let(F.array_join(codes, ""), characters), lambda c: F.ascii(c) - F.lit(FIRST))
 
     def words(self, text: Column) -> Column:
         """Matches of the pattern."""
@@ -259,8 +272,8 @@ def frequent(docs: DataFrame, known: Vocabulary, text: str, limit: int) -> Codes
     sample = docs.select(F.col(f"`{text}`").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
     words = sample.select(F.explode(known.words(F.col("text"))).alias("word"))
     top = words.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(limit)
-    coded = top.select(F.hex("word").alias("key"), F.get(known.codes(F.array("word")), F.lit(0)).alias("code"))
-    return Codes((r["key"], r["code"]) for r in coded.toLocalIterator())
+    coded = top.select("word", F.hash("word").alias("place"), F.get(known.codes(F.array("word")), F.lit(0)).alias("code"))
+    return Codes(tuple(r) for r in coded.toLocalIterator() if not {BEFORE_WORD, BEFORE_CODE} & set(r["word"]))
 
 
 def encode(
@@ -275,7 +288,8 @@ def encode(
     """
     known = vocabulary(docs.sparkSession, path, pattern)
     often = frequent(docs, known, text, limit)
-    ids = known.ids(known.codes(known.words(F.col(f"`{text}`")), often))
+    plain = ~F.coalesce(F.col(f"`{text}`").cast("string").rlike(f"[{BEFORE_WORD}{BEFORE_CODE}]"), F.lit(False))
+    ids = known.ids(known.codes(known.words(F.col(f"`{text}`")), often, plain))
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept_names(keep, ["ids"]))], ids.alias("ids"))
 
 

@@ -87,3 +87,10 @@ def test_empty_table_and_clashing_names(spark):
     gone = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
     row = byte_pairs.decode(gone, RANKS, PATTERN, ["doc_id"]).first()
     assert (row.n_tokens, bytes(row.packed), bytes(row.decoded)) == (0, b"", b"")
+
+
+def test_texts_with_the_characters_between_frequent_words(spark, library):
+    """Frequent words are looked up in texts of words and codes; no text may be taken for one."""
+    code = byte_pairs.character(library.encode_ordinary(" !?")[0])
+    texts = ["!? !? ... !? ;; \1 \0"] * 9 + [f"!?\1{code}\0", f"\0!?\1 !?", f" !?\1{code}\0...", "\1" * 5, "\0" * 4 + "!?", f"!? {code} ..."]
+    assert both(spark, texts, limit=500) == expected(library, texts)
