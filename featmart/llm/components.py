@@ -33,7 +33,7 @@ def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFra
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Larger neighbours of a node move to its smallest neighbour."""
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = links.selectExpr("inline(array(struct(a, b), struct(b AS a, a AS b)))")
     low = ways.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
     return (
         links.join(low, links["b"] == low["n"])
@@ -42,9 +42,11 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    """Smaller neighbours of a node, and the node, move to the smallest of them."""
+    """Smaller neighbours of a node, and the node, move to the smallest of them.
+
+    An edge to the smallest neighbour stays and each other one moves, so that the join alone
+    makes all edges.
+    """
     low = links.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "n")
-    moved = links.join(low, links["a"] == low["n"]).filter(F.col("b") != F.col("low"))
-    return moved.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
-        low.select(F.col("n").alias("a"), F.col("low").alias("b"))
-    ).distinct()
+    moved = F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b"))
+    return links.join(low, links["a"] == low["n"]).select(moved.alias("a"), F.col("low").alias("b")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ EDGES = {
 }
 WIDTH = 1 + max(map(len, EDGES.values()))
 N_FEATURES = 3 * WIDTH * len(EDGES)
+FEATURE = np.min_scalar_type(N_FEATURES).type
 
 
 class Lines:
@@ -111,15 +113,16 @@ class Lines:
             "copies": self.copies,
             "ending": closing,
         }
-        own = np.stack([np.searchsorted(EDGES[k], v) for k, v in figures.items()], axis=1)
-        step = len(EDGES) * WIDTH
-        base = np.arange(len(EDGES)) * WIDTH
+        own = np.stack([np.searchsorted(EDGES[k], v) for k, v in figures.items()], axis=1, dtype=FEATURE, casting="unsafe")
+        step = FEATURE(len(EDGES) * WIDTH)
+        # Ids take a byte: the sample's lines are held in the driver as long as the fit lasts.
+        base = (np.arange(len(EDGES)) * WIDTH).astype(FEATURE)
         inner = np.ones(len(starts), dtype=bool)
         inner[self.lines.first[:-1]] = False
-        nothing = np.full(own.shape[1], WIDTH - 1)
+        nothing = np.full(own.shape[1], WIDTH - 1, dtype=FEATURE)
         before = np.where(inner[:, None], np.roll(own, 1, axis=0), nothing)
         after = np.where(np.roll(inner, -1)[:, None], np.roll(own, -1, axis=0), nothing)
-        return np.concatenate([own + base, before + base + step, after + base + 2 * step], axis=1)
+        return np.concatenate([own + base, before + base + step, after + base + step + step], axis=1)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> crf.Crf | None:
@@ -144,9 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     )
     if rows["_label"].nunique() < 2:
         return None
-    lines = Lines(words.chunk_of([bytes(t) for t in rows["_text"]]))
-    tags = np.where(rows["_label"].to_numpy() == 1, CONTENT, BOILERPLATE)[lines.lines.owner]
-    return crf.fit(lines.features(), tags, lines.lines.first, N_FEATURES, 2)
+    kinds = np.where(rows["_label"].to_numpy() == 1, CONTENT, BOILERPLATE)
+    features, tags, first = [], [], [np.zeros(1, dtype=np.int64)]
+    # Chunk by chunk: the words of all texts take ten times the driver's memory that their lines do.
+    for chunk in words.chunks(pa.array([bytes(t) for t in rows["_text"]], pa.large_binary())):
+        lines = Lines(chunk)
+        features.append(lines.features())
+        tags.append(kinds[chunk.low + lines.lines.owner])
+        first.append(first[-1][-1] + lines.lines.first[1:])
+    return crf.fit(np.concatenate(features), np.concatenate(tags), np.concatenate(first), N_FEATURES, 2)
 
 
 def judge(docs: DataFrame, model: crf.Crf | None, keep: list[str], text: str = "text", share: float = CONTENT_SHARE) -> DataFrame:

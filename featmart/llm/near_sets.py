@@ -309,8 +309,9 @@ def _pairs(lists: DataFrame, centre: str, percent: int) -> DataFrame:
     return found.select(F.least(own, middle).alias("a"), F.greatest(own, middle).alias("b")).distinct()
 
 
-def near_links(slim: DataFrame, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of similar nodes.
+def near_roots(slim: DataFrame, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(node, root) for every node that has a similar one, root being the smallest node that
+    is reachable over pairs of similar nodes.
 
     Pairs that the fingerprints propose are checked with the first pairs of the index. The
     index moves once, and only shingles of two nodes or more are written. Members of a
@@ -335,12 +336,24 @@ def near_links(slim: DataFrame, docs: DataFrame, text: str = "text", width: int
     pairs = cut_lineage(proposed.repartition(tasks, "a", "b"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     links = checked(pairs, texts_of(nodes, slim, docs, text, width), width, percent)
-    left = _across(centred.filter(F.col("node") != F.col("centre.node")), components(links))
+    roots = components(links)
+    left = _across(centred.filter(F.col("node") != F.col("centre.node")), roots)
     if left.isEmpty():
-        return links
+        return roots
     texts = texts_of(left.select("node"), slim, docs, text, width)
     rest = cut_lineage(_block_pairs(left, texts, percent).repartition(tasks, "a", "b"))
-    return links.unionByName(checked(rest, texts, width, percent))
+    return joined_roots(roots, checked(rest, texts, width, percent))
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `roots` after further edges (a, b): each stands as its root in the rounds,
+    so that edges which are joined already take part in none."""
+    first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b"))
+    ends = links.join(first, "a", "left").join(second, "b", "left")
+    upper = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left")
+    single = upper.join(roots, "node", "left_anti")
+    return moved.select("node", F.coalesce("_top", "root").alias("root")).unionByName(single.select("node", "root"))
 
 
 def _across(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -364,6 +377,6 @@ def drop_near_copies(
     bare = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     keyed = bare.withColumn("_content", F.xxhash64(raw("_text")))
     slim = written(text_nodes(keyed, ["_id", "_content"], "_text", width), "near-nodes")
-    roots = components(near_links(slim, bare, "_text", width, percent))
+    roots = near_roots(slim, bare, "_text", width, percent)
     classes = written(slim.join(roots, "node", "left").select("_id", "_content", F.coalesce("root", "node").alias("class")), "near-classes")
     return keep_first(docs, classes.withColumnRenamed("_id", id_col), "class", id_col, text)

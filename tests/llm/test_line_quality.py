@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from featmart.llm import crf, line_quality, queries, words
+from featmart.llm.tables import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -103,3 +104,16 @@ def test_words_stop_at_texts():
     texts = ["ab", "cd ef", "", "gh"]
     found = words.chunk_of(texts).runs(words.NOT_SPACE)
     assert found.per_text.tolist() == [1, 2, 0, 1]
+
+
+def test_the_fit_reads_its_sample_in_chunks(spark, sf, monkeypatch):
+    """The driver never holds the words of the whole sample; the model is that of one chunk."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    seen, own = [], line_quality.Lines
+    monkeypatch.setattr(line_quality, "Lines", lambda chunk: seen.append(len(chunk.data)) or own(chunk))
+    whole = line_quality.train(docs, labels)
+    size, seen[:] = sum(seen), []
+    monkeypatch.setattr(words, "CHUNK_BYTES", 20_000)
+    parts = line_quality.train(docs, labels)
+    assert sum(seen) == size and max(seen) <= 20_000 and len(seen) > 5
+    assert np.array_equal(whole.weights, parts.weights) and np.array_equal(whole.moves, parts.moves)

@@ -127,3 +127,17 @@ def test_fingerprints_propose_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_sets, "_pairs", lambda lists, *_: lists.selectExpr("node AS a", "node AS b").filter("false"))
     monkeypatch.setattr(near_sets, "_across", lambda lists, *_: lists.filter("false"))
     assert kept(spark, rows) == [0, 2, 3, 4]
+
+
+def test_later_edges_join_classes_that_stand_as_their_roots(spark, monkeypatch):
+    """The components of the first pairs are not found again with those of the rest."""
+    rng = np.random.default_rng(8)
+    first = [(int(a), int(b)) for a, b in rng.integers(0, 300, (150, 2))]
+    later = [(int(a), int(b)) for a, b in rng.integers(0, 400, (60, 2))]
+    one, two = (spark.createDataFrame(p, "a bigint, b bigint") for p in (first, later))
+    seen, own = [], near_sets.components
+    monkeypatch.setattr(near_sets, "components", lambda edges: seen.append(edges.count()) or own(edges))
+    got = {tuple(r) for r in near_sets.joined_roots(own(one), two).collect()}
+    assert got == {tuple(r) for r in own(one.unionByName(two)).collect()}
+    assert seen == [len(later)]
+    assert {tuple(r) for r in near_sets.joined_roots(own(one), two.filter("false")).collect()} == {tuple(r) for r in own(one).collect()}

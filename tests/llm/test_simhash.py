@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from featmart.llm import golay, simhash
-from featmart.llm.components import components
+from featmart.llm.components import _large_star, _small_star, components
 
 
 def plain_fingerprint(text):
@@ -102,3 +102,10 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(edges, "a int, b int").select(F.col("a"), F.col("b"))
     got = {r["node"]: r["root"] for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(150)}}
+
+
+def test_a_round_of_components_reads_its_edges_four_times(spark):
+    """The driver keeps account of every task: a round derives nothing more often than it must."""
+    links = spark.createDataFrame([(i + 1, i) for i in range(300)], "a bigint, b bigint")
+    plan = _small_star(_large_star(links))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 4 and "Union" not in plan
