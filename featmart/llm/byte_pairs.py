@@ -26,10 +26,15 @@ from featmart.llm.tables import kept_names, prepare
 #: Frequent words whose encoding is looked up, and the texts in which they are counted, about.
 #: Both decide the work, never a result: all other words are encoded where they stand.
 FREQUENT, SAMPLED = 1 << 18, 1 << 15
-#: Entries of a literal map's bucket, about.
-BUCKET = 3
-#: Character of id 0: none of the ASCII characters that a literal map's text uses.
+#: Character of id 0: none of the characters below.
 FIRST = 0x100
+#: What stands between word and code in the texts of `Codes`, and before the ids of a match that
+#: has no more merges.
+BEFORE_CODE, DONE = "\1", "!"
+#: Bits between the two places of a key in a literal map.
+SHIFT = 12
+#: Characters up to which a match's pairs are cut out one by one; longer ones go through a pattern.
+SHORT = 64
 #: Characters of a plan's description: literal maps would fill it.
 PLAN_TEXT = 1 << 16
 
@@ -41,62 +46,81 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value computed once: lambdas do not share subexpressions."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """`use(value)` with the value computed once: lambdas do not share subexpressions.
+
+    A fold over nothing: unlike an array of the value, it is neither built nor copied.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, use)
 
 
 class Lookup:
-    """A literal map of the plan: an array of small maps, picked by the key's checksum.
+    """A literal map of the plan from pairs of characters to a character: an array of texts, each
+    a value and its pair, picked by the pair's checksum, and an array of small maps for the pairs
+    whose place is taken.
 
-    `self.buckets` is to be bound by `let` once a row, so that tasks get one copy of it.
+    `self.slots` and `self.rest` are to be bound by `let` once a row, so that tasks get one copy.
     """
 
-    def __init__(self, entries: Iterable[tuple[str, object]], kind: str):
+    def __init__(self, entries: Iterable[tuple[str, str]]):
         entries = list(entries)
-        self.size = 1 << max(0, (len(entries) // BUCKET).bit_length())
-        buckets: list[dict[str, object]] = [{} for _ in range(self.size)]
-        for key, value in entries:
-            buckets[zlib.crc32(key.encode()) % self.size][key] = value
+        slots: list[str | None] = [None] * (1 << (4 * len(entries)).bit_length())
+        self.mask = len(slots) - 1
+        taken = []
+        for pair, value in entries:
+            place = zlib.crc32(pair.encode())
+            if slots[place & self.mask] is None:
+                slots[place & self.mask] = value + pair
+            else:
+                taken.append((place, pair, value + pair))
+        rest: list[dict[str, str]] = [{} for _ in range(1 << len(taken).bit_length())]
+        self.rest_mask = len(rest) - 1
+        for place, pair, found in taken:
+            rest[place >> SHIFT & self.rest_mask][pair] = found
         # Read from text once, when the plan is made: constants are folded.
-        self.buckets = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
+        self.slots = F.from_json(F.lit(json.dumps(slots)), "array<string>")
+        self.rest = F.from_json(F.lit(json.dumps(rest)), "array<map<string,string>>")
 
-    def find(self, buckets: Column) -> Callable[[Column], Column]:
-        """The function from key to value, or null, over the bound buckets."""
+    def find(self, slots: Column, rest: Column) -> Callable[[Column], Column]:
+        """The function from a pair to its value and the pair in one text, or null, over the
+        bound arrays. Found texts have the order of their values."""
 
-        def value(key: Column) -> Column:
-            place = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.size - 1)).cast("int")
-            return F.try_element_at(F.get(buckets, place), key)
+        def other(pair: Column) -> Column:
+            place = F.shiftright(F.crc32(pair.cast("binary")), SHIFT).bitwiseAND(F.lit(self.rest_mask))
+            return F.try_element_at(F.get(rest, place), pair)
 
-        return value
+        def value(pair: Column) -> Column:
+            slot = F.get(slots, F.crc32(pair.cast("binary")).bitwiseAND(F.lit(self.mask)))
+            # An empty place has no other pair in the maps.
+            return let(slot, lambda e: F.when(F.endswith(e, pair), e).when(e.isNotNull(), other(pair)))
 
-
-#: What stands before a word and before its code in the buckets of `Codes`; texts that hold one
-#: of them are folded throughout.
-BEFORE_WORD, BEFORE_CODE = "\0", "\1"
+        return value
 
 
 class Codes:
-    """A larger literal map, from word to a code without ASCII characters, with the words'
-    hashes by Spark: its buckets are strings, which tasks read faster than as many small maps."""
+    """A larger literal map, from word to its ids as decimal text, with the words' hashes by
+    Spark: an array of strings, each of one word. A word has two places; where both are taken
+    by words before it, it is left out."""
 
-    def __init__(self, entries: Iterable[tuple[str, int, str]]):
-        entries = list(entries)
-        self.size = 1 << max(0, (len(entries) // BUCKET).bit_length())
-        buckets = [BEFORE_WORD] * self.size
+    def __init__(self, entries: Iterable[tuple[str, int, str]], limit: int):
+        self.mask = (1 << limit.bit_length()) - 1
+        slots: list[str | None] = [None] * (self.mask + 1)
         for word, place, code in entries:
-            buckets[place & (self.size - 1)] += f"{word}{BEFORE_CODE}{code}{BEFORE_WORD}"
-        self.buckets = F.from_json(F.lit(json.dumps(buckets)), "array<string>")
+            for at in (place & self.mask, (place & 0xFFFFFFFF) >> SHIFT & self.mask):
+                if slots[at] is None:
+                    slots[at] = f"{word}{BEFORE_CODE}{code}"
+                    break
+        self.slots = F.from_json(F.lit(json.dumps(slots)), "array<string>")
 
-    def find(self, buckets: Column) -> Callable[[Column], Column]:
-        """The function from word to code, or null, over the bound buckets; null buckets hold none."""
+    def find(self, slots: Column) -> Callable[[Column], Column]:
+        """The function from word to code, or null, over the bound slots."""
 
         def value(word: Column) -> Column:
-            bucket = F.get(buckets, F.hash(word).bitwiseAND(F.lit(self.size - 1)))
-            key = F.concat(F.lit(BEFORE_WORD), word, F.lit(BEFORE_CODE))
-            # Behind the key; where there is none, what comes before the bucket's first word.
-            behind = F.call_function("substring_index", bucket, key, F.lit(-1))
-            # Not `nullif`, which computes its argument twice inside a lambda.
-            return let(F.substring_index(behind, BEFORE_WORD, 1), lambda code: F.when(code != "", code))
+            def at(place: Column) -> Column:
+                slot = F.get(slots, place.bitwiseAND(F.lit(self.mask)))
+                return let(slot, lambda entry: F.when(F.startswith(entry, F.concat(word, F.lit(BEFORE_CODE))), entry))
+
+            found = F.coalesce(at(F.hash(word)), at(F.shiftrightunsigned(F.hash(word), SHIFT)))
+            return F.substring_index(found, BEFORE_CODE, -1)
 
         return value
 
@@ -153,7 +177,7 @@ class Vocabulary:
             character(self.ranks[left]) + character(self.ranks[right]): character(self.ranks[entry])
             for entry, (left, right) in splits(self.ranks).items()
         }
-        self.merged = Lookup(pairs.items(), "string")
+        self.merged = Lookup(pairs.items())
         self.bytes = "".join(chr(b) for b in range(256)), "".join(character(self.ranks[bytes([b])]) for b in range(256))
         by_rank = sorted(self.ranks, key=self.ranks.__getitem__)
         self.pieces = F.from_json(F.lit(json.dumps([key.hex() for key in by_rank])), "array<string>")
@@ -161,49 +185,49 @@ class Vocabulary:
         self.packed = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(total)])), "array<string>")
 
     def fold(self, word: Column, merged: Callable[[Column], Column]) -> Column:
-        """The ids' characters of one match; `merged` finds what a pair becomes."""
+        """The ids of one match as decimal text, comma-joined; `merged` finds what a pair becomes."""
 
-        def step(state: Column) -> Column:
-            def replaced(pairs: Column, found: Column, low: Column) -> Column:
-                pair = F.get(pairs, (F.array_position(found, low) - 1).cast("int"))
-                return F.struct(F.replace(state["ids"], pair, low).alias("ids"), F.lit(False).alias("done"))
+        def step(ids: Column) -> Column:
+            # Every two neighbours, overlaps included.
+            each = F.transform(F.sequence(F.lit(1), F.length(ids) - 1), lambda i: let(ids.substr(i, F.lit(2)), merged))
+            long = F.transform(F.regexp_extract_all(ids, F.lit("(?s)(?=(..))"), F.lit(1)), merged)
+            found = F.when(F.length(ids) > SHORT, long).when(F.length(ids) > 1, each)
 
-            def lowest(pairs: Column, found: Column) -> Column:
-                end = F.struct(state["ids"].alias("ids"), F.lit(True).alias("done"))
-                return let(F.array_min(found), lambda low: F.when(low.isNull(), end).otherwise(replaced(pairs, found, low)))
+            def replaced(low: Column) -> Column:
+                shorter = F.replace(ids, low.substr(2, 2), low.substr(1, 1))
+                return F.coalesce(shorter, F.concat(F.lit(DONE), ids))
 
-            # Every two neighbours, overlaps included.
-            neighbours = F.regexp_extract_all(state["ids"], F.lit("(?s)(?=(..))"), F.lit(1))
-            return F.when(state["done"], state).otherwise(
-                let(neighbours, lambda pairs: let(F.transform(pairs, merged), lambda found: lowest(pairs, found)))
-            )
+            return F.when(F.startswith(ids, F.lit(DONE)), ids).otherwise(let(F.array_min(found), replaced))
 
         def merges(start: Column) -> Column:
-            state = F.struct(start.alias("ids"), F.lit(False).alias("done"))
-            return F.aggregate(F.sequence(F.lit(1), F.length(start)), state, lambda acc, _: step(acc), lambda acc: acc["ids"])
+            return F.aggregate(F.sequence(F.lit(1), F.length(start)), start, lambda ids, _: step(ids), decimals)
+
+        def decimals(done: Column) -> Column:
+            ids = characters(done.substr(F.lit(2), F.length(done)))
+            return F.array_join(F.transform(ids, lambda c: (F.ascii(c) - F.lit(FIRST)).cast("string")), ",")
 
         return let(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), *self.bytes), merges)
 
-    def codes(self, words: Column, often: Codes | None = None, plain: Column | None = None) -> Column:
-        """The ids' characters of each of an array of matches; those of `often` are looked up
-        where `plain` holds."""
+    def codes(self, words: Column, often: Codes | None = None) -> Column:
+        """The ids of each of an array of matches as decimal text, comma-joined; those of
+        `often` are looked up."""
 
-        def with_merges(buckets: Column) -> Column:
-            merged = self.merged.find(buckets)
+        def with_merges(merged: Callable[[Column], Column]) -> Column:
             if often is None:
                 return F.transform(words, lambda word: self.fold(word, merged))
 
-            def with_known(known: Column) -> Column:
-                find = often.find(known)
+            def with_known(slots: Column) -> Column:
+                find = often.find(slots)
                 return F.transform(words, lambda word: F.coalesce(find(word), self.fold(word, merged)))
 
-            return let(F.when(plain, often.buckets), with_known)
+            return let(often.slots, with_known)
 
-        return let(self.merged.buckets, with_merges)
+        return let(self.merged.slots, lambda slots: let(self.merged.rest, lambda rest: with_merges(self.merged.find(slots, rest))))
 
     def ids(self, codes: Column) -> Column:
         """All ids of a text's matches in order."""
-        return F.transform(let(F.array_join(codes, ""), characters), lambda c: F.ascii(c) - F.lit(FIRST))
+        none = F.array().cast("array<int>")
+        return let(codes, lambda codes: F.when(F.size(codes) == 0, none).otherwise(F.split(F.array_join(codes, ","), ",").cast("array<int>")))
 
     def words(self, text: Column) -> Column:
         """Matches of the pattern."""
@@ -273,7 +297,7 @@ def frequent(docs: DataFrame, known: Vocabulary, text: str, limit: int) -> Codes
     words = sample.select(F.explode(known.words(F.col("text"))).alias("word"))
     top = words.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(limit)
     coded = top.select("word", F.hash("word").alias("place"), F.get(known.codes(F.array("word")), F.lit(0)).alias("code"))
-    return Codes(tuple(r) for r in coded.toLocalIterator() if not {BEFORE_WORD, BEFORE_CODE} & set(r["word"]))
+    return Codes((tuple(r) for r in coded.toLocalIterator() if BEFORE_CODE not in r["word"]), limit)
 
 
 def encode(
@@ -288,8 +312,7 @@ def encode(
     """
     known = vocabulary(docs.sparkSession, path, pattern)
     often = frequent(docs, known, text, limit)
-    plain = ~F.coalesce(F.col(f"`{text}`").cast("string").rlike(f"[{BEFORE_WORD}{BEFORE_CODE}]"), F.lit(False))
-    ids = known.ids(known.codes(known.words(F.col(f"`{text}`")), often, plain))
+    ids = known.ids(known.codes(known.words(F.col(f"`{text}`")), often))
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept_names(keep, ["ids"]))], ids.alias("ids"))
 
 

@@ -1,6 +1,7 @@
 """Byte-level BPE against the tiktoken library."""
 
 import hashlib
+import json
 import random
 import struct
 
@@ -94,3 +95,31 @@ def test_texts_with_the_characters_between_frequent_words(spark, library):
     code = byte_pairs.character(library.encode_ordinary(" !?")[0])
     texts = ["!? !? ... !? ;; \1 \0"] * 9 + [f"!?\1{code}\0", f"\0!?\1 !?", f" !?\1{code}\0...", "\1" * 5, "\0" * 4 + "!?", f"!? {code} ..."]
     assert both(spark, texts, limit=500) == expected(library, texts)
+
+
+def test_keys_of_one_place(spark):
+    """Pairs and words whose places are taken: pairs are found all the same, a left-out word is encoded."""
+    pairs = [(byte_pairs.character(i) + byte_pairs.character(3 * i % 997), byte_pairs.character(5000 + i)) for i in range(3000)]
+    lookup = byte_pairs.Lookup(pairs)
+    held = sum(v is not None for v in json.loads(spark.range(1).select(F.to_json(lookup.slots)).first()[0]))
+    assert held < len(pairs)
+    missing = [p[::-1] for p, _ in pairs if p[::-1] not in dict(pairs)]
+    df = spark.createDataFrame([([p for p, _ in pairs] + missing,)], "p array<string>")
+    found = byte_pairs.let(lookup.slots, lambda s: byte_pairs.let(lookup.rest, lambda r: F.transform("p", lookup.find(s, r))))
+    assert df.select(found).first()[0] == [v + p for p, v in pairs] + [None] * len(missing)
+
+    # A match of one byte has no pair, whatever stands at its place.
+    known = byte_pairs.Vocabulary({bytes([b]): b for b in range(256)} | {bytes([b, c]): 256 + 16 * i + c for i, b in enumerate(b"abcdefgh") for c in range(16)}, PATTERN)
+    single = spark.createDataFrame([([chr(b) for b in range(1, 128)],)], "w array<string>").select(known.ids(known.codes(F.col("w"))))
+    assert single.first()[0] == list(range(1, 128))
+
+    codes = byte_pairs.Codes([("one", 5, "1"), ("two", 5, "2,2"), ("out", 5, "3")], 4)
+    kept = [e for e in spark.range(1).select(codes.slots).first()[0] if e]
+    assert kept == ["two\x012,2", "one\x011"]
+
+
+def test_one_copy_of_a_bound_value(spark):
+    """What `let` binds is computed once and is not built into an array that is copied."""
+    plan = spark.range(1).select(byte_pairs.let(F.rand(), lambda x: F.array(x, x)).alias("a"), F.col("id"))
+    assert len(set(plan.first()["a"])) == 1
+    assert "transform(" not in plan._jdf.queryExecution().optimizedPlan().toString()
