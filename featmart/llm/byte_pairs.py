@@ -3,7 +3,7 @@
 A vocabulary gives byte strings their ranks, which are also their ids. Each match of the
 pattern is encoded by itself: it starts as its bytes, and the neighbours whose join has the
 lowest rank merge until none has one. What pairs merge into, in the order of ranks, is a
-literal of the plan: a map cut into buckets by the key's checksum. The encodings of the
+literal of the plan: texts picked by the pair's checksum. The encodings of the
 corpus's most frequent words are another; all other words are folded where they stand, so
 that words are never shuffled.
 """
